@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import secrets
+from . import packing, secrets, tokens
 
 
 def queries() -> dict:
     return {
         "op2_secret_scan": secrets.op2_secret_scan,
+        "op7_token_counts": tokens.op7_token_counts,
+        "op10_packing": packing.op10_packing,
     }
 
 
