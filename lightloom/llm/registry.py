@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import packing, secrets, tokens
+from . import langid, packing, secrets, tokens, warc
 
 
 def queries() -> dict:
     return {
         "op2_secret_scan": secrets.op2_secret_scan,
         "op7_token_counts": tokens.op7_token_counts,
+        "op8_warc": warc.op8_warc,
+        "op9_language_id": langid.op9_language_id,
         "op10_packing": packing.op10_packing,
     }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op8_warc": warc.ORACLE}
