@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import langid, neardup, packing, quality, secrets, tokens, toxicity, warc
+from . import decontaminate, langid, neardup, packing, quality, secrets, tokens, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op2_secret_scan": secrets.op2_secret_scan,
         "op3_quality": quality.op3_quality,
+        "op4_decontamination": decontaminate.op4_decontamination,
         "op5_near_duplicates": neardup.op5_near_duplicates,
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_token_counts": tokens.op7_token_counts,
@@ -19,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op8_warc": warc.ORACLE}
+    return {"op4_decontamination": decontaminate.ORACLE, "op8_warc": warc.ORACLE}
