@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, neardup, packing, quality, secrets, tokens, toxicity, warc
+from . import decontaminate, hnsw, langid, neardup, packing, quality, secrets, tokens, toxicity, warc
 
 
 def queries() -> dict:
     return {
+        "op1_nearest_neighbours": hnsw.op1_nearest_neighbours,
         "op2_secret_scan": secrets.op2_secret_scan,
         "op3_quality": quality.op3_quality,
         "op4_decontamination": decontaminate.op4_decontamination,
