@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import decontaminate, hnsw, langid, neardup, packing, quality, secrets, tokens, toxicity, warc
 
 
 def queries() -> dict:
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_nearest_neighbours": hnsw.op1_nearest_neighbours,
         "op2_secret_scan": secrets.op2_secret_scan,
         "op3_quality": quality.op3_quality,

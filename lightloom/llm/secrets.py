@@ -198,3 +198,24 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     found = scan(docs, train_from_corpus(docs))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_markov")
+
+
+def redacted(docs: DataFrame, model: MarkovPair | None, text: str = "text", size: str | None = "n_chars", threshold: float = 0.5, mark: str = "[SECRET]") -> DataFrame:
+    """The rows of ``docs``, all columns, with ``mark`` in place of every span; ``size``, where it is there, follows a changed text."""
+    schema = docs.schema
+
+    def run(batches):
+        for batch in text_slices(batches, text):
+            texts = batch.column(text).to_pylist()
+            clean = [s if s is None else _replaced(s, find(s, model, threshold)[1], mark) for s in texts]
+            columns = []
+            for field in batch.schema:
+                column = batch.column(field.name)
+                if field.name == text:
+                    column = pa.array(clean, field.type)
+                elif field.name == size:
+                    column = pa.array([n if c == s else len(c) for n, c, s in zip(column.to_pylist(), clean, texts)], field.type)
+                columns.append(column)
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return docs.mapInArrow(run, schema)

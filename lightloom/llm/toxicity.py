@@ -263,3 +263,16 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = learn(docs.filter(fold("doc_id", 4) != 2), labels(spark, sf_dir, "toxic"))
     return rate(docs, model).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, all columns, whose whole text scores below the threshold."""
+    small = Model.__new__(Model)
+    small.__dict__ = {k: v for k, v in model.__dict__.items() if k not in ("embed", "soft")}
+    table = model.table()
+
+    def run(batches):
+        for batch in text_slices(batches, text):
+            yield batch.filter(pa.array(small.score(small.worst(*utf8(batch.column(text)), table)) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
