@@ -133,3 +133,13 @@ def labels(spark: SparkSession, sf_dir: str, column: str) -> DataFrame:
     """(doc_id, y): one row for each labelled document; where rows disagree, 1 wins."""
     rows = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col(column).cast("int").alias("y"))
     return rows.filter(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1)).groupBy("doc_id").agg(F.max("y").alias("y"))
+
+
+def sampled(rows: DataFrame, marks: DataFrame, key: str, most: int) -> DataFrame:
+    """``rows`` with their label y: of the marked keys that ``rows`` has, those with the ``most`` smallest hashes.
+
+    Only keys are compared first; the chosen ones, bounded by ``most``, are then looked up where the rows lie.
+    """
+    known = marks.join(rows.select(key), key, "left_semi")
+    chosen = known.withColumn("h", F.xxhash64(F.col(key))).orderBy("h", key).limit(most).drop("h")
+    return rows.join(F.broadcast(chosen), key)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, fold, hash_runs, labels, mix, runs, text_slices, utf8
+from .common import documents, fold, hash_runs, labels, mix, runs, sampled, text_slices, utf8
 
 ORDERS = (3, 4, 5)
 #: Learning documents, and bytes of their texts, of class 0 and class 1 at most: those with the smallest hashes of their keys.
@@ -231,10 +231,10 @@ def _calibrate(model: Model, worst: np.ndarray, y: np.ndarray) -> None:
 
 def learn(docs: DataFrame, marks: DataFrame, key: str = "doc_id", text: str = "text", sample=SAMPLE, **shape) -> Model:
     """Trains on a bounded sample of labelled documents: of each class, whole texts up to so many and so many bytes."""
-    rows = docs.select(key, text).join(marks, key).filter(F.col(text).isNotNull())
+    rows = docs.select(key, text).filter(F.col(text).isNotNull())
     picked = []
     for y, (most, most_bytes) in enumerate(sample):
-        own = rows.filter(F.col("y") == y).withColumn("h", F.xxhash64(F.col(key))).orderBy("h", key, text).limit(most)
+        own = sampled(rows, marks.filter(F.col("y") == y), key, most).withColumn("h", F.xxhash64(F.col(key))).orderBy("h", key, text).limit(most)
         ahead = F.sum(F.octet_length(text)).over(Window.orderBy("h", key, text))  # over the sample's rows alone
         picked += own.withColumn("bytes", ahead).filter(F.col("bytes") <= most_bytes).select(text, "y").collect()
     picked = [r for pair in itertools.zip_longest(*(picked[i::7] for i in range(7))) for r in pair if r is not None]
