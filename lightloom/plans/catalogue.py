@@ -1,6 +1,620 @@
-"""Registered queries and their DuckDB counterparts."""
+"""Registered queries and their DuckDB counterparts.
+
+The tables have no light curves, so series are events (by type or user; t in days since 2024-01-01, flux the value),
+scores are shares a user, catalogues are lineitem and part, and vectors are embeddings. Results are rounded to six
+decimals on both sides.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import exprs as X
+from ..operators import cluster, kernels, match, relational, series
+from .sqlfront import run_sql
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def r6(*names: str):
+    return [F.round(F.col(n), 6).alias(n) for n in names]
+
+
+FILE = "concat('obj-s0001-', lpad(cast({} as string), 16, '0'), '-0120-s_lc.fits')"
+DAYS = "timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', ts) / 86400000000D"
+D_FILE = "'obj-s0001-' || lpad(CAST({} AS VARCHAR), 16, '0') || '-0120-s_lc.fits'"
+D_DAYS = "(epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 86400000000.0"
+
+
+def scores(spark: SparkSession, d: str) -> DataFrame:
+    """(tic, filename, p3, p9): shares of errors and of values above the 0.9 quantile, a user."""
+    ev = table(spark, d, "events")
+    q = ev.agg(F.percentile("value", F.lit(0.9)).alias("q"))
+    one = lambda c: F.avg(F.when(c, F.lit(1.0)).otherwise(F.lit(0.0)))
+    out = ev.join(F.broadcast(q)).groupBy(F.col("user_id").alias("tic")).agg(one(F.col("event_type") == "error").alias("p3"), one(F.col("value") > F.col("q")).alias("p9"))
+    return out.withColumn("filename", F.expr(FILE.format("tic")))
+
+
+D_SCORES = f"""q AS (SELECT quantile_cont(value, 0.9) AS q FROM events),
+s AS (SELECT user_id AS tic, {D_FILE.format('user_id')} AS filename,
+  avg(CASE WHEN event_type = 'error' THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS p3,
+  avg(CASE WHEN value > q THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS p9 FROM events, q GROUP BY user_id)"""
+D_FUSED = f"""{D_SCORES},
+w AS (SELECT tic, filename, p3, p9, 0.8 * sqrt(p3) + 0.2 * sqrt(p9) AS raw FROM s WHERE p3 > 0 AND p9 > 0),
+e AS (SELECT min(raw) AS lo, max(raw) AS hi FROM w),
+f AS (SELECT tic, filename, p3, p9, raw, CASE WHEN hi > lo THEN (raw - lo) / (hi - lo) ELSE 0 END AS norm FROM w, e)"""
+
+
+def fused(spark, d):
+    s = scores(spark, d)
+    return relational.fuse_scores(s.select("tic", "filename", F.col("p3").alias("anomaly_score")), s.select("tic", "filename", F.col("p9").alias("anomaly_score")))
+
+
+FUSED_COLS = ["anomaly_score_p3", "anomaly_score_p9", "score_weighted_root_sum", "score_weighted_root_sumnorm"]
+D_FUSED_COLS = "round(p3, 6) AS anomaly_score_p3, round(p9, 6) AS anomaly_score_p9, round(raw, 6) AS score_weighted_root_sum, round(norm, 6) AS score_weighted_root_sumnorm"
+
+
+@query(f"WITH {D_FUSED} SELECT tic AS tic_p3, filename, tic AS tic_p9, {D_FUSED_COLS} FROM f")
+def wrss_fusion(spark, d):
+    return fused(spark, d).select("tic_p3", "filename", "tic_p9", *r6(*FUSED_COLS))
+
+
+@query(f"WITH {D_FUSED} SELECT filename, round(norm, 6) AS score FROM f WHERE norm >= 0.35 ORDER BY round(norm, 6) DESC, filename LIMIT 20")
+def wrss_top_filtered(spark, d):
+    out = fused(spark, d).filter("score_weighted_root_sumnorm >= 0.35").select("filename", F.round("score_weighted_root_sumnorm", 6).alias("score"))
+    return out.orderBy(F.desc("score"), "filename").limit(20)
+
+
+@query(f"WITH {D_FUSED} SELECT filename, round(norm, 6) AS score FROM f WHERE norm > 0.2 AND p3 < 0.5")
+def sql_front_select(spark, d):
+    return run_sql(fused(spark, d), "SELECT filename, round(score_weighted_root_sumnorm, 6) AS score FROM input_df WHERE score_weighted_root_sumnorm > 0.2 AND anomaly_score_p3 < 0.5")
+
+
+@query("SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY event_type HAVING count(*) > 1")
+def sql_front_aggregate(spark, d):
+    return run_sql(table(spark, d, "events"), "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM input_df GROUP BY event_type HAVING count(*) > 1")
+
+
+@query("SELECT o_orderkey, round(o_totalprice, 6) AS price FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) * 1.8 FROM orders)")
+def sql_front_subquery(spark, d):
+    return run_sql(table(spark, d, "orders"), "SELECT o_orderkey, round(o_totalprice, 6) AS price FROM input_df WHERE o_totalprice > (SELECT avg(o_totalprice) * 1.8D FROM input_df)")
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%RING%'")
+def sql_front_like(spark, d):
+    return run_sql(table(spark, d, "part"), "SELECT p_partkey, p_name FROM input_df WHERE p_name LIKE '%RING%'", compat=True)
+
+
+@query("SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
+def sql_front_order_limit(spark, d):
+    return run_sql(table(spark, d, "orders"), "SELECT o_orderkey, o_orderdate FROM input_df ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
+
+
+@query(f"WITH {D_SCORES} SELECT count(*) AS n, round(sum(p3), 6) AS total FROM s WHERE p3 > 0")
+def score_nonzero(spark, d):
+    return relational.positive(scores(spark, d), "p3").agg(F.count("*").alias("n"), F.round(F.sum("p3"), 6).alias("total"))
+
+
+@query(f"WITH {D_SCORES} SELECT CASE WHEN tic % 7 <> 0 THEN tic END AS tic, filename, CASE WHEN tic % 7 <> 0 THEN round(p3, 6) END AS anomaly_score FROM s")
+def score_null_failures(spark, d):
+    """One row an object; a failed one keeps its name and has nulls."""
+    ok = F.col("tic") % 7 != 0
+    return scores(spark, d).select(F.when(ok, F.col("tic")).alias("tic"), "filename", F.when(ok, F.round("p3", 6)).alias("anomaly_score"))
+
+
+@query(f"SELECT {D_FILE.format('user_id')} AS filename, user_id AS tic FROM (SELECT DISTINCT user_id FROM events)")
+def id_from_filename(spark, d):
+    return table(spark, d, "events").select(F.expr(FILE.format("user_id")).alias("filename")).distinct().withColumn("tic", X.object_id("filename"))
+
+
+@query(
+    """WITH v AS (SELECT p_partkey, 'm_n' || p_size || '_d' || (p_partkey % 40) || '.75_c' || (p_size % 5) || '_n' || (p_partkey % 90) || 'ppm' AS variant FROM part)
+SELECT p_partkey, CAST(regexp_extract(variant, '_d([0-9.]+)_', 1) AS DOUBLE) AS duration_hr, CAST(regexp_extract(variant, '_c([0-9.]+)_', 1) AS DOUBLE) AS cadence_min, CAST(regexp_extract(variant, '_n([0-9.]+)ppm', 1) AS DOUBLE) AS noise_ppm FROM v"""
+)
+def variant_params(spark, d):
+    v = table(spark, d, "part").withColumn("variant", F.expr("concat('m_n', p_size, '_d', p_partkey % 40, '.75_c', p_size % 5, '_n', p_partkey % 90, 'ppm')"))
+    return v.select("p_partkey", X.variant_number("variant", "d").alias("duration_hr"), X.variant_number("variant", "c").alias("cadence_min"), X.variant_number("variant", "n", "ppm").alias("noise_ppm"))
+
+
+LABELS = "element_at(array('Pl', 'Pl?', 'SB*', '**', '*', 'PM*', 'outlier', 'EB*', 'zz', 'LM*'), label + 1)"
+D_LABEL = "(['Pl', 'Pl?', 'SB*', '**', '*', 'PM*', 'outlier', 'EB*', 'zz', 'LM*'])[label + 1]"
+D_GROUP = "CASE WHEN {0} IN ('Pl','Pl?','BD*','s*b') THEN 'planet_like' WHEN {0} IN ('SB*','**','EB*','LM*') THEN 'binary_star' WHEN {0} IN ('*','PM*','Er*') THEN 'stellar' WHEN {0} IN ('outlier','err') THEN 'outlier' ELSE 'unclassified' END"
+
+
+def vectors(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("filename"), F.col("embedding").cast("array<double>").alias("vec"), F.expr(LABELS).alias("label"), F.col("label").alias("k"))
+
+
+def grouped_vectors(spark, d):
+    return vectors(spark, d).select("filename", "label", X.label_group("label").alias("label_group"))
+
+
+D_GV = f"gv AS (SELECT vec_id AS filename, {D_LABEL} AS label, {D_GROUP.format(D_LABEL)} AS label_group FROM embeddings)"
+
+
+@query(f"WITH {D_GV} SELECT * FROM gv")
+def label_group_map(spark, d):
+    return grouped_vectors(spark, d)
+
+
+@query(f"WITH {D_GV} SELECT * FROM gv WHERE label_group IN ('planet_like', 'binary_star')")
+def group_filter_list(spark, d):
+    return relational.filter_groups(grouped_vectors(spark, d), ["planet_like", "binary_star"])
+
+
+@query(f"WITH {D_GV} SELECT label_group, count(*) AS n FROM gv GROUP BY label_group")
+def group_filter_all(spark, d):
+    return relational.filter_groups(grouped_vectors(spark, d), "all").groupBy("label_group").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {D_GV}, m AS (SELECT * FROM gv WHERE filename % 3 = 0) SELECT e.vec_id AS filename FROM embeddings e LEFT JOIN m ON m.filename = e.vec_id WHERE m.label_group IS NULL")
+def group_filter_none(spark, d):
+    rows = relational.attach(vectors(spark, d).select("filename"), grouped_vectors(spark, d).filter("filename % 3 = 0"))
+    return relational.filter_groups(rows, "none").select("filename")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
+def semi_subset(spark, d):
+    big = table(spark, d, "orders").filter("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, d, "customer").join(big, "c_custkey", "left_semi").select("c_custkey", "c_name")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def anti_exclude(spark, d):
+    return table(spark, d, "customer").join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey", "c_name")
+
+
+@query("WITH l AS (SELECT c_name AS filename FROM customer ORDER BY c_name LIMIT 50 OFFSET 10) SELECT filename FROM l WHERE filename IN (SELECT c_name FROM customer WHERE c_nationkey < 12)")
+def listing_slice(spark, d):
+    c = table(spark, d, "customer")
+    return relational.listing(c.select(F.col("c_name").alias("filename")), 10, 50, c.filter("c_nationkey < 12").select(F.col("c_name").alias("filename")))
+
+
+@query(
+    """WITH f AS (SELECT l_partkey, list_sort(list(l_orderkey)) AS entries FROM lineitem WHERE l_quantity > 45 GROUP BY l_partkey)
+SELECT p_partkey, array_to_string(f.entries, ',') AS entries, coalesce(len(f.entries), 0) AS n_entries FROM part LEFT JOIN f ON l_partkey = p_partkey"""
+)
+def catalog_check(spark, d):
+    cat = table(spark, d, "lineitem").filter("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"), "l_orderkey")
+    out = relational.catalogue_check(table(spark, d, "part").select("p_partkey"), cat, "p_partkey", "l_orderkey")
+    return out.select("p_partkey", F.array_join(F.col("entries").cast("array<string>"), ",").alias("entries"), "n_entries")
+
+
+@query("SELECT p_partkey FROM part WHERE (CASE WHEN p_size % 9 = 0 THEN NULL ELSE (p_size % 13) || ',' || (p_partkey % 13) END) SIMILAR TO '(.*,)?1(,.*)?'")
+def catalog_sector_match(spark, d):
+    return table(spark, d, "part").withColumn("sectors", F.expr("if(p_size % 9 = 0, null, concat(p_size % 13, ',', p_partkey % 13))")).filter(X.in_sector("sectors", 1)).select("p_partkey")
+
+
+@query("SELECT DISTINCT l_partkey AS tic FROM lineitem WHERE l_returnflag = 'R' ORDER BY tic")
+def catalog_ids(spark, d):
+    return table(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_partkey").alias("tic")).distinct().orderBy("tic")
+
+
+FACTORS = ["snr", "depth", "hours"]
+D_IMP = "imp AS (SELECT p_partkey AS id, max(l_quantity) * max(l_extendedprice) * max(l_discount) AS importance FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag <> 'N' GROUP BY p_partkey)"
+
+
+def importance_table(spark, d):
+    rows = table(spark, d, "lineitem").filter("l_returnflag <> 'N'").groupBy(F.col("l_partkey").alias("id")).agg(F.max("l_quantity").alias("snr"), F.max("l_extendedprice").alias("depth"), F.max("l_discount").alias("hours"))
+    rows = rows.join(table(spark, d, "part").select(F.col("p_partkey").alias("id")), "id", "left_semi")
+    return relational.importance(rows, FACTORS).select("id", "importance")
+
+
+@query(f"WITH {D_IMP} SELECT id, round(importance, 4) AS importance FROM imp")
+def importance_scores(spark, d):
+    return importance_table(spark, d).select("id", F.round("importance", 4).alias("importance"))
+
+
+@query(f"WITH {D_IMP}, e AS (SELECT min(importance) AS lo, max(importance) AS hi FROM imp) SELECT id, round(CASE WHEN hi > lo THEN (importance - lo) / (hi - lo) ELSE 0 END, 6) AS importance_norm FROM imp, e")
+def importance_normalized(spark, d):
+    return relational.normalise(importance_table(spark, d), "importance", "importance_norm").select("id", *r6("importance_norm"))
+
+
+def events_series(spark, d, key="event_type"):
+    return table(spark, d, "events").select(F.col(key).alias("key"), F.expr(DAYS).alias("t"), F.col("value").alias("flux"))
+
+
+D_SER = f"ser AS (SELECT event_type AS key, {D_DAYS} AS t, value AS flux FROM events)"
+D_USER = f"ser AS (SELECT user_id AS key, {D_DAYS} AS t, value AS flux FROM events)"
+
+
+@query(f"WITH {D_USER} SELECT key, count(*) AS n, round(avg(flux), 6) AS mean, round(stddev_pop(flux), 6) AS std, round(median(flux), 6) AS median, round(min(t), 6) AS t_min, round(max(t), 6) AS t_max FROM ser GROUP BY key HAVING count(*) >= 50")
+def series_stats(spark, d):
+    return series.stats(events_series(spark, d, "user_id"), "key", 50).select("key", "n", *r6("mean", "std", "median", "t_min", "t_max"))
+
+
+def _z(center: str) -> str:
+    return f"WITH {D_USER}, m AS (SELECT key, {center}(flux) AS c, stddev_pop(flux) AS s FROM ser GROUP BY key) SELECT key, round(t, 6) AS t, round(CASE WHEN s > 0 THEN (flux - c) / s ELSE 0 END, 6) AS z FROM ser JOIN m USING (key)"
+
+
+@query(_z("avg"))
+def series_zscore(spark, d):
+    return series.zscore(events_series(spark, d, "user_id"), "key").select("key", *r6("t", "z"))
+
+
+@query(_z("median"))
+def series_robust_zscore(spark, d):
+    return series.zscore(events_series(spark, d, "user_id"), "key", robust=True).select("key", *r6("t", "z"))
+
+
+GRID_N = 60
+D_GRID = f"grid AS (SELECT i, pow(10.0, log10(1.0 / 27.0) + i * (log10(6.0) - log10(1.0 / 27.0)) / {GRID_N - 1}.0) AS f FROM range({GRID_N}) AS g(i))"
+D_POWER = """pt AS (SELECT key, i, f, flux AS y, cos(2 * pi() * f * t) AS c, sin(2 * pi() * f * t) AS s FROM ser, grid),
+m AS (SELECT key, i, f, avg(y) AS ym, avg(c) AS cm, avg(s) AS sm, avg(y*y) AS yy, avg(y*c) AS yc, avg(y*s) AS ys, avg(c*c) AS cc, avg(s*s) AS ss, avg(c*s) AS cs FROM pt GROUP BY key, i, f),
+v AS (SELECT key, i, f, yy-ym*ym AS a, yc-ym*cm AS b, ys-ym*sm AS e, cc-cm*cm AS g, ss-sm*sm AS h, cs-cm*sm AS k FROM m),
+power AS (SELECT key, i, f, (h*b*b + g*e*e - 2*k*b*e) / (a*(g*h - k*k)) AS power FROM v)"""
+
+
+def log_grid(spark, n=GRID_N):
+    return spark.range(1).select(F.posexplode(X.log_grid(1 / 27, 6.0, n)).alias("i", "f"))
+
+
+@query(f"WITH {D_SER}, {D_GRID}, {D_POWER} SELECT key, CAST(i AS INTEGER) AS i, round(f, 6) AS f, round(power, 6) AS power FROM power")
+def periodogram_grid(spark, d):
+    return series.periodogram(events_series(spark, d), "key", log_grid(spark)).select("key", "i", *r6("f", "power"))
+
+
+D_PEAK = """best AS (SELECT key, 1.0 / f AS best_period, p AS peak_power FROM (SELECT key, f, round(power, 9) AS p, row_number() OVER (PARTITION BY key ORDER BY round(power, 9) DESC, i) AS rn FROM power) WHERE rn = 1)"""
+
+
+@query(f"WITH {D_SER}, {D_GRID}, {D_POWER}, {D_PEAK} SELECT key, round(best_period, 6) AS best_period, round(peak_power, 6) AS peak_power FROM best")
+def periodogram_peak(spark, d):
+    return series.best_period(series.periodogram(events_series(spark, d), "key", log_grid(spark)), "key").select("key", *r6("best_period", "peak_power"))
+
+
+PERIOD = 3.7
+
+
+def folded(spark, d, key="event_type"):
+    ser = events_series(spark, d, key)
+    return series.fold(ser, "key", ser.select("key").distinct().withColumn("best_period", F.lit(PERIOD)))
+
+
+D_FOLD = """zs AS (SELECT key, avg(flux) AS c, stddev_pop(flux) AS s FROM ser GROUP BY key),
+fold AS (SELECT key, t, (t % 3.7) / 3.7 AS phase, (flux - c) / s AS z FROM ser JOIN zs USING (key)),
+ends AS (SELECT key, min(phase) AS lo, max(phase) AS hi FROM fold GROUP BY key),
+every AS (SELECT key, CAST(b AS INTEGER) AS bin, lo, hi FROM ends, range(1, 41) AS r(b)),
+bm AS (SELECT key, least(CAST(floor((phase - lo) / ((hi - lo) / 40)) AS INTEGER) + 1, 40) AS bin, avg(z) AS mean, count(*) AS points FROM fold JOIN ends USING (key) GROUP BY 1, 2),
+bins AS (SELECT key, bin, lo + (bin - 0.5) * (hi - lo) / 40 AS center, mean, coalesce(points, 0) AS points FROM every LEFT JOIN bm USING (key, bin))"""
+
+
+@query(f"WITH {D_SER}, {D_FOLD} SELECT key, round(t, 6) AS t, round(phase, 6) AS phase, round(z, 6) AS z FROM fold")
+def phase_fold_points(spark, d):
+    return folded(spark, d).select("key", *r6("t", "phase", "z"))
+
+
+@query(f"WITH {D_SER}, {D_FOLD} SELECT key, bin, round(center, 6) AS center, round(mean, 6) AS mean, points FROM bins")
+def phase_fold_bins(spark, d):
+    return series.bins(folded(spark, d), "key", 40).select("key", "bin", *r6("center", "mean"), "points")
+
+
+@query(
+    f"""WITH {D_SER}, {D_FOLD}, st AS (SELECT key, avg(mean) AS c, stddev_pop(mean) AS s FROM bins GROUP BY key)
+SELECT key, bin, round((mean - c) / s, 6) AS x FROM bins JOIN st USING (key) WHERE key NOT IN (SELECT key FROM bins WHERE mean IS NULL)"""
+)
+def bin_means_features(spark, d):
+    v = series.bin_vector(series.bins(folded(spark, d), "key", 40), "key").filter("is_valid")
+    return v.select("key", F.posexplode("vec").alias("bin", "x")).select("key", (F.col("bin") + 1).alias("bin"), *r6("x"))
+
+
+@query(
+    f"""WITH {D_SER}, {D_FOLD},
+q AS (SELECT key, min(mean) AS low, median(mean) AS mid, quantile_cont(mean, 0.8) AS p80 FROM bins GROUP BY key HAVING count(*) = count(mean)),
+a AS (SELECT key, max(low - mid) AS depth, CASE WHEN sum(CASE WHEN mean < (mid + low) / 2 THEN 1 ELSE 0 END) >= 2 THEN max(CASE WHEN mean < (mid + low) / 2 THEN center END) - min(CASE WHEN mean < (mid + low) / 2 THEN center END) ELSE 0 END AS width,
+  stddev_pop(CASE WHEN mean > p80 THEN mean END) AS baseline_std FROM bins JOIN q USING (key) GROUP BY key),
+s AS (SELECT x.key, avg(abs(x.mean - y.mean)) AS asymmetry FROM bins x JOIN bins y ON x.key = y.key AND y.bin = 41 - x.bin WHERE x.bin <= 20 GROUP BY x.key)
+SELECT key, round(depth, 6) AS depth, round(width, 6) AS width, round(baseline_std, 6) AS baseline_std, round(asymmetry, 6) AS asymmetry FROM a JOIN s USING (key)"""
+)
+def shape_features(spark, d):
+    return series.shape(series.bins(folded(spark, d), "key", 40), "key").select("key", *r6("depth", "width", "baseline_std", "asymmetry"))
+
+
+@query(
+    f"""WITH {D_SER}, {D_FOLD},
+ac AS (SELECT a.key, b.bin - a.bin AS lag, CASE WHEN b.bin - a.bin = 1 THEN 0 ELSE sum(a.mean * b.mean) END AS ac FROM bins a JOIN bins b ON a.key = b.key AND b.bin > a.bin GROUP BY a.key, b.bin - a.bin),
+pk AS (SELECT key, lag, ac, lag(ac) OVER (PARTITION BY key ORDER BY lag) AS p, lead(ac) OVER (PARTITION BY key ORDER BY lag) AS n FROM ac),
+f AS (SELECT key, min(lag) AS lag FROM pk WHERE ac > p AND ac > n GROUP BY key)
+SELECT k.key, round(coalesce(pk.ac, 0), 6) AS autocorr_strength FROM (SELECT DISTINCT key FROM ac) k LEFT JOIN f ON f.key = k.key LEFT JOIN pk ON pk.key = k.key AND pk.lag = f.lag"""
+)
+def autocorrelation_peak(spark, d):
+    return series.autocorrelation_peak(series.autocorrelation(series.bins(folded(spark, d), "key", 40), "key"), "key").select("key", *r6("autocorr_strength"))
+
+
+@query(f"WITH {D_USER}, {D_FOLD} SELECT key, count(*) AS bins, sum(CASE WHEN points = 0 THEN 1 ELSE 0 END) AS empty_bins FROM bins GROUP BY key")
+def fold_empty_bins(spark, d):
+    return series.bins(folded(spark, d, "user_id"), "key", 40).groupBy("key").agg(F.count("*").alias("bins"), F.count_if(F.col("points") == 0).alias("empty_bins"))
+
+
+@query()
+def object_features(spark, d):
+    """Periodogram peaks and box search, by numpy kernels a series."""
+    return kernels.object_features(events_series(spark, d, "user_id"), "key")
+
+
+@query()
+def sharpness(spark, d):
+    v = series.bin_vector(series.bins(folded(spark, d), "key", 40), "key")
+    return kernels.sharpness_of(v, "key")
+
+
+@query()
+def flux_power_stack(spark, d):
+    return match.flux_power_stack(events_series(spark, d, "user_id"), "key", 100, 200).select("key", F.size("vec").alias("size"), F.round(F.array_max(F.slice("vec", 101, 200)), 6).alias("peak"))
+
+
+@query()
+def dtw_pairs(spark, d):
+    return kernels.dtw_pairs(series.bin_vector(series.bins(folded(spark, d), "key", 40), "key").filter("is_valid"), "key")
+
+
+@query(
+    """WITH p AS (SELECT l_returnflag AS key, (l_orderkey % 1000) / 1000.0 AS phase, l_extendedprice AS flux, l_discount AS x, l_tax AS y FROM lineitem),
+m AS (SELECT key, corr(flux, x) AS corr_x, avg(CASE WHEN abs(phase - 0.75) < 0.05 THEN x END) - avg(CASE WHEN abs(phase - 0.75) > 0.1 THEN x END) AS dx,
+  avg(CASE WHEN abs(phase - 0.75) < 0.05 THEN y END) - avg(CASE WHEN abs(phase - 0.75) > 0.1 THEN y END) AS dy,
+  median(CASE WHEN abs(phase - 0.75) > 0.1 THEN flux END) - median(CASE WHEN abs(phase - 0.75) < 0.05 THEN flux END) AS depth FROM p GROUP BY key)
+SELECT key, round(corr_x, 6) AS corr_x, round(dx, 6) AS dx, round(dy, 6) AS dy, round(depth, 6) AS depth, greatest(abs(dx), abs(dy)) / greatest(abs(depth), 0.0001) > 0.5 AS multi_source FROM m"""
+)
+def centroid_shift(spark, d):
+    rows = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("key"), ((F.col("l_orderkey") % 1000) / 1000.0).alias("phase"), F.col("l_extendedprice").alias("flux"), F.col("l_discount").alias("x"), F.col("l_tax").alias("y"))
+    return series.centroid_shift(rows, "key").select("key", *r6("corr_x", "dx", "dy", "depth"), "multi_source")
+
+
+D_DOT = "list_sum(list_transform(range(1, 65), lambda i: CAST({0}[i] AS DOUBLE) * CAST({1}[i] AS DOUBLE)))"
+D_MATCH = f"""v AS (SELECT vec_id AS id, embedding AS e, sqrt({D_DOT.format('embedding', 'embedding')}) AS n, {D_LABEL} AS label FROM embeddings),
+pr AS (SELECT a.id AS filename, b.id AS matched, b.label AS matched_label, round({D_DOT.format('a.e', 'b.e')} / (a.n * b.n), 9) AS similarity FROM v a JOIN v b ON a.id % 5 = 0 AND b.id % 5 <> 0),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY filename ORDER BY similarity DESC, matched) AS rn FROM pr) WHERE rn = 1)"""
+
+
+def top1(spark, d):
+    v = vectors(spark, d)
+    return match.cosine_top1(v.filter("filename % 5 = 0"), v.filter("filename % 5 <> 0"), digits=9)
+
+
+@query(f"WITH {D_MATCH} SELECT filename, matched, matched_label, round(similarity, 6) AS similarity FROM top")
+def cosine_match_top1(spark, d):
+    return top1(spark, d).select("filename", "matched", "matched_label", *r6("similarity"))
+
+
+@query(f"WITH {D_MATCH}, t AS (SELECT filename, CASE WHEN similarity < 0.4 THEN 'outlier' ELSE matched_label END AS matched_label FROM top) SELECT filename, matched_label, {D_GROUP.format('matched_label')} AS label_group FROM t")
+def cosine_match_threshold(spark, d):
+    return match.thresholded(top1(spark, d), 0.4).select("filename", "matched_label", "label_group")
+
+
+def dims(spark, d):
+    return vectors(spark, d).select(F.col("filename").alias("id"), *[F.element_at("vec", i + 1).alias(f"x{i}") for i in range(3)], F.col("k").alias("label"))
+
+
+D_DIMS = "dims AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x0, CAST(embedding[2] AS DOUBLE) AS x1, CAST(embedding[3] AS DOUBLE) AS x2, label FROM embeddings)"
+
+
+def _scaled(a: str, b: str) -> str:
+    one = ", ".join(f"round(({c} - (SELECT {a.format(c)} FROM dims)) / (SELECT {b.format(c)} FROM dims), 6) AS {c}" for c in ("x0", "x1", "x2"))
+    return f"WITH {D_DIMS} SELECT id, {one} FROM dims"
+
+
+@query(_scaled("avg({})", "stddev_pop({})"))
+def scale_standard(spark, d):
+    return cluster.scale(dims(spark, d), ["x0", "x1", "x2"], "standard").select("id", *r6("x0", "x1", "x2"))
+
+
+@query(_scaled("min({})", "max({0}) - min({0})"))
+def scale_minmax(spark, d):
+    return cluster.scale(dims(spark, d), ["x0", "x1", "x2"], "minmax").select("id", *r6("x0", "x1", "x2"))
+
+
+@query(_scaled("median({})", "quantile_cont({0}, 0.75) - quantile_cont({0}, 0.25)"))
+def scale_robust(spark, d):
+    return cluster.scale(dims(spark, d), ["x0", "x1", "x2"], "robust").select("id", *r6("x0", "x1", "x2"))
+
+
+def points(spark, d):
+    out = cluster.scale(dims(spark, d), ["x0", "x1", "x2"], "standard")
+    return out.select("id", F.array("x0", "x1", "x2").alias("vec"), "label")
+
+
+D_PTS = f"""{D_DIMS}, st AS (SELECT avg(x0) AS a0, stddev_pop(x0) AS s0, avg(x1) AS a1, stddev_pop(x1) AS s1, avg(x2) AS a2, stddev_pop(x2) AS s2 FROM dims),
+pts AS (SELECT id, (x0 - a0) / s0 AS x, (x1 - a1) / s1 AS y, (x2 - a2) / s2 AS z, label FROM dims, st)"""
+D_DBSCAN = f"""{D_PTS},
+near AS (SELECT a.id AS a, b.id AS b FROM pts a, pts b WHERE sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)) <= 0.5),
+core AS (SELECT a AS id FROM near GROUP BY a HAVING count(*) >= 5),
+ce AS (SELECT a, b FROM near WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
+walk AS (SELECT id AS root, id AS id FROM core UNION SELECT walk.root, ce.b FROM walk JOIN ce ON ce.a = walk.id),
+roots AS (SELECT id, min(root) AS root FROM walk GROUP BY id),
+numbered AS (SELECT id, root, dense_rank() OVER (ORDER BY root) - 1 AS label FROM roots),
+border AS (SELECT near.a AS id, min(numbered.label) AS label FROM near JOIN numbered ON near.b = numbered.id GROUP BY near.a),
+db AS (SELECT pts.id, CAST(coalesce(numbered.label, border.label, -1) AS INTEGER) AS label FROM pts LEFT JOIN numbered ON numbered.id = pts.id LEFT JOIN border ON border.id = pts.id)"""
+
+
+@query(f"WITH RECURSIVE {D_DBSCAN} SELECT * FROM db")
+def dbscan_labels(spark, d):
+    return cluster.dbscan(points(spark, d), 0.5, 5)
+
+
+@query(f"WITH RECURSIVE {D_DBSCAN} SELECT label, count(*) AS n FROM db GROUP BY label")
+def cluster_sizes(spark, d):
+    return cluster.dbscan(points(spark, d), 0.5, 5).groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query()
+def kmeans_sizes(spark, d):
+    labels, _ = cluster.kmeans(points(spark, d), 3)
+    return labels.groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query()
+def gmm_fit(spark, d):
+    labels, info = cluster.gaussian_mixture(points(spark, d), 3)
+    return labels.groupBy("label").agg(F.count("*").alias("n")).withColumn("aic", F.lit(round(info["aic"], 3))).withColumn("bic", F.lit(round(info["bic"], 3)))
+
+
+@query()
+def pca_project(spark, d):
+    scores_, ratio = cluster.pca(vectors(spark, d), 8, "filename")
+    return scores_.select("id", F.transform("scores", lambda x: F.round(x, 6)).alias("scores")).withColumn("explained", F.lit(round(sum(ratio), 6)))
+
+
+@query(
+    f"""WITH {D_PTS}, pr AS (SELECT a.id, a.label AS la, b.label AS lb, sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)) AS dist FROM pts a, pts b),
+g AS (SELECT id, la, lb, sum(dist) AS s, count(*) AS n FROM pr GROUP BY id, la, lb),
+ab AS (SELECT id, max(CASE WHEN la = lb AND n > 1 THEN s / (n - 1) END) AS a, min(CASE WHEN la <> lb THEN s / n END) AS b FROM g GROUP BY id)
+SELECT round(avg(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM ab"""
+)
+def silhouette(spark, d):
+    return cluster.silhouette(points(spark, d)).select(*r6("silhouette"))
+
+
+D_CENT = "c AS (SELECT label, count(*) AS n, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM pts GROUP BY label), al AS (SELECT avg(x) AS ax, avg(y) AS ay, avg(z) AS az, count(*) AS total FROM pts)"
+
+
+@query(
+    f"""WITH {D_PTS}, {D_CENT}, b AS (SELECT sum(n * ((cx-ax)*(cx-ax) + (cy-ay)*(cy-ay) + (cz-az)*(cz-az))) AS between_, count(*) AS k, max(total) AS total FROM c, al),
+w AS (SELECT sum((x-cx)*(x-cx) + (y-cy)*(y-cy) + (z-cz)*(z-cz)) AS within_ FROM pts JOIN c USING (label))
+SELECT round((between_ / (k - 1)) / (within_ / (total - k)), 6) AS calinski_harabasz FROM b, w"""
+)
+def calinski_harabasz(spark, d):
+    return cluster.calinski_harabasz(points(spark, d)).select(*r6("calinski_harabasz"))
+
+
+@query(
+    f"""WITH {D_PTS}, {D_CENT}, s AS (SELECT label, cx, cy, cz, avg(sqrt((x-cx)*(x-cx) + (y-cy)*(y-cy) + (z-cz)*(z-cz))) AS s FROM pts JOIN c USING (label) GROUP BY label, cx, cy, cz),
+r AS (SELECT a.label, max((a.s + b.s) / sqrt((a.cx-b.cx)*(a.cx-b.cx) + (a.cy-b.cy)*(a.cy-b.cy) + (a.cz-b.cz)*(a.cz-b.cz))) AS r FROM s a JOIN s b ON a.label <> b.label GROUP BY a.label)
+SELECT round(avg(r), 6) AS davies_bouldin FROM r"""
+)
+def davies_bouldin(spark, d):
+    return cluster.davies_bouldin(points(spark, d)).select(*r6("davies_bouldin"))
+
+
+def evaluated(spark, d):
+    """Scores of users above zero, flagged where the user's catalogue part is important."""
+    s = relational.positive(scores(spark, d), "p3").select("tic", "filename", F.round("p3", 9).alias("score"))
+    return relational.ranked(s.join(importance_table(spark, d).withColumnRenamed("id", "tic"), "tic", "left"), "score", "filename")
+
+
+D_EVAL = f"""{D_SCORES}, {D_IMP},
+ev AS (SELECT s.tic, filename, round(p3, 9) AS score, importance, row_number() OVER (ORDER BY round(p3, 9) DESC, filename) AS rn, count(*) OVER () AS n FROM s LEFT JOIN imp ON imp.id = s.tic WHERE p3 > 0)"""
+
+
+@query(f"WITH {D_EVAL} SELECT filename, rn, round((rn - 1) * 100.0 / n, 6) AS percentile FROM ev")
+def rank_percentile(spark, d):
+    return evaluated(spark, d).select("filename", "rn", *r6("percentile"))
+
+
+D_CURVE = """cur AS (SELECT pct, floor(n * pct / 100.0) AS k, sum(CASE WHEN importance IS NOT NULL THEN 1 ELSE 0 END) AS positives, sum(CASE WHEN importance IS NOT NULL AND rn <= floor(n * pct / 100.0) THEN 1 ELSE 0 END) AS hits,
+  avg(CASE WHEN rn <= floor(n * pct / 100.0) THEN importance END) AS mean_weight FROM ev, range(5, 101, 5) AS r(pct) GROUP BY pct, n)"""
+
+
+@query(f"WITH {D_EVAL}, {D_CURVE} SELECT CAST(pct AS INTEGER) AS pct, CAST(k AS BIGINT) AS k, round(CASE WHEN positives > 0 THEN hits * CAST(1 AS DOUBLE) / positives ELSE 0 END, 6) AS recall, round(mean_weight, 4) AS mean_weight FROM cur")
+def topk_recall_curve(spark, d):
+    return relational.recall_curve(evaluated(spark, d), F.col("importance").isNotNull(), "importance").select("pct", "k", *r6("recall"), F.round("mean_weight", 4).alias("mean_weight"))
+
+
+@query(
+    f"""WITH {D_EVAL}, {D_CURVE}, c2 AS (SELECT pct / 100.0 AS x, CASE WHEN positives > 0 THEN hits * CAST(1 AS DOUBLE) / positives ELSE 0 END AS y FROM cur),
+l AS (SELECT (x - lag(x) OVER (ORDER BY x)) * (y + lag(y) OVER (ORDER BY x)) / 2 AS a FROM c2) SELECT round(sum(a), 6) AS area FROM l"""
+)
+def recall_auc(spark, d):
+    curve = relational.recall_curve(evaluated(spark, d), F.col("importance").isNotNull()).select((F.col("pct") / 100.0).alias("x"), "recall")
+    return relational.trapezoid(curve, "x", "recall").select(*r6("area"))
+
+
+D_Q = " UNION ALL ".join(f"SELECT {i} AS i, quantile_cont(score, {i / 20}) AS threshold FROM ev" for i in range(21))
+
+
+@query(
+    f"""WITH {D_EVAL}, qr AS ({D_Q})
+SELECT CAST(i AS INTEGER) AS i, round(threshold, 6) AS threshold, round(sum(CASE WHEN score >= threshold AND importance IS NOT NULL THEN CAST(1 AS DOUBLE) ELSE 0 END) / sum(CASE WHEN importance IS NOT NULL THEN 1 ELSE 0 END), 6) AS recall FROM ev, qr GROUP BY i, threshold"""
+)
+def quantile_recall(spark, d):
+    rows = evaluated(spark, d).withColumn("flag", F.col("importance").isNotNull().cast("int"))
+    return relational.quantile_recall(rows, "score", "flag", 20).select("i", *r6("threshold", "recall"))
+
+
+@query(
+    f"""WITH {D_EVAL}, im AS (SELECT importance, (rn - 1) * 100.0 / n AS percentile, row_number() OVER (ORDER BY importance DESC, filename) AS r, count(*) OVER () AS m FROM ev WHERE importance IS NOT NULL)
+SELECT round(min(percentile), 6) AS lower, round(max(percentile), 6) AS upper, count(*) AS n_top FROM im WHERE r <= greatest(1, floor(m * 20 / 100.0))"""
+)
+def top_importance_range(spark, d):
+    return relational.top_range(evaluated(spark, d).filter("importance is not null"), "importance", "percentile", 20, "filename").select(*r6("lower", "upper"), "n_top")
+
+
+def variants(spark, d):
+    ev = table(spark, d, "events")
+    return ev.select(F.col("event_type").alias("variant"), (F.col("value") - 20).alias("score"), (F.col("user_id") % 10 == 0).cast("int").alias("is_flagged"))
+
+
+D_VAR = """va AS (SELECT event_type AS variant, value - 20 AS score, CASE WHEN user_id % 10 = 0 THEN 1 ELSE 0 END AS is_flagged FROM events),
+rep AS (SELECT variant, count(*) AS n_total, sum(CASE WHEN score > 0 THEN 1 ELSE 0 END) AS n_anomalies, sum(is_flagged) AS n_positives, sum(CASE WHEN score > 0 AND is_flagged = 1 THEN 1 ELSE 0 END) AS n_positives_found, quantile_cont(score, 0.9) AS cut FROM va GROUP BY variant)"""
+D_VAR_COLS = "rep.variant, n_total, CAST(n_anomalies AS BIGINT) AS n_anomalies, CAST(n_positives AS BIGINT) AS n_positives, CAST(n_positives_found AS BIGINT) AS n_positives_found, round(n_anomalies * CAST(1 AS DOUBLE) / n_total, 6) AS anomaly_rate, round(n_positives_found * CAST(1 AS DOUBLE) / n_positives, 6) AS recall"
+VAR_COLS = ["variant", "n_total", "n_anomalies", "n_positives", "n_positives_found"]
+
+
+@query(f"WITH {D_VAR} SELECT {D_VAR_COLS} FROM rep")
+def variant_report(spark, d):
+    return relational.variant_report(variants(spark, d)).select(*VAR_COLS, *r6("anomaly_rate", "recall"))
+
+
+@query(f"WITH {D_VAR} SELECT {D_VAR_COLS}, count(*) AS n_thresholded, CAST(sum(is_flagged) AS BIGINT) AS n_positives_thresholded FROM rep JOIN va ON va.variant = rep.variant AND va.score >= cut GROUP BY ALL")
+def variant_report_top_pct(spark, d):
+    return relational.variant_report(variants(spark, d), 10).select(*VAR_COLS, *r6("anomaly_rate", "recall"), "n_thresholded", "n_positives_thresholded")
+
+
+@query(
+    """WITH b AS (SELECT doc_id, toxic AS pos FROM labels), q AS (SELECT least(CAST(round_even(avg(pos) * 100, 0) AS BIGINT), CAST(sum(pos) AS BIGINT)) AS q FROM b),
+r AS (SELECT doc_id, pos, q, row_number() OVER (PARTITION BY pos ORDER BY md5(doc_id || '-42-0'), doc_id) AS rn FROM b, q)
+SELECT doc_id, pos FROM r WHERE rn <= CASE WHEN pos = 1 THEN q ELSE 100 - q END"""
+)
+def stratified_sample(spark, d):
+    rows = table(spark, d, "labels").select("doc_id", F.col("toxic").alias("pos"))
+    return relational.stratified_sample(rows, "pos", "doc_id", 100).select("doc_id", "pos")
+
+
+@query(
+    """WITH o AS (SELECT c_custkey AS id, (c_custkey % 360) + 0.0003 * (c_custkey % 7) AS ra, (c_custkey % 120) - 60 + 0.0002 * (c_custkey % 5) AS dec FROM customer),
+s AS (SELECT s_suppkey AS star, (s_suppkey % 360) * CAST(1 AS DOUBLE) AS ra, (s_suppkey % 120) - CAST(60 AS DOUBLE) AS dec FROM supplier),
+p AS (SELECT id, star, degrees(2 * asin(sqrt(pow(sin(radians((s.dec - o.dec) / 2)), 2) + cos(radians(o.dec)) * cos(radians(s.dec)) * pow(sin(radians((s.ra - o.ra) / 2)), 2)))) AS distance FROM o, s)
+SELECT id, star, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, star) AS rn FROM p WHERE distance <= 0.0014) WHERE rn = 1"""
+)
+def sky_nearest(spark, d):
+    o = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), ((F.col("c_custkey") % 360) + F.lit(0.0003) * (F.col("c_custkey") % 7)).alias("ra"), ((F.col("c_custkey") % 120) - 60 + F.lit(0.0002) * (F.col("c_custkey") % 5)).alias("dec"))
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("star"), (F.col("s_suppkey") % 360).cast("double").alias("ra"), ((F.col("s_suppkey") % 120) - 60).cast("double").alias("dec"))
+    return relational.sky_nearest(o, s, 0.0014).select("id", "star", *r6("distance"))
+
+
+@query("SELECT event_id, CASE WHEN abs(((t - 1.3 + 2) % 4) - 2) < 0.125 THEN 0.99 ELSE 1.0 END AS flux FROM (SELECT event_id, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 86400000000.0 AS t FROM events)")
+def synthetic_box(spark, d):
+    t = table(spark, d, "events").select("event_id", F.expr(DAYS).alias("t"))
+    return t.select("event_id", X.box_transit("t", 4.0, 0.25, 0.01, 1.3).alias("flux"))
+
+
+@query("SELECT split_part(split_part(url, '://', 2), '/', 1) AS host, count(*) AS n FROM pages GROUP BY 1")
+def url_plan(spark, d):
+    """Download plan: script lines to addresses, by host."""
+    from ..sources.files import script_urls
+
+    urls = script_urls(table(spark, d, "pages").select(F.concat(F.lit("curl -C - -L -o x '"), "url", F.lit("'")).alias("value")))
+    return urls.groupBy(F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("/"), F.lit(1)).alias("host")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT DISTINCT c_custkey AS tic FROM customer")
+def tic_from_script(spark, d):
+    from ..sources.files import script_ids
+
+    return script_ids(table(spark, d, "customer").select(F.expr("concat('curl https://x.example/tess2018206045859-s0001-', lpad(cast(c_custkey as string), 16, '0'), '-0120-s_lc.fits')").alias("value")))
