@@ -54,11 +54,13 @@ def bigrams(tokens: list[str]) -> np.ndarray:
 
 
 class MarkovPair:
-    """Log-likelihood ratio of two first-order chains; counts are smoothed by ``prior`` a cell."""
+    """Log-likelihood ratio of two first-order chains, smoothed by how often each character stands second at all."""
 
     def __init__(self, random: np.ndarray, ordinary: np.ndarray, prior: float = 0.5):
         def chain(counts):
-            c = counts.reshape(SIZE, SIZE).astype(float)[: SIZE - 1, : SIZE - 1] + prior
+            c = counts.reshape(SIZE, SIZE).astype(float)[: SIZE - 1, : SIZE - 1]
+            single = c.sum(axis=0) + prior
+            c += prior * (SIZE - 1) * single / single.sum()
             return np.log(c / c.sum(axis=1, keepdims=True))
 
         self.ratio = chain(random) - chain(ordinary)
