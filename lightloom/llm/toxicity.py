@@ -143,18 +143,49 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * (worst - self.at), -40, 40)))
 
 
-def _bags(text, word, cell, first, size):
-    """n-grams of windows: (window of each, cell of each), by window."""
+def _parts(offs: np.ndarray, limit: int = 1 << 18):
+    """Ranges of texts with about ``limit`` bytes."""
+    run = offs[1:] // limit
+    edges = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), len(offs) - 1]
+    return [(a, b) for a, b in zip(edges, edges[1:]) if b > a]
+
+
+def _bags(data, offs, buckets, text, first, size):
+    """n-grams of windows: (window of each, cell of each), by window. Only those of the windows' words are ever held."""
+    last = np.minimum(first + size, np.searchsorted(text, text[first], side="right"))
+    need = np.zeros(len(text) + 1, dtype=np.int64)
+    np.add.at(need, first, 1)
+    np.add.at(need, last, -1)
+    need = np.cumsum(need)[:-1] > 0
+    words, cells, base = [], [], 0
+    for a, b in _parts(offs):
+        own, w, c = subwords(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a], buckets)
+        keep = need[base : base + len(own)][w]
+        words.append(w[keep] + np.int32(base))
+        cells.append(c[keep])
+        base += len(own)
+    word, cell = np.concatenate(words), np.concatenate(cells)
     order = np.argsort(word, kind="stable")
     word, cell = word[order], cell[order]
     begin = np.searchsorted(word, np.arange(len(text) + 1))
-    last = np.minimum(first + size, np.searchsorted(text, text[first], side="right"))
     n = begin[last] - begin[first]
     at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n - begin[first], n)
     return np.repeat(np.arange(len(first)), n), cell[at]
 
 
-def _learn_words(model: Model, data, offs, text, word, cell, y, rounds: int, least: int, seed: int) -> None:
+def _margins(model: Model, data, offs):
+    """model.margins of all texts, a few of them at a time."""
+    table, out, base = model.table(), [], 0
+    for a, b in _parts(offs):
+        own = offs[a : b + 1] - offs[a]
+        part = data[offs[a] : offs[b]]
+        of, margin, first = model.margins(part, own, table)
+        out.append((of + a, margin, first + base))
+        base += len(runs(_WORD[part] != 32, own)[0])
+    return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0, dtype=np.int64))
+
+
+def _learn_words(model: Model, data, offs, text, y, rounds: int, least: int, seed: int) -> None:
     """Words with ``least`` contexts or more, each a bag with the shares of its contexts by class."""
     _, a, b = runs(_WORD[data] != 32, offs)
     lowered = _WORD[data]
@@ -173,7 +204,9 @@ def _learn_words(model: Model, data, offs, text, word, cell, y, rounds: int, lea
     share = np.stack([neg / max(1, neg.sum()), pos / max(1, pos.sum())], axis=1)[keep]
     prior = 0.5 * least / max(1, min(neg.sum(), pos.sum()))
     share = (share + prior) / (share + prior).sum(1, keepdims=True) * np.minimum(50, (pos + neg)[keep])[:, None] ** 0.5
-    bags, cells = _bags(text, word, cell, at[keep], 1)
+    order = np.argsort(at[keep])
+    keep, share = keep[order], share[order]
+    bags, cells = _bags(data, offs, model.buckets, text, at[keep], 1)
     model.fit_bags(bags, cells, share, 6 * rounds, 0.2, batch=1024, seed=seed)
 
 
@@ -193,10 +226,10 @@ def train(texts: list[str | None], y: np.ndarray, seed: int = 0, rounds: int = 3
         learn = ~back
     data, offs = utf8(pa.array([t for t, own in zip(texts, learn) if own], pa.large_string()))
     own_y = y[learn]
-    text, word, cell = subwords(data, offs, model.buckets)
+    text, _, _ = runs(_WORD[data] != 32, offs)
     if len(text):
-        _learn_words(model, data, offs, text, word, cell, own_y, rounds, least, seed)
-        of, margin, first = model.margins(data, offs)
+        _learn_words(model, data, offs, text, own_y, rounds, least, seed)
+        of, margin, first = _margins(model, data, offs)
         toxic = own_y[of] == 1
         order = np.lexsort((-margin, of))
         rank = np.empty(len(of), dtype=np.int64)
@@ -207,11 +240,14 @@ def train(texts: list[str | None], y: np.ndarray, seed: int = 0, rounds: int = 3
         chosen = np.flatnonzero((toxic & (margin > cutoff)) | clean)
         target = own_y[of[chosen]]
         if 0 < target.sum() < len(target):
-            bags, cells = _bags(text, word, cell, first[chosen], model.size)
+            bags, cells = _bags(data, offs, model.buckets, text, first[chosen], model.size)
             weight = np.stack([(target == k) / (target == k).sum() for k in (0, 1)], axis=1)
             model.fit_bags(bags, cells, weight, rounds, 0.1, seed=seed + 1)
     data, offs = utf8(pa.array([t for t, own in zip(texts, back) if own], pa.large_string()))
-    _calibrate(model, model.worst(data, offs), y[back])
+    of, margin, _ = _margins(model, data, offs)
+    worst = np.full(len(offs) - 1, -50.0)
+    np.maximum.at(worst, of, margin)
+    _calibrate(model, worst, y[back])
     return model
 
 
