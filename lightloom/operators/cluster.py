@@ -1,15 +1,16 @@
-"""Scaling, density clustering, centroid and mixture models, and quality measures of feature vectors."""
+"""Scaling, density clustering, centroid and mixture models, their dispatch, and quality measures of feature vectors."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from . import mixture
+from .mixture import summed
 
 
 def scale(df: DataFrame, columns: list[str], method: str = "standard") -> DataFrame:
@@ -96,20 +97,10 @@ def gaussian_mixture(points: DataFrame, k: int = 3, seed: int = 42, key: str = "
 
 def pca(points: DataFrame, k: int, key: str = "id", vec: str = "vec") -> tuple[DataFrame, list[float]]:
     """Centred scores and variance ratios; the covariance is summed up over tasks, d * d numbers reach the driver."""
-    d = points.select(F.size(vec)).first()[0]
-
-    def moments(batches):
-        n, s, ss = 0, np.zeros(d), np.zeros((d, d))
-        for pdf in batches:
-            if len(pdf):
-                x = np.stack(pdf["v"].to_list()).astype(float)
-                n, s, ss = n + len(x), s + x.sum(0), ss + x.T @ x
-        yield pd.DataFrame({"n": [n], "s": [s.tolist()], "ss": [ss.ravel().tolist()]})
-
-    parts = points.select(F.col(vec).cast("array<double>").alias("v")).mapInPandas(moments, "n long, s array<double>, ss array<double>").toPandas()  # one row a task
-    n = int(parts["n"].sum())
-    mean = np.sum(parts["s"].to_list(), axis=0) / n
-    cov = np.sum(parts["ss"].to_list(), axis=0).reshape(d, d) / n - np.outer(mean, mean)
+    d = points.filter(F.col(vec).isNotNull()).select(F.size(vec)).first()[0]
+    sums = summed(points, vec, lambda x: np.concatenate([[len(x)], x.sum(0), (x.T @ x).ravel()]), 1 + d + d * d)
+    n, mean = int(sums[0]), sums[1 : 1 + d] / sums[0]
+    cov = sums[1 + d :].reshape(d, d) / n - np.outer(mean, mean)
     value, axes = np.linalg.eigh(cov)
     order = np.argsort(-value)[:k]
     axes = axes[:, order] * np.sign(axes[np.abs(axes[:, order]).argmax(0), order])
@@ -147,3 +138,71 @@ def davies_bouldin(labelled: DataFrame, vec: str = "vec") -> DataFrame:
     s = labelled.join(F.broadcast(c), "label").groupBy("label").agg(F.avg(distance(vec, "centroid")).alias("s"), F.first("centroid").alias("c"))
     pairs = s.alias("a").join(s.alias("b"), F.col("a.label") != F.col("b.label")).groupBy("a.label").agg(F.max((F.col("a.s") + F.col("b.s")) / distance("a.c", "b.c")).alias("r"))
     return pairs.agg(F.avg("r").alias("davies_bouldin"))
+
+
+def metrics(labelled: DataFrame, key: str = "id", vec: str = "vec") -> DataFrame:
+    """(silhouette, calinski_harabasz, davies_bouldin), one row; noise counts as a cluster; null with a single cluster."""
+    out = silhouette(labelled, key, vec).join(calinski_harabasz(labelled, vec)).join(davies_bouldin(labelled, vec))
+    many = labelled.select(F.count_distinct("label").alias("_k"))
+    return many.join(out).select(*[F.when(F.col("_k") > 1, F.col(c)).alias(c) for c in out.columns])  # single rows meet
+
+
+def _with_mixture(prior: str | None):
+    def run(points, n_components=3, covariance_type="full", random_state=42, weight_concentration_prior=0.1, weight_concentration_prior_type=None):
+        model = mixture.fit(points, n_components, covariance_type, weight_concentration_prior_type or prior, weight_concentration_prior, random_state)
+        return model.assign(points).select("id", "label"), {"log_likelihood": model.log_likelihood, "aic": model.aic, "bic": model.bic}
+
+    return run
+
+
+def _kmeans(points, n_clusters=3, random_state=42):
+    labels, inertia = kmeans(points, n_clusters, random_state)
+    return labels.select("id", "label"), {"inertia": inertia}
+
+
+#: Name -> (labelling, parameters that it takes).
+ALGORITHMS = {
+    "dbscan": (lambda points, eps=0.5, min_samples=5: (dbscan(points, eps, min_samples), {}), ("eps", "min_samples")),
+    "kmeans": (_kmeans, ("n_clusters", "random_state")),
+    "gmm": (_with_mixture(None), ("n_components", "covariance_type", "random_state")),
+    "bayesian_gmm": (_with_mixture("dirichlet_process"), ("n_components", "covariance_type", "random_state", "weight_concentration_prior", "weight_concentration_prior_type")),
+}
+
+
+def cluster_features(points: DataFrame, algorithm: str = "dbscan", preprocessing: str = "standard", **params) -> tuple[DataFrame, dict]:
+    """(id, vec, label) by the named algorithm over scaled vectors (id, vec), and what the model tells of itself.
+
+    Parameters of other algorithms are ignored, unknown algorithms raise ValueError.
+    """
+    if algorithm not in ALGORITHMS:
+        raise ValueError(f"unknown algorithm: {algorithm}")
+    run, allowed = ALGORITHMS[algorithm]
+    ready = scale_vectors(points, preprocessing)
+    labels, told = run(ready, **{k: v for k, v in params.items() if k in allowed})
+    return ready.join(labels, "id"), told
+
+
+def scale_vectors(points: DataFrame, method: str = "standard") -> DataFrame:
+    """(id, vec): every component scaled."""
+    rows = points.filter(F.col("vec").isNotNull()).select("id", F.col("vec").cast("array<double>").alias("vec"))
+    first = rows.select(F.size("vec")).first() if method != "none" else None
+    if first is None:
+        return rows
+    names = [f"_x{i}" for i in range(first[0])]
+    wide = rows.select("id", *[F.col("vec")[i].alias(n) for i, n in enumerate(names)])
+    return scale(wide, names, method).select("id", F.array(*names).alias("vec"))
+
+
+def compare_algorithms(points: DataFrame, algorithms=tuple(ALGORITHMS), preprocessing: str = "standard", **params) -> tuple[DataFrame, dict[str, str]]:
+    """(algorithm, n_clusters, n_noise and the three metrics), one row an algorithm; those that fail are told apart with their errors."""
+    rows, failed = None, {}
+    for name in algorithms:
+        try:
+            labelled, _ = cluster_features(points, name, preprocessing, **params)
+            labelled = labelled.checkpoint()
+            sizes = labelled.agg(F.count_distinct(F.when(F.col("label") >= 0, F.col("label"))).alias("n_clusters"), F.count_if(F.col("label") < 0).alias("n_noise"))
+            row = sizes.join(metrics(labelled)).select(F.lit(name).alias("algorithm"), "*")
+            rows = row if rows is None else rows.unionByName(row)
+        except ValueError as e:
+            failed[name] = str(e)
+    return rows, failed

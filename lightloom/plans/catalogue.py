@@ -7,11 +7,14 @@ decimals on both sides.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..operators import cluster, kernels, match, relational, series
+from ..operators import cluster, forest, kernels, match, mixture, relational, series, subsets
+from ..streaming import incremental
 from .sqlfront import run_sql
 
 QUERIES: dict = {}
@@ -618,3 +621,69 @@ def tic_from_script(spark, d):
     from ..sources.files import script_ids
 
     return script_ids(table(spark, d, "customer").select(F.expr("concat('curl https://x.example/tess2018206045859-s0001-', lpad(cast(c_custkey as string), 16, '0'), '-0120-s_lc.fits')").alias("value")))
+
+
+def _mixture_query(shape: str, prior: str | None):
+    def run(spark, d):
+        model = mixture.fit(points(spark, d), 3, shape, prior)
+        sizes = model.assign(points(spark, d)).groupBy("label").agg(F.count("*").alias("n"))
+        return sizes if prior else sizes.withColumn("aic", F.lit(round(model.aic, 3))).withColumn("bic", F.lit(round(model.bic, 3)))
+
+    return run
+
+
+for _shape in mixture.SHAPES:
+    QUERIES[f"gmm_{_shape}"] = _mixture_query(_shape, None)
+for _prior in mixture.PRIORS[1:]:
+    QUERIES[f"bayesian_gmm_{_prior}"] = _mixture_query("full", _prior)
+
+
+@query()
+def clustering_comparison(spark, d):
+    """Metrics of every algorithm over the same scaled points."""
+    rows, _ = cluster.compare_algorithms(points(spark, d).select("id", "vec"), eps=0.5, min_samples=5)
+    return rows.select("algorithm", "n_clusters", "n_noise", *r6("silhouette", "calinski_harabasz", "davies_bouldin"))
+
+
+@query(
+    f"""WITH {D_DIMS}, masks AS (SELECT * FROM (VALUES ('x0,x1', 1, 1, 0), ('x0,x2', 1, 0, 1), ('x1,x2', 0, 1, 1), ('x0,x1,x2', 1, 1, 1)) AS m(features, m0, m1, m2)),
+pr AS (SELECT features, a.id, a.label > 4 AS la, b.label > 4 AS lb, sqrt(m0*(a.x0-b.x0)*(a.x0-b.x0) + m1*(a.x1-b.x1)*(a.x1-b.x1) + m2*(a.x2-b.x2)*(a.x2-b.x2)) AS dist FROM dims a, dims b, masks),
+g AS (SELECT features, id, la, lb, sum(dist) AS s, count(*) AS n FROM pr GROUP BY ALL),
+ab AS (SELECT features, id, max(CASE WHEN la = lb AND n > 1 THEN s / (n - 1) END) AS a, min(CASE WHEN la <> lb THEN s / n END) AS b FROM g GROUP BY features, id)
+SELECT features, round(avg(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette, count(*) AS n FROM ab GROUP BY features"""
+)
+def subset_search(spark, d):
+    return subsets.silhouettes(dims(spark, d), ["x0", "x1", "x2"], F.col("label") > 4).select("features", *r6("silhouette"), "n")
+
+
+@query()
+def flat_box(spark, d):
+    """Flattened series folded at their best box, in bins of phase."""
+    rows = kernels.flat_box(events_series(spark, d), "key", periods=200, duration=0.25)
+    at = F.least(F.floor((F.col("phase") + 0.5) * 150) + 1, F.lit(150)).cast("int")
+    return rows.groupBy("key", at.alias("bin")).agg(F.round(F.avg("z"), 6).alias("mean"), F.count("*").alias("points"), F.round(F.first("period"), 6).alias("period"))
+
+
+@query()
+def synthetic_mixed(spark, d):
+    """Synthetic curves at the times of every user's events."""
+    out = kernels.synthetic_curves(events_series(spark, d, "user_id").select("key", "t"), "key")
+    return out.groupBy("key", "model").agg(F.count("*").alias("n"), F.round(F.min("flux"), 4).alias("low"), F.round(F.avg("flux"), 4).alias("mean"))
+
+
+@query()
+def forest_scores(spark, d):
+    """1 - P(real) of every vector, by a forest trained against vectors with shuffled components."""
+    real = vectors(spark, d).select("filename", "vec")
+    model = forest.fit(real, forest.shuffled_columns(real), trees=50)
+    return forest.score(real, model).select("filename", *r6("anomaly_score"))
+
+
+@query("SELECT event_type, date_trunc('day', ts) AS start, count(*) AS n, round(avg(value), 6) AS mean, round(min(value), 6) AS low, round(max(value), 6) AS high FROM events GROUP BY ALL")
+def stream_daily(spark, d):
+    """Daily totals of the events by Structured Streaming over their files."""
+    # a pattern, as a stream takes a single file only by one
+    stream = incremental.new_files(spark, f"{d}/event[s].parquet", table(spark, d, "events").schema)
+    work = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/stream-{uuid.uuid4().hex}"
+    made = incremental.drain_totals(incremental.windowed(stream, "ts", "1 day", ["event_type"], "value"), f"{work}/totals", f"{work}/state")
+    return spark.read.parquet(made).select("event_type", "start", "n", *r6("mean", "low", "high"))

@@ -97,6 +97,53 @@ def read_arrays(spark: SparkSession, matrix: str, names: str) -> DataFrame:
     return spark.createDataFrame(pd.DataFrame({"filename": keys, "vec": [v.astype(float).tolist() for v in x]}), "filename string, vec array<double>")
 
 
+def write_csv(df: DataFrame, path: str, append: bool = False) -> None:
+    """CSV with a header, by all tasks; append adds files to the folder, which needs no lock."""
+    df.write.mode("append" if append else "overwrite").csv(path, header=True)
+
+
+def write_vectors(df: DataFrame, path: str, key: str = "filename", vec: str = "vec") -> None:
+    """(key, vec) as Parquet, the form that read_vectors and every operator take."""
+    df.select(F.col(key).alias("filename"), F.col(vec).cast("array<double>").alias("vec")).write.mode("overwrite").parquet(path)
+
+
+def read_vectors(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).select("filename", "vec")
+
+
+def read_results(spark: SparkSession, path: str, suffix: str = "_results.csv", schema: str = SCORES, first: int | None = None) -> DataFrame:
+    """(variant, columns) of all result files below ``path``; the variant is the file's name without the suffix.
+
+    first: only the first so many variants by name. Rows that can't be read are dropped.
+    """
+    raw = spark.read.csv(path, header=True, schema=schema, nullValue="None", mode="DROPMALFORMED", pathGlobFilter=f"*{suffix}", recursiveFileLookup=True)
+    out = raw.select(F.substring_index(F.col("_metadata.file_name"), suffix, 1).alias("variant"), *raw.columns)
+    if first is None:
+        return out
+    return out.join(F.broadcast(out.select("variant").distinct().orderBy("variant").limit(first)), "variant", "left_semi")
+
+
+def fetch(urls: DataFrame, get, done: DataFrame | None = None, start: int = 0, most: int | None = None, tasks: int = 4) -> DataFrame:
+    """(url, content, error) for urls (url) in order from ``start``, those in ``done`` (url) left out; a failure is one row.
+
+    get: url -> bytes, called by ``tasks`` tasks. Rows may go straight to a sink, so a batch that was written counts as done.
+    """
+    rows = urls.select("url").distinct().orderBy("url").offset(start)
+    rows = rows if most is None else rows.limit(most)
+    if done is not None:
+        rows = rows.join(done.select("url"), "url", "left_anti")
+
+    def run(batches):
+        for pdf in batches:
+            for url in pdf["url"]:
+                try:
+                    yield pd.DataFrame({"url": [url], "content": [bytes(get(url))], "error": [None]})
+                except Exception as e:  # one failed address is one marked row
+                    yield pd.DataFrame({"url": [url], "content": [None], "error": [f"{type(e).__name__}: {e}"]})
+
+    return rows.repartition(tasks).mapInPandas(run, "url string, content binary, error string")
+
+
 def script_urls(lines: DataFrame, line: str = "value") -> DataFrame:
     """(url) of each curl or wget line: its last word, without quotes."""
     text = F.trim(F.col(line))
