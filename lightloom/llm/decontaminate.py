@@ -18,8 +18,9 @@ from .common import ascii_lower, cut, documents
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The sentinel that ends each document's words; it holds separators, so no word equals it.
 END = "\x01"
-#: Broadcast limit: a larger benchmark is joined by shuffling.
+#: Broadcast limits, in windows and in distinct words: a larger benchmark is joined by shuffling.
 BROADCAST_WINDOWS = 200_000
+BROADCAST_WORDS = 1_000_000
 
 
 def words_of(text: Column) -> Column:
@@ -39,30 +40,50 @@ def prefixes(wins: DataFrame, words: DataFrame) -> DataFrame:
 
     words: (w): the corpus's words, an array a document. A word's frequency counts all its occurrences.
     """
-    vocabulary = wins.select(F.explode("win").alias("word")).distinct()
-    heard = words.select(F.explode("w").alias("word")).join(F.broadcast(vocabulary), "word").groupBy("word").agg(F.count("*").alias("n"))
+    vocabulary = cut(wins.select(F.explode("win").alias("word")).distinct())
+    heard = words.select(F.explode("w").alias("word"))
+    if vocabulary.count() <= BROADCAST_WORDS:
+        heard = heard.join(F.broadcast(vocabulary), "word").groupBy("word").agg(F.count("*").alias("n"))
+    else:
+        heard = heard.groupBy("word").agg(F.count("*").alias("n")).join(vocabulary, "word", "left_semi")
     each = wins.select("win").distinct().select("win", F.posexplode("win").alias("k", "word"))
     counted = each.join(heard, "word", "left").groupBy("win").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "k")).alias("rarest"), F.min(F.coalesce("n", F.lit(0))).alias("least"))
     # a window with a word that no document holds occurs nowhere
     return counted.filter("least > 0").select(F.col("rarest.word").alias("word"), F.col("rarest.k").alias("k"), "win")
 
 
-def occurrences(words: DataFrame, prefix: DataFrame, keys: list[str], small: bool) -> DataFrame:
+def occurrences(words: DataFrame, prefix: DataFrame, keys: list[str], small: bool, size: int) -> DataFrame:
     """(keys, n_words, start, win): every occurrence of a window, and a row with null start for each document.
 
     words: keys and w. The sentinel after a document's last word meets a row of its own, so that documents without any
     occurrence come out of the same pass.
     """
-    spark = words.sparkSession
-    end = spark.range(1).select(F.lit(END).alias("word"), F.lit(0).alias("k"), F.expr("cast(null as array<string>)").alias("win"))
-    table = prefix.select("word", "k", "win").unionByName(end)
+    if not small:
+        return _shuffled_occurrences(words, prefix, keys, size)
+    end = words.sparkSession.range(1).select(F.lit(END).alias("word"), F.lit(0).alias("k"), F.expr("cast(null as array<string>)").alias("win"))
+    table = F.broadcast(prefix.select("word", "k", "win").unionByName(end))
     long = words.select(*keys, "w", F.posexplode(F.concat("w", F.array(F.lit(END)))).alias("at", "word"))
-    joined = long.join(F.broadcast(table) if small else table, "word")
+    joined = long.join(table, "word")
     start = F.col("at") - F.col("k")
     fits = (start >= 0) & (start + F.size("win") <= F.size("w")) & (F.slice("w", start + 1, F.greatest(F.size("win"), F.lit(1))) == F.col("win"))
     return joined.filter(F.col("win").isNull() | fits).select(*keys, F.size("w").cast("long").alias("n_words"), F.when(F.col("win").isNotNull(), start).alias("start"), "win")
 
 
+def _shuffled_occurrences(words: DataFrame, prefix: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """The same for a benchmark that no broadcast may hold: what moves is a word with its ``size`` - 1 neighbours on each
+    side, of the words that begin a prefix; the documents come as rows of their own, so no key holds them all."""
+    w, reach = F.col("w"), size - 1
+    n_words = F.size(w).cast("long").alias("n_words")
+    low = F.greatest(F.col("at") - reach, F.lit(0))
+    each = words.select(*keys, "w", n_words, F.posexplode(w).alias("at", "word"))
+    each = each.select(*keys, "n_words", "at", "word", low.alias("low"), F.slice(w, low + 1, F.col("at") - low + size).alias("near"))
+    start = F.col("at") - F.col("k")
+    fits = (start >= 0) & (start + F.size("win") <= F.col("n_words")) & (F.slice("near", F.greatest(start - F.col("low"), F.lit(0)) + 1, F.size("win")) == F.col("win"))
+    hits = each.join(prefix, "word").filter(fits).select(*keys, "n_words", start.alias("start"), "win")
+    none = words.select(*keys, n_words, F.expr("cast(null as int)").alias("start"), F.expr("cast(null as array<string>)").alias("win"))
+    return hits.unionByName(none)
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """(key, n_words, n_hit, n_items, items_sha256, contaminated): one row for each document.
 
@@ -74,11 +95,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, key: st
     words = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("copy"), words_of(F.col(text)).alias("w"))
     prefix = cut(prefixes(wins, words))
     small = prefix.count() <= BROADCAST_WINDOWS
-    found = occurrences(words, prefix, ["key", "copy"], small)
+    found = occurrences(words, prefix, ["key", "copy"], small, size)
     # a document's occurrences as (start, window), once each; then its covered positions and its items
     own = found.groupBy("key", "copy", "n_words", "start", "win").agg(F.lit(1).alias("one")).drop("one")
     items = wins.groupBy("win").agg(F.collect_set(F.col("item").cast("string")).alias("items"))
-    own = own.join(F.broadcast(items) if small else items, "win", "left").withColumn("stop", F.col("start") + F.size("win"))
+    if small:
+        own = own.join(F.broadcast(items), "win", "left")
+    else:  # rows without a window would all meet in one task
+        none = own.filter("win is null").withColumn("items", F.expr("cast(null as array<string>)"))
+        own = own.filter("win is not null").join(items, "win").unionByName(none)
+    own = own.withColumn("stop", F.col("start") + F.size("win"))
     ordered = Window.partitionBy("key", "copy").orderBy(F.col("start").asc_nulls_first(), "stop")
     reach = F.max("stop").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
     new = F.greatest(F.lit(0), F.col("stop") - F.greatest("start", F.coalesce(reach, F.col("start"))))

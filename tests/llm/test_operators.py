@@ -155,6 +155,15 @@ def test_decontamination(spark, docs, texts):
         assert r.items_sha256 == hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
 
 
+def test_decontamination_without_broadcasts(spark, docs, texts, monkeypatch):
+    items = [(7, " ".join(texts[0].split()[2:9])), (8, texts[5]), (9, "one two"), (9, None), (None, texts[1]), (10, "nowhere at all"), (11, texts[0])]
+    asked = lambda: sorted(map(str, decontaminate.decontaminate(docs, spark.createDataFrame(items, "item_id long, text string"), size=6).collect()))
+    before = asked()
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
+    monkeypatch.setattr(decontaminate, "BROADCAST_WORDS", 0)
+    assert asked() == before and sum("contaminated=True" in r for r in before) > 3
+
+
 def test_secrets(spark):
     key = "Zx8qLw93TnB5vRk2Yp7M"
     rows = [(1, f"password = 'hunter22' and {key}"), (2, None), (3, ""), (4, "token:abc" + " kanarusomi" * 5), (5, "a" * 30 + " AKIA" + "B" * 16), (1, f"password = 'hunter22' and {key}")]
