@@ -15,7 +15,7 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, fold, hash_runs, labels, mix, runs, sampled, text_slices, utf8
@@ -23,6 +23,8 @@ from .common import documents, fold, hash_runs, labels, mix, runs, sampled, text
 ORDERS = (3, 4, 5)
 #: Learning documents, and bytes of their texts, of class 0 and class 1 at most: those with the smallest hashes of their keys.
 SAMPLE = ((2000, 3 << 20), (2000, 2 << 20))
+#: So many documents of a class (or all, if fewer) are in the sample however long they are: long ones by excerpts.
+ALWAYS = 500
 _WORD = np.full(256, 32, dtype=np.uint8)
 _WORD[48:58] = np.arange(48, 58)
 _WORD[97:123] = np.arange(97, 123)
@@ -265,14 +267,54 @@ def _calibrate(model: Model, worst: np.ndarray, y: np.ndarray) -> None:
     model.at = float((here + max(after, here - spread)) / 2) + np.log(0.7 / 0.3) / model.slope
 
 
-def learn(docs: DataFrame, marks: DataFrame, key: str = "doc_id", text: str = "text", sample=SAMPLE, **shape) -> Model:
-    """Trains on a bounded sample of labelled documents: of each class, whole texts up to so many and so many bytes."""
+def shares(sizes: np.ndarray, most_bytes: int, always: int = ALWAYS) -> tuple[int, np.ndarray]:
+    """(level, chosen): documents of these sizes, in order, within so many bytes when those over the level are cut to it.
+
+    The level is the largest at which the first ``always`` fit together; of the others only those that don't fit are left out.
+    """
+    head = np.sort(sizes[:always])
+    ahead, after = np.cumsum(head) - head, len(head) - np.arange(len(head))
+    over = np.flatnonzero(ahead + head * after > most_bytes)
+    level = int((most_bytes - ahead[over[0]]) // after[over[0]]) if len(over) else most_bytes
+    chosen, total = [], 0
+    for i, n in enumerate(np.minimum(sizes, level).tolist()):
+        if total + n <= most_bytes:
+            chosen.append(i)
+            total += n
+    return level, np.array(chosen, dtype=np.int64)
+
+
+def excerpt(text: Column, level: Column) -> Column:
+    """Texts of more than ``level`` bytes: whole words from stretches of some 256 bytes, spread evenly over the text."""
+    data, n = text.cast("binary"), F.octet_length(text)
+    pieces = F.least(F.lit(64), F.greatest(F.lit(1), F.floor(level / 256))).cast("int")
+    size = F.greatest(F.lit(1), F.floor(level / pieces) - 1).cast("int")
+    start = lambda i: (F.floor((i + 0.5) * (n - size) / pieces) + 1).cast("int")
+    whole = lambda i: F.regexp_replace(F.substring(data, start(i), size).cast("string"), r"^\S*\s|\s\S*$", " ")
+    return F.when(n <= level, text).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), pieces - 1), whole), " "))
+
+
+def learn(docs: DataFrame, marks: DataFrame, key: str = "doc_id", text: str = "text", sample=SAMPLE, always: int = ALWAYS, **shape) -> Model:
+    """Trains on a bounded sample of labelled documents: of each class up to so many and so many bytes, repeated rows once.
+
+    Only sizes and hashes are compared first, so no text moves that is not learned from. Where the labels have both
+    classes and the sample has not, nothing can be learned, which is an error unless ``docs`` is empty.
+    """
     rows = docs.select(key, text).filter(F.col(text).isNotNull())
-    picked = []
+    hashed = rows.withColumn("t", F.xxhash64(F.col(text)))
+    chosen = []
     for y, (most, most_bytes) in enumerate(sample):
-        own = sampled(rows, marks.filter(F.col("y") == y), key, most).withColumn("h", F.xxhash64(F.col(key))).orderBy("h", key, text).limit(most)
-        ahead = F.sum(F.octet_length(text)).over(Window.orderBy("h", key, text))  # over the sample's rows alone
-        picked += own.withColumn("bytes", ahead).filter(F.col("bytes") <= most_bytes).select(text, "y").collect()
+        own = sampled(hashed.select(key, "t", F.octet_length(text).alias("n")), marks.filter(F.col("y") == y), key, most).distinct()
+        own = own.withColumn("h", F.xxhash64(F.col(key))).orderBy("h", key, "t").limit(most).collect()
+        level, places = shares(np.array([r["n"] for r in own], dtype=np.int64), most_bytes, always)
+        chosen += [(own[i][key], own[i]["t"], y, i, level) for i in places.tolist()]
+    if len({c[2] for c in chosen}) < 2 and marks.filter(F.col("y").isin(0, 1)).select("y").distinct().count() == 2 and not rows.isEmpty():
+        raise ValueError(f"labels have both classes, but the learning sample has {len(chosen)} documents of one class or none")
+    picked = []
+    if chosen:
+        own = docs.sparkSession.createDataFrame(chosen, docs.select(key).schema.add("t", "long").add("y", "integer").add("at", "integer").add("level", "integer"))
+        found = hashed.join(F.broadcast(own), [key, "t"]).select("y", "at", excerpt(F.col(text), F.col("level")).alias(text)).dropDuplicates(["y", "at"])
+        picked = sorted(found.collect(), key=lambda r: (r["y"], r["at"]))
     picked = [r for pair in itertools.zip_longest(*(picked[i::7] for i in range(7))) for r in pair if r is not None]
     return train([r[text] for r in picked], np.array([r["y"] for r in picked], dtype=np.int64), **shape)
 

@@ -9,6 +9,7 @@ import pytest
 
 pytest.importorskip("lightloom.llm.registry")
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -204,6 +205,31 @@ def test_quality_and_toxicity_held_out(spark):
     assert toxicity.drop_toxic(df, model).count() < df.count()
 
 
+def test_toxicity_learns_from_long_texts(spark):
+    def text(i, n):
+        w = prose(n).split()
+        if i % 2:
+            w[3 :: 12] = RNG.choice(["grubbish", "snarkle", "blorpful"], len(w[3::12]))
+        return " ".join(w)
+
+    # every text is over the bound of its class
+    df = spark.createDataFrame([(i, text(i, 3000)) for i in range(60)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, y int")
+    model = toxicity.learn(df.unionByName(df.limit(5)), marks, sample=((2000, 12000), (2000, 12000)), always=30, buckets=1 << 14)
+    tests = spark.createDataFrame([(i, text(i, 60)) for i in range(100)], "doc_id long, text string")
+    assert np.isfinite(model.at) and np.mean([(r.score >= 0.3) == bool(r.doc_id % 2) for r in toxicity.rate(tests, model).collect()]) > 0.9
+    # a long text drops itself alone, and none at all of the first ones
+    assert toxicity.shares(np.array([5, 9, 4, 3]), 12, 1)[1].tolist() == [0, 2, 3]
+    level, chosen = toxicity.shares(np.array([1000, 2, 900, 1]), 103, 3)
+    assert level == 50 and chosen.tolist() == [0, 1, 2, 3]
+    cut = spark.createDataFrame([(" ".join(f"w{i}" for i in range(900)),), ("short one",)], "text string").select(toxicity.excerpt(F.col("text"), F.lit(1000)).alias("e")).collect()
+    words = [int(w[1:]) for w in cut[0].e.split()]
+    assert cut[1].e == "short one" and len(cut[0].e) <= 1000 and words == sorted(set(words)) and min(words) < 250 and max(words) > 650 and all(w < 900 for w in words)
+    with pytest.raises(ValueError):
+        toxicity.learn(df.filter("doc_id % 2 = 1"), marks)
+    assert toxicity.drop_toxic(empty(spark), toxicity.learn(empty(spark), marks)).count() == 0
+
+
 def test_language_mixtures(spark):
     words = {"aa": ["kana", "lopo", "mirus"], "bb": ["Zwisch", "trüg", "schaft"]}
     say = lambda lang, n: " ".join(RNG.choice(words[lang], n))
