@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -11,31 +10,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..components import cut, shared_dir  # noqa: F401
+
 #: Bytes of text that a Python task turns into arrays at once; arrays over it take a few dozen times as much.
 SLICE_BYTES = 1 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset (tests), a new one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="lightloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of ``df``, written to the shared folder so that a lost executor loses nothing."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def fold(key: str, of: int) -> Column:
     """crc32 of the key as text, modulo ``of``; null keys fall into -1."""
     return F.coalesce(F.crc32(F.col(key).cast("string")) % of, F.lit(-1))

@@ -1,37 +1,3 @@
 """Connected components of a distributed edge list."""
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import cut
-
-
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
-    """(node, root): the smallest node that each node of ``edges`` (a, b) reaches.
-
-    Alternating large-star and small-star rounds (Kiveris et al., 2014): each keeps the components and brings every
-    node nearer to its root; the number of rounds grows with the logarithm of the longest path. A round is two
-    groupings by node with a minimum, which are summed up before the shuffle; edges never reach the driver, only their
-    number and a checksum, by which it sees that a round has changed nothing.
-    """
-    now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct())
-    before = None
-    for _ in range(most):
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m"))
-        # large star: the larger neighbours of a node go to the smallest of its neighbours and itself
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
-        large = large.filter("u > v").distinct()
-        # small star: the smaller neighbours of a node, and itself, go to the smallest of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if state == before:
-            break
-        before = state
-    else:
-        raise RuntimeError(f"no fixed point within {most} rounds")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+from ..components import components  # noqa: F401

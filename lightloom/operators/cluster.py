@@ -8,6 +8,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..components import components, cut
 from ..functions import exprs as X
 from . import mixture
 from .mixture import summed
@@ -47,23 +48,10 @@ def neighbours(points: DataFrame, eps: float, key: str = "id", vec: str = "vec")
     return left.join(right, "_c").filter(distance("_v", "_w") <= eps).select("a", "b")
 
 
-def min_label_components(edges: DataFrame, nodes: DataFrame, most: int = 50) -> DataFrame:
-    """(id, root): the smallest id that each node reaches over (a, b); labels spread and jump until nothing changes."""
-    spark = edges.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-    state = nodes.select("id", F.col("id").alias("root"))
-    before = None
-    for _ in range(most):
-        low = edges.join(state, F.col("b") == F.col("id")).groupBy("a").agg(F.min("root").alias("m"))
-        state = state.join(low, F.col("id") == F.col("a"), "left").select("id", F.least("root", F.coalesce("m", "root")).alias("root"))
-        jump = state.select(F.col("id").alias("_i"), F.col("root").alias("_r"))
-        state = state.join(jump, F.col("root") == F.col("_i"), "left").select("id", F.least("root", F.coalesce("_r", "root")).alias("root")).checkpoint()
-        total = state.agg(F.sum(F.col("root").cast("decimal(38,0)"))).first()[0]
-        if total == before:
-            break
-        before = total
-    return state
+def min_label_components(edges: DataFrame, nodes: DataFrame, most: int = 60) -> DataFrame:
+    """(id, root): the smallest id that each node reaches over (a, b). Raises when ``most`` rounds don't settle it."""
+    found = components(edges, most)
+    return cut(nodes.select("id").join(found, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root")))
 
 
 def dbscan(points: DataFrame, eps: float = 0.5, min_samples: int = 5, key: str = "id", vec: str = "vec") -> DataFrame:

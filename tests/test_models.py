@@ -69,6 +69,17 @@ def test_comparison_and_dispatch(spark, blobs):
     assert set(got) == {"kmeans", "gmm"} and set(failed) == {"none"} and all(r["n_clusters"] == 2 and r["silhouette"] > 0.5 for r in got.values())
 
 
+def test_dbscan_holds_long_chains_together(spark):
+    ids = np.random.default_rng(11).permutation(600)
+    rows = [(int(i), [0.4 * k + 100.0 * (k >= 450), 0.0]) for k, i in enumerate(ids)] + [(1000, [-50.0, 0.0])]
+    got = {r["id"]: r["label"] for r in cluster.dbscan(spark.createDataFrame(rows, "id long, vec array<double>"), 0.5, 3).collect()}
+    one, two = ({got[int(i)] for i in part} for part in (ids[:450], ids[450:]))
+    assert sorted([*one, *two]) == [0, 1] and got[1000] == -1
+    chain = spark.createDataFrame([(int(a), int(b)) for a, b in zip(ids, ids[1:])], "a long, b long")
+    with pytest.raises(RuntimeError):
+        cluster.min_label_components(chain, chain.select(F.col("a").alias("id")), most=2)
+
+
 def test_subsets_of_columns(spark):
     rng = np.random.default_rng(5)
     x, y = rng.normal(size=(60, 3)), rng.integers(0, 2, 60)
