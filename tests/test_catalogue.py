@@ -50,6 +50,23 @@ def test_kernels():
     assert kernels.find_peaks(np.array([0, 1, 0, 2, 2, 0.0]), 0.5) == [1, 3]
 
 
+def test_box_search_takes_every_step(spark):
+    rng = np.random.default_rng(4)
+    rows, n = [], 3
+    for k in range(n):
+        t = np.sort(rng.uniform(0, 60, 200))
+        rows += [(k, float(x), float(v)) for x, v in zip(t, np.where((t % (1.3 + k)) < 0.1, 0.9, 1.0) + 0.01 * rng.normal(size=200))]
+    rows += [(n, 1.0, 1.0), (n, 2.0, 2.0), *[(n + 1, float(i), 5.0) for i in range(20)], *[(n + 2, 1.0, float(i)) for i in range(20)]]
+    df = spark.createDataFrame(rows, "key long, t double, flux double")
+    got = {r.key: r for r in kernels.object_features(df, "key", block=5000).collect()}
+    assert len(got) == n + 3 and all(got[n + i].bls_period is None and got[n + i].ls_peak_count is None for i in range(3))
+    for k in range(n):
+        t, y = (np.array([r[i] for r in rows if r[0] == k]) for i in (1, 2))
+        base, z = t.max() - t.min(), (y - np.median(y)) / y.std()
+        want = kernels.bls(t, z, 1 / np.arange(2 / base, 5, 0.1 / base**2), 0.1)
+        assert np.allclose((got[k].bls_period, got[k].bls_depth), want[:2], rtol=1e-9) and got[k].ls_peak_count >= 0
+
+
 def test_fits(spark, tmp_path):
     def header(cards):
         text = "".join(f"{c:<80}" for c in [*cards, "END"])
