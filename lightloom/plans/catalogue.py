@@ -659,7 +659,7 @@ def subset_search(spark, d):
 @query()
 def flat_box(spark, d):
     """Flattened series folded at their best box, in bins of phase."""
-    rows = kernels.flat_box(events_series(spark, d), "key", periods=200, duration=0.25)
+    rows = kernels.flat_box(events_series(spark, d, "user_id"), "key")
     at = F.least(F.floor((F.col("phase") + 0.5) * 150) + 1, F.lit(150)).cast("int")
     return rows.groupBy("key", at.alias("bin")).agg(F.round(F.avg("z"), 6).alias("mean"), F.count("*").alias("points"), F.round(F.first("period"), 6).alias("period"))
 

@@ -67,6 +67,12 @@ def test_box_search_takes_every_step(spark):
         assert np.allclose((got[k].bls_period, got[k].bls_depth), want[:2], rtol=1e-9) and got[k].ls_peak_count >= 0
 
 
+def test_flat_box_searches_the_whole_grid(spark):
+    got = catalogue.QUERIES["flat_box"](spark, SF).select("key", "period").distinct().toPandas()
+    step = (got.period - 0.5) / (19.5 / 4999)
+    assert len(got) == 15 and np.allclose(step, step.round(), atol=1e-3) and len({int(k) for k in step.round()} - {round(i * 4999 / 199) for i in range(200)}) > 5
+
+
 def test_fits(spark, tmp_path):
     def header(cards):
         text = "".join(f"{c:<80}" for c in [*cards, "END"])
