@@ -14,13 +14,15 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, cut, documents
 
-#: What is no separator: letters, digits and everything beyond ASCII.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What is no separator in a lower-cased text: letters, digits and everything beyond ASCII. The class is given by what it
+#: holds: its complement is matched several times slower.
+WORD = r"[0-9a-z\x{80}-\x{10FFFF}]+"
 #: The sentinel that ends each document's words; it holds separators, so no word equals it.
 END = "\x01"
-#: Broadcast limits, in windows and in distinct words: a larger benchmark is joined by shuffling.
+#: Broadcast limits, in rows (windows, or distinct words) and bytes: a larger benchmark is joined by shuffling.
 BROADCAST_WINDOWS = 200_000
 BROADCAST_WORDS = 1_000_000
+BROADCAST_BYTES = 64 << 20
 
 
 def words_of(text: Column) -> Column:
@@ -35,15 +37,24 @@ def windows(benchmark: DataFrame, size: int, item: str = "item_id", text: str =
     return items.select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i, size))).alias("win")).distinct()
 
 
+def fits(rows: DataFrame, most: int, size: Column) -> bool:
+    """At most so many rows, whose sizes add up to no more than the bytes that a broadcast may hold."""
+    n, total = rows.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return n <= most and total <= BROADCAST_BYTES
+
+
 def prefixes(wins: DataFrame, words: DataFrame) -> DataFrame:
     """(word, k, win): of each distinct window its rarest word in the corpus and that word's 0-based position.
 
     words: (w): the corpus's words, an array a document. A word's frequency counts all its occurrences.
     """
     vocabulary = cut(wins.select(F.explode("win").alias("word")).distinct())
-    heard = words.select(F.explode("w").alias("word"))
-    if vocabulary.count() <= BROADCAST_WORDS:
+    # with a sentinel no array is empty: else Spark would filter by the array's size first, and match every text twice
+    heard = words.select(F.explode(F.concat("w", F.array(F.lit(END)))).alias("word"))
+    small = fits(vocabulary, BROADCAST_WORDS, F.octet_length("word"))
+    if small:
         heard = heard.join(F.broadcast(vocabulary), "word").groupBy("word").agg(F.count("*").alias("n"))
+        heard = F.broadcast(heard)  # no more rows than the vocabulary
     else:
         heard = heard.groupBy("word").agg(F.count("*").alias("n")).join(vocabulary, "word", "left_semi")
     each = wins.select("win").distinct().select("win", F.posexplode("win").alias("k", "word"))
@@ -65,8 +76,8 @@ def occurrences(words: DataFrame, prefix: DataFrame, keys: list[str], small: boo
     long = words.select(*keys, "w", F.posexplode(F.concat("w", F.array(F.lit(END)))).alias("at", "word"))
     joined = long.join(table, "word")
     start = F.col("at") - F.col("k")
-    fits = (start >= 0) & (start + F.size("win") <= F.size("w")) & (F.slice("w", start + 1, F.greatest(F.size("win"), F.lit(1))) == F.col("win"))
-    return joined.filter(F.col("win").isNull() | fits).select(*keys, F.size("w").cast("long").alias("n_words"), F.when(F.col("win").isNotNull(), start).alias("start"), "win")
+    here = (start >= 0) & (start + F.size("win") <= F.size("w")) & (F.slice("w", start + 1, F.greatest(F.size("win"), F.lit(1))) == F.col("win"))
+    return joined.filter(F.col("win").isNull() | here).select(*keys, F.size("w").cast("long").alias("n_words"), F.when(F.col("win").isNotNull(), start).alias("start"), "win")
 
 
 def _shuffled_occurrences(words: DataFrame, prefix: DataFrame, keys: list[str], size: int) -> DataFrame:
@@ -78,8 +89,8 @@ def _shuffled_occurrences(words: DataFrame, prefix: DataFrame, keys: list[str],
     each = words.select(*keys, "w", n_words, F.posexplode(w).alias("at", "word"))
     each = each.select(*keys, "n_words", "at", "word", low.alias("low"), F.slice(w, low + 1, F.col("at") - low + size).alias("near"))
     start = F.col("at") - F.col("k")
-    fits = (start >= 0) & (start + F.size("win") <= F.col("n_words")) & (F.slice("near", F.greatest(start - F.col("low"), F.lit(0)) + 1, F.size("win")) == F.col("win"))
-    hits = each.join(prefix, "word").filter(fits).select(*keys, "n_words", start.alias("start"), "win")
+    here = (start >= 0) & (start + F.size("win") <= F.col("n_words")) & (F.slice("near", F.greatest(start - F.col("low"), F.lit(0)) + 1, F.size("win")) == F.col("win"))
+    hits = each.join(prefix, "word").filter(here).select(*keys, "n_words", start.alias("start"), "win")
     none = words.select(*keys, n_words, F.expr("cast(null as int)").alias("start"), F.expr("cast(null as array<string>)").alias("win"))
     return hits.unionByName(none)
 
@@ -94,12 +105,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, key: st
     wins = cut(windows(benchmark, size, item, item_text))
     words = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("copy"), words_of(F.col(text)).alias("w"))
     prefix = cut(prefixes(wins, words))
-    small = prefix.count() <= BROADCAST_WINDOWS
-    found = occurrences(words, prefix, ["key", "copy"], small, size)
+    text_size = F.octet_length(F.array_join("win", " "))
+    found = occurrences(words, prefix, ["key", "copy"], fits(prefix, BROADCAST_WINDOWS, text_size), size)
     # a document's occurrences as (start, window), once each; then its covered positions and its items
     own = found.groupBy("key", "copy", "n_words", "start", "win").agg(F.lit(1).alias("one")).drop("one")
-    items = wins.groupBy("win").agg(F.collect_set(F.col("item").cast("string")).alias("items"))
-    if small:
+    items = wins.join(prefix, "win", "left_semi").groupBy("win").agg(F.collect_set(F.col("item").cast("string")).alias("items"))
+    items = cut(items)
+    if fits(items, BROADCAST_WINDOWS, text_size + F.octet_length(F.array_join("items", ","))):
         own = own.join(F.broadcast(items), "win", "left")
     else:  # rows without a window would all meet in one task
         none = own.filter("win is null").withColumn("items", F.expr("cast(null as array<string>)"))
