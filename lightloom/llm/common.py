@@ -57,6 +57,39 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[offs[0] : offs[-1]], offs - offs[0]
 
 
+def word_parts(data: np.ndarray, offs: np.ndarray, apart: np.ndarray, limit: int = SLICE_BYTES, overlap: int = 0):
+    """(number of the first text, bytes, offsets) of parts with about ``limit`` bytes; longer texts are cut between words.
+
+    apart: which bytes separate words. With ``overlap``, a part of a text begins so many words before the last one's end. A
+    word longer than the limit is not cut.
+    """
+    edges = [0, *(np.flatnonzero(np.diff(offs[1:] // limit)) + 1).tolist(), len(offs) - 1]
+    for a, b in zip(edges, edges[1:]):
+        if b <= a:
+            continue
+        if b - a > 1 or offs[b] - offs[a] <= limit:
+            yield a, data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
+            continue
+        at, end = int(offs[a]), int(offs[b])
+        gaps = np.flatnonzero(apart[at:end]) + at
+        starts = gaps[:-1][np.diff(gaps) > 1]  # separators right before a word
+        while at < end:
+            stop = end
+            if end - at > limit:
+                i = int(np.searchsorted(gaps, at + limit))
+                stop = int(gaps[i]) if i < len(gaps) else end
+            after = stop
+            while overlap and stop < end:
+                after = int(starts[max(0, int(np.searchsorted(starts, stop)) - overlap)]) if len(starts) else stop
+                if after > at:
+                    break
+                i += 1  # a part must hold more words than the overlap
+                stop = int(gaps[i]) if i < len(gaps) else end
+                after = stop
+            yield a, data[at:stop], np.array([0, stop - at])
+            at = after
+
+
 def runs(inside: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Maximal runs of true bytes, none of them over the edge of a text: (text, start, end)."""
     n = len(inside)
@@ -90,18 +123,22 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def hash_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each run of bytes (runs in order, not overlapping)."""
-    sizes = ends - starts
-    if not len(sizes):
-        return np.zeros(0, dtype=np.uint64)
-    first = np.cumsum(sizes) - sizes
-    at = np.arange(int(sizes.sum()), dtype=np.int64) - np.repeat(first, sizes)
-    power = np.empty(int(sizes.max()), dtype=np.uint64)
-    power[:] = _BASE
-    power[0] = 1
-    power = np.cumprod(power, dtype=np.uint64)
-    byte = data[at + np.repeat(starts, sizes)].astype(np.uint64) + np.uint64(1)
-    return mix(np.add.reduceat(byte * power[at], first) ^ sizes.astype(np.uint64))
+    """A 64-bit hash of each run of bytes (runs in order, not overlapping), a block of runs at a time."""
+    out = np.zeros(len(starts), dtype=np.uint64)
+    if not len(starts):
+        return out
+    edges = [0, *(np.flatnonzero(np.diff(ends // SLICE_BYTES)) + 1).tolist(), len(starts)]
+    for i, j in zip(edges, edges[1:]):
+        begin, sizes = starts[i:j], ends[i:j] - starts[i:j]
+        first = np.cumsum(sizes) - sizes
+        at = np.arange(int(sizes.sum()), dtype=np.int64) - np.repeat(first, sizes)
+        power = np.empty(int(sizes.max()), dtype=np.uint64)
+        power[:] = _BASE
+        power[0] = 1
+        power = np.cumprod(power, dtype=np.uint64)
+        byte = data[at + np.repeat(begin, sizes)].astype(np.uint64) + np.uint64(1)
+        out[i:j] = mix(np.add.reduceat(byte * power[at], first) ^ sizes.astype(np.uint64))
+    return out
 
 
 def per_text(values: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
