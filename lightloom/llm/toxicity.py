@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fold, hash_runs, labels, mix, runs, sampled, text_slices, utf8
+from .common import documents, fold, hash_runs, labels, mix, runs, sampled, text_slices, utf8, word_parts
 
 ORDERS = (3, 4, 5)
 #: Learning documents, and bytes of their texts, of class 0 and class 1 at most: those with the smallest hashes of their keys.
@@ -136,9 +136,11 @@ class Model:
 
     def worst(self, data: np.ndarray, offs: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
         """The largest margin of each text; texts without words have the lowest one."""
-        text, margin, _ = self.margins(data, offs, table)
         out = np.full(len(offs) - 1, -50.0)
-        np.maximum.at(out, text, margin)
+        # long texts in parts that share a window's words but one, so that no window is missed
+        for base, part, own in word_parts(data, offs, _WORD[data] == 32, overlap=self.size - 1):
+            text, margin, _ = self.margins(part, own, table)
+            np.maximum.at(out, text + base, margin)
         return out
 
     def score(self, worst: np.ndarray) -> np.ndarray:
@@ -213,11 +215,14 @@ def _learn_words(model: Model, data, offs, text, y, rounds: int, least: int, see
 
 
 def train(texts: list[str | None], y: np.ndarray, seed: int = 0, rounds: int = 3, least: int = 5, **shape) -> Model:
-    """Learns from whole texts of a bounded sample; a fifth of them is kept back for the calibration."""
+    """Learns from whole texts of a bounded sample; a fifth of them is kept back for the calibration.
+
+    A sample of one class, or whose classes the model can't tell apart, gives a model by which no text is toxic.
+    """
     model = Model(seed=seed, **shape)
     y = np.asarray(y, dtype=np.int64)
     if len(set(y.tolist())) < 2:
-        model.at = np.inf if not len(y) or y[0] == 0 else -np.inf
+        model.at = np.inf
         model.embed[:] = 0
         return model
     back = np.arange(len(y)) % 5 == 4
@@ -254,12 +259,19 @@ def train(texts: list[str | None], y: np.ndarray, seed: int = 0, rounds: int = 3
 
 
 def _calibrate(model: Model, worst: np.ndarray, y: np.ndarray) -> None:
-    """Places 0.3 where the best balance (F1) of the texts kept back is, in the middle of the gap."""
+    """Places 0.3 where the best balance (F1) of the texts kept back is, in the middle of the gap.
+
+    Where that cut finds toxic texts hardly more often than clean ones, the margins tell nothing, and no text is toxic.
+    """
     order = np.argsort(-worst, kind="stable")
     hit = np.cumsum(y[order])
     f1 = 2 * hit / (np.arange(1, len(y) + 1) + y.sum())
     last = np.append(np.diff(worst[order]) < 0, True)
     best = int(np.argmax(np.where(last, f1, -1)))
+    found, wrong = hit[best] / y.sum(), (best + 1 - hit[best]) / max(1, len(y) - y.sum())
+    if found - wrong < 0.2:
+        model.at = np.inf
+        return
     here = worst[order[best]]
     after = worst[order[best + 1]] if best + 1 < len(order) else here - 1
     spread = max(1e-6, float(np.median(worst[y == 1]) - np.median(worst[y == 0])))
