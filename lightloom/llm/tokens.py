@@ -20,8 +20,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import documents, text_slices
 
 #: The pre-tokenizer of byte-level BPE never joins a visible character with white space after it, and a special
-#: string holds no white space: between these two there is a boundary in every context.
-STABLE = re.compile(r"(?<=\S)(?=\s)")
+#: string holds no white space: between these two there is a boundary in every context. Only white space by everyone's
+#: definition counts, and nothing that is so by anyone's (\s here holds U+001C to U+001F) counts as visible.
+STABLE = re.compile(r"(?<=\S)(?=[ \t\n\r])")
 #: Splices keep this far from a chunk's end, so that the looking ahead there can't have mattered.
 MARGIN = 64
 
