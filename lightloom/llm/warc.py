@@ -126,7 +126,7 @@ def classify(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
         .filter("copies > 1")
         .select("digest", "first")
     )
-    # small rows meet by digest, where a payload with many pages may be hot (adaptive execution splits it); texts don't move
+    # small rows meet by digest, where a payload with many pages may be hot (adaptive execution splits it)
     later = rows.filter((F.col("size") >= least) & F.col(key).isNotNull()).select(F.col(key).alias("later"), "digest").join(first, "digest")
     later = later.filter(F.col("later") > F.col("first")).select("later", "first", F.col("digest").alias("same")).distinct()
     # a key alone decides, unless pages repeat it with other payloads: then the digest does
@@ -167,7 +167,13 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
 
         with store.open_output_stream(attempt, compression=None) as out:
             n, size = write_archive(out, records())
-        store.move(attempt, name)
+        try:
+            store.move(attempt, name)
+        except OSError:  # stores that don't replace: another attempt has left the same records there
+            if store.get_file_info(name).type == fs.FileType.NotFound:
+                raise
+            store.delete_file(attempt)
+            size = store.get_file_info(name).size
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64()), pa.array([size], pa.int64())], names=["path", "records", "bytes"])
 
     return rows.mapInArrow(run, "path string, records long, bytes long")
