@@ -128,16 +128,19 @@ def pieces(docs: DataFrame, path: str, window: int, key: str = "doc_id", text: s
     return docs.select(key, text).mapInArrow(run, schema)
 
 
-def pack(docs: DataFrame, path: str, window: int = 1024, key: str = "doc_id", text: str = "text", salts: int = 64, step: int = 32) -> DataFrame:
+def pack(docs: DataFrame, path: str, window: int = 1024, key: str = "doc_id", text: str = "text", salts: int | None = None, step: int = 32) -> DataFrame:
     """One row a piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset, padded.
 
     ``padded``: the length that the sequence is padded to: the window, or its own length where that is a power of two.
     A null text is an empty one and has the end id alone; null keys are packed too; repeated rows are packed once each;
-    an empty table gives no rows; columns other than key and text are not read.
+    an empty table gives no rows; columns other than key and text are not read. ``salts``: parts that a length's rests are
+    counted in; by default 64, more for many pieces, 1024 at most.
     """
     # all that follows reads the pieces again, and must read the same ones in the same partitions
     every = cut(pieces(docs, path, window, key, text))
-    rows = every.filter(F.col("length") < window).withColumn("salt", F.pmod(F.xxhash64(F.col(key), "start", "ids_crc32"), F.lit(salts)).cast("int"))
+    salts = salts or max(64, min(1024, every.count() // 500_000))
+    # the number of a row in what was cut tells repeated rows apart
+    rows = every.filter(F.col("length") < window).withColumn("salt", F.pmod(F.xxhash64(F.col(key), "start", F.monotonically_increasing_id()), F.lit(salts)).cast("int"))
     counts = cut(rows.groupBy("length", "salt").agg(F.count("*").alias("n")))  # fewer than window * salts rows
     histogram = np.zeros(window + 1, dtype=np.int64)
     for row in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():  # fewer than ``window`` rows
