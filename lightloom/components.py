@@ -27,30 +27,51 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: A key with more than LEAST rows, and more than a HOT-th of all rows, is dealt to several tasks: at most HOT keys are.
+LEAST, HOT = 1000, 50_000
+
+
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], spread: list[str], total: int, size: str = "n") -> DataFrame:
+    """Inner join of ``left``, of about ``total`` rows, with ``right``: one row a key, in ``size`` the left rows that have it.
+
+    Keys with many rows are split by the hash of ``spread``, and their row of ``right`` is repeated for each part; only
+    their names, HOT at most, are broadcast.
+    """
+    if total <= LEAST:
+        return left.join(right, on)
+    parts = F.ceil(F.col(size) / max(LEAST, total // HOT))
+    hot = right.filter(parts > 1).select(*on, parts.alias("_parts"))
+    part = F.when(F.col("_parts").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64(*spread), F.col("_parts")))
+    marked = left.join(F.broadcast(hot), on, "left").withColumn("_part", part).drop("_parts")
+    dealt = right.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    return marked.join(dealt, [*on, "_part"]).drop("_part")
+
+
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """(node, root): the smallest node that each node of ``edges`` (a, b) reaches.
 
     Alternating large-star and small-star rounds (Kiveris et al., 2014): each keeps the components and brings every
     node nearer to its root; the number of rounds grows with the logarithm of the longest path. A round is two
-    groupings by node with a minimum, which are summed up before the shuffle; edges never reach the driver, only their
-    number and a checksum, by which it sees that a round has changed nothing.
+    groupings by node with a minimum, which are summed up before the shuffle, and joins in which the edges of a hub are
+    dealt to several tasks; edges never reach the driver, only their number and a checksum, by which it sees that a
+    round has changed nothing.
     """
     now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct())
-    before = None
+    before, total = None, 2 * now.count()
     for _ in range(most):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m"))
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         # large star: the larger neighbours of a node go to the smallest of its neighbours and itself
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+        large = join_hot(both, low, ["u"], ["v"], total).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
         large = large.filter("u > v").distinct()
         # small star: the smaller neighbours of a node, and itself, go to the smallest of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = join_hot(large, least, ["u"], ["v"], total).filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if state == before:
             break
-        before = state
+        before, total = state, 2 * state["n"]
     else:
         raise RuntimeError(f"no fixed point within {most} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
