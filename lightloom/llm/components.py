@@ -1,3 +1,3 @@
 """Connected components of a distributed edge list."""
 
-from ..components import components  # noqa: F401
+from ..components import components, join_hot  # noqa: F401

@@ -9,22 +9,26 @@
    chunk with at most one, so each chunk is a key four times, each time without one of its symbols: a pair within the
    distance always shares a key. Keys that one class alone has are dropped before any signature moves.
 4. Within a key, the classes that hang together by pairs within the distance are found by a search that compares each
-   class with those not yet reached, so that a large group of near copies costs little more than its size. Keys, and
-   later components, with more members than a block are dealt out as pairs of blocks: every pair meets, no task holds
-   more than two blocks.
-5. The classes of a candidate component meet with their whole sets, and a search of the same kind over exact similarities
-   gives links whose components are the answer.
+   class with those not yet reached, so that a large group of near copies costs little more than its size. Keys with more
+   members than a block are dealt out in blocks; then one of each component found meets those of other blocks; and at
+   last what is still outside of a key's largest component meets all of the key. So a pair within the distance is always
+   compared or connected already, no task holds more than two blocks, and copies of one text never meet all pairs.
+5. Candidate components that are too large to meet at once (chains of texts that share boilerplate) fall apart by the same
+   join over signatures of 512 symbols: pairs of similarity 0.8 differ in 102 of them on average and in more than 150
+   with a probability of about 1e-7.
+6. The classes of a candidate component meet with their whole sets, and a search of the same kind over exact similarities,
+   in blocks as above, gives links whose components are the answer.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, documents, hash_runs, mix, runs, text_slices, utf8
-from .components import components
+from .components import components, join_hot
 
 SYMBOLS, CHUNK = 32, 4
 CHUNKS = SYMBOLS // CHUNK
@@ -33,6 +37,10 @@ DISTANCE = 2 * CHUNKS - 1
 _SEED = np.random.default_rng(20240229)
 _MUL = (_SEED.integers(0, 2**63, SYMBOLS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _ADD = _SEED.integers(0, 2**63, SYMBOLS, dtype=np.uint64)
+#: The longer signatures and the distance that they are compared by.
+LONG, LONG_DISTANCE = 512, 150
+_LONG_MUL = (_SEED.integers(0, 2**63, LONG, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+_LONG_ADD = _SEED.integers(0, 2**63, LONG, dtype=np.uint64)
 #: Separators of words; A-Z are lower-cased, and nothing else.
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -73,6 +81,16 @@ def shingles(data: np.ndarray, offs: np.ndarray, words: int) -> tuple[np.ndarray
     return value, np.searchsorted(of, np.arange(n + 1))
 
 
+def minima(value: np.ndarray, offs: np.ndarray, mul: np.ndarray, add: np.ndarray) -> np.ndarray:
+    """[text, symbol]: the lowest 16 bits of each text's minimum hashes; zeros for a text without shingles."""
+    some = np.flatnonzero(np.diff(offs))
+    out = np.zeros((len(offs) - 1, len(mul)), dtype="<u2")
+    if len(some):
+        for k in range(len(mul)):
+            out[some, k] = mix(np.minimum.reduceat(value * mul[k] + add[k], offs[:-1][some])).astype(np.uint16)
+    return out
+
+
 def sketches(docs: DataFrame, words: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, p, q, signature) of every row: p and q tell sets apart, the signature is 64 bytes; empty sets have nulls."""
 
@@ -82,14 +100,11 @@ def sketches(docs: DataFrame, words: int, key: str = "doc_id", text: str = "text
             size = np.diff(offs)
             some = np.flatnonzero(size)
             p, q = np.zeros(len(size), dtype=np.uint64), np.zeros(len(size), dtype=np.uint64)
-            signature = np.zeros((len(size), SYMBOLS), dtype="<u2")
+            found = minima(value, offs, _MUL, _ADD)
             if len(some):
                 begin = offs[:-1][some]
                 p[some] = np.add.reduceat(mix(value + np.uint64(1)), begin)
                 q[some] = np.add.reduceat(mix(value ^ np.uint64(0x5DEECE66D1234567)), begin)
-                for k in range(SYMBOLS):
-                    low = np.minimum.reduceat(value * _MUL[k] + _ADD[k], begin)
-                    signature[some, k] = mix(low).astype(np.uint16)
             none = size == 0
             yield pa.RecordBatch.from_arrays(
                 [
@@ -97,7 +112,7 @@ def sketches(docs: DataFrame, words: int, key: str = "doc_id", text: str = "text
                     pa.array(size, pa.int64()),
                     pa.array(p.view(np.int64), mask=none),
                     pa.array(q.view(np.int64), mask=none),
-                    pa.array([None if e else s.tobytes() for s, e in zip(signature, none)], pa.binary()),
+                    pa.array([None if e else s.tobytes() for s, e in zip(found, none)], pa.binary()),
                 ],
                 names=[key, "n_shingles", "p", "q", "signature"],
             )
@@ -129,15 +144,6 @@ def chunk_keys(classes: DataFrame) -> DataFrame:
     return classes.select("id", "signature").mapInArrow(run, "bucket long, id long")
 
 
-def blocks(rows: DataFrame, by: str, block: int) -> DataFrame:
-    """Adds ``pair``: groups of ``by`` (column n has their sizes) up to ``block`` are one task's work, pair 0; larger ones
-    are split by the hash of the id, and each block meets each."""
-    rows = rows.withColumn("g", F.ceil(F.col("n") / block))
-    own = F.pmod(F.xxhash64("id"), F.col("g"))
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("g") - 1), lambda other: F.least(own, other) * F.col("g") + F.greatest(own, other))
-    return rows.withColumn("pair", F.explode(F.when(F.col("g") <= 1, F.array(F.lit(0).cast("long"))).otherwise(pairs))).drop("g")
-
-
 def grouped(batches, *by: str):
     """Tables of the rows of one group after the other, from batches that are sorted by the group."""
     held = []
@@ -161,7 +167,7 @@ def grouped(batches, *by: str):
         yield pa.Table.from_batches(held)
 
 
-def signature_links(ids: np.ndarray, sig: np.ndarray) -> tuple[list, list]:
+def signature_links(ids: np.ndarray, sig: np.ndarray, distance: int = DISTANCE) -> tuple[list, list]:
     """Links that connect whatever pairs within the distance connect: one for each row reached from another."""
     left = np.arange(len(ids))
     a, b = [], []
@@ -172,7 +178,7 @@ def signature_links(ids: np.ndarray, sig: np.ndarray) -> tuple[list, list]:
             here = queue.pop()
         else:
             here, left, rest = int(left[0]), left[1:], rest[1:]
-        near = (rest != sig[here]).sum(axis=1) <= DISTANCE
+        near = (rest != sig[here]).sum(axis=1) <= distance
         if near.any():
             found = left[near]
             a += [ids[here]] * len(found)
@@ -182,26 +188,19 @@ def signature_links(ids: np.ndarray, sig: np.ndarray) -> tuple[list, list]:
     return a, b
 
 
-def candidate_links(classes: DataFrame, block: int) -> DataFrame:
-    """(a, b): every pair of classes within the distance is connected by these links."""
-    keys = chunk_keys(classes)
-    shared = keys.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).filter("n > 1")
-    rows = blocks(shared, "bucket", block).join(classes.select("id", "signature"), "id")
-    rows = rows.select("bucket", "pair", "id", "signature").repartition("bucket", "pair").sortWithinPartitions("bucket", "pair")
+def dealt_links(rows: DataFrame, payload, search, by: str, block: int) -> DataFrame:
+    """(a, b): links that connect, in each group of ``by``, whatever the pairs that ``search`` finds would connect.
+
+    rows: (by, id, n), n the group's size; payload(rows) adds what search(table) compares the rows of one task's table by.
+    """
 
     def run(batches):
         seen: set = set()
         a, b = [], []
-        for group in grouped(batches, "bucket", "pair"):
-            n = group.num_rows
-            if n < 2:
-                continue
-            ids = np.asarray(group.column("id"))
-            sig = np.frombuffer(b"".join(group.column("signature").to_pylist()), dtype="<u2").reshape(n, SYMBOLS)
-            u, v = signature_links(ids, sig)
-            for pair in zip(u, v):
+        for group in grouped(batches, by, "pair"):
+            for pair in zip(*search(group)):
                 pair = (int(min(pair)), int(max(pair)))
-                if pair not in seen:  # many keys tell of the same pair
+                if pair[0] != pair[1] and pair not in seen:  # many keys tell of the same pair
                     seen.add(pair)
                     a.append(pair[0])
                     b.append(pair[1])
@@ -212,7 +211,81 @@ def candidate_links(classes: DataFrame, block: int) -> DataFrame:
                 seen.clear()
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    def meet(dealt):
+        full = payload(dealt.select(by, "pair", "id"))
+        return cut(full.repartition(by, "pair").sortWithinPartitions(by, "pair").mapInArrow(run, "a long, b long").distinct())
+
+    def block_of(size):
+        return F.pmod(F.xxhash64("id"), F.ceil(F.col(size) / block))
+
+    def placed(links):
+        near = components(links).select(F.col("node").alias("id"), "root")
+        return cut(large.join(near, "id", "left").select(by, "id", "n", F.coalesce("root", "id").alias("own")))
+
+    links = meet(rows.withColumn("pair", block_of("n")))
+    large = rows.filter(F.col("n") > block)
+    if large.isEmpty():
+        return links
+    # one of each component that a block has found stands for it
+    heads = placed(links).groupBy(by, "own").agg(F.min("id").alias("id"))
+    number = heads.groupBy(by).agg(F.count("*").alias("m")).filter("m > 1")
+    links = links.unionByName(meet(join_hot(heads, number, [by], ["id"], heads.count(), "m").withColumn("pair", block_of("m"))))
+    # what is outside of a group's largest component meets the whole group
+    now = placed(links)
+    parts = now.groupBy(by, "own").agg(F.count("*").alias("c"))
+    main = parts.groupBy(by).agg(F.max(F.struct("c", "own")).alias("top"), F.sum("c").alias("all"))
+    main = main.select(by, F.col("top.own").alias("main"), "all", (F.col("all") - F.col("top.c")).alias("strays")).filter("strays > 0")
+    rest = cut(join_hot(now, main, [by], ["id"], now.count(), "all"))
+    if rest.isEmpty():
+        return links
+    of, strays = F.ceil(F.col("all") / block), F.ceil(F.col("strays") / block)
+    every = rest.select(by, "id", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), strays - 1), lambda j: F.pmod(F.xxhash64("id"), of) * strays + j)).alias("pair"))
+    out = rest.filter("own <> main")
+    out = out.select(by, "id", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), of - 1), lambda i: i * strays + F.pmod(F.xxhash64("id"), strays))).alias("pair"))
+    return links.unionByName(meet(every.unionByName(out).distinct()))
+
+
+def by_signature(distance: int, column: str = "signature"):
+    def search(group: pa.Table):
+        raw = group.column(column).to_pylist()
+        return signature_links(np.asarray(group.column("id")), np.frombuffer(b"".join(raw), dtype="<u2").reshape(len(raw), -1), distance)
+
+    return search
+
+
+def shared_keys(classes: DataFrame) -> DataFrame:
+    """(bucket, id, n): the keys that several classes have; classes: (id, signature)."""
+    keys = chunk_keys(classes)
+    counts = keys.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    return cut(join_hot(keys, counts, ["bucket"], ["id"], CHUNKS * CHUNK * classes.count()))
+
+
+def candidate_components(classes: DataFrame, docs: DataFrame, words: int, key_block: int, set_block: int, key: str, text: str) -> DataFrame:
+    """(component, id, n): classes that may be linked; n is the size of the component."""
+    keys = shared_keys(classes)
+    found = components(dealt_links(keys, lambda r: r.join(classes.select("id", "signature"), "id"), by_signature(DISTANCE), "bucket", key_block))
+    found = sized(found)
+    large = cut(found.filter(F.col("n") > set_block).select("id"))
+    if large.isEmpty():
+        return found
+
+    def sketch(batches):
+        for batch in text_slices(batches, "text", 1 << 18):
+            sig = minima(*shingles(*utf8(batch.column("text")), words), _LONG_MUL, _LONG_ADD)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x.tobytes() for x in sig], pa.binary())], names=["id", "long"])
+
+    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(large, "id").dropDuplicates(["id"])
+    sharp = cut(texts.mapInArrow(sketch, "id long, long binary"))
+    own = keys.join(large, "id")
+    again = components(dealt_links(own, lambda r: r.join(sharp, "id"), by_signature(LONG_DISTANCE, "long"), "bucket", key_block))
+    return sized(found.join(large, "id", "left_anti").select(F.col("id").alias("node"), F.col("component").alias("root")).unionByName(again))
+
+
+def sized(nodes: DataFrame) -> DataFrame:
+    """(component, id, n) of (node, root)."""
+    rows = cut(nodes.select(F.col("root").alias("component"), F.col("node").alias("id")))
+    sizes = rows.groupBy("component").agg(F.count("*").alias("n"))
+    return cut(join_hot(rows, sizes, ["component"], ["id"], rows.count()))
 
 
 def exact_links(ids: np.ndarray, value: np.ndarray, offs: np.ndarray, percent: int) -> tuple[list, list]:
@@ -248,39 +321,28 @@ def exact_links(ids: np.ndarray, value: np.ndarray, offs: np.ndarray, percent: i
 
 
 def confirmed_links(docs: DataFrame, candidates: DataFrame, words: int, percent: int, block: int, key: str, text: str) -> DataFrame:
-    """(a, b): links on whole sets among the classes of each candidate component (id, component)."""
-    sized = candidates.withColumn("n", F.count("*").over(Window.partitionBy("component")))
-    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(sized.select("id", "component", "n"), "id")
+    """(a, b): links on whole sets among the classes of each candidate component (component, id, n)."""
+    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
 
     def sets(batches):
         for batch in text_slices(batches, "text"):
             value, offs = shingles(*utf8(batch.column("text")), words)
             raw = [value[x:y].tobytes() for x, y in zip(offs, offs[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("component"), batch.column("n"), pa.array(raw, pa.binary())], names=["id", "component", "n", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("component"), batch.column("pair"), pa.array(raw, pa.binary())], names=["id", "component", "pair", "shingles"])
 
-    rows = texts.mapInArrow(sets, "id long, component long, n long, shingles binary")
-    rows = blocks(rows, "component", block).select("component", "pair", "id", "shingles")
-    rows = rows.repartition("component", "pair").sortWithinPartitions("component", "pair", "id")
+    def payload(rows):
+        return texts.join(rows, "id").mapInArrow(sets, "id long, component long, pair long, shingles binary")
 
-    def run(batches):
-        a, b = [], []
-        for group in grouped(batches, "component", "pair"):
-            ids = np.asarray(group.column("id"))
-            raw = group.column("shingles").to_pylist()
-            once = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))  # a repeated row is one class
-            ids, raw = ids[once], [raw[i] for i in once]
-            if len(ids) < 2:
-                continue
-            offs = np.concatenate([[0], np.cumsum([len(r) // 8 for r in raw])])
-            u, v = exact_links(ids, np.frombuffer(b"".join(raw), dtype=np.uint64), offs, percent)
-            a += u
-            b += v
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    def search(group: pa.Table):
+        ids, at = np.unique(np.asarray(group.column("id")), return_index=True)  # a repeated row is one class
+        raw = group.column("shingles").take(pa.array(at)).to_pylist()
+        offs = np.concatenate([[0], np.cumsum([len(r) // 8 for r in raw])])
+        return exact_links(ids, np.frombuffer(b"".join(raw), dtype=np.uint64), offs, percent)
 
-    return rows.mapInArrow(run, "a long, b long")
+    return dealt_links(candidates, payload, search, "component", block)
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", key_block: int = 20000, set_block: int = 4000) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", key_block: int = 20000, set_block: int = 2000) -> DataFrame:
     """(key, n_shingles, component_id, kept): one row a document.
 
     Documents of a component are linked by similarities of ``percent`` or more, directly or through others;
@@ -292,16 +354,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     rows = cut(sketches(docs, words, key, text))
     known = rows.filter(F.col("p").isNotNull() & F.col(key).isNotNull())
     same = ["n_shingles", "p", "q"]
-    classes = cut(known.groupBy(*same).agg(F.min(F.col(key).cast("long")).alias("id"), F.first("signature").alias("signature")))
-    near = components(candidate_links(classes, key_block)).select(F.col("node").alias("id"), F.col("root").alias("component"))
-    links = components(confirmed_links(docs, near, words, percent, set_block, key, text))
+    classes = known.groupBy(*same).agg(F.min(F.col(key).cast("long")).alias("id"), F.first("signature").alias("signature"), F.count("*").alias("n"))
+    classes = cut(classes)
+    candidates = candidate_components(classes, docs, words, key_block, set_block, key, text)
+    links = components(confirmed_links(docs, candidates, words, percent, set_block, key, text))
     merged = links.filter("node > root").select(F.col("node").alias("id"), "root")
-    final = classes.select(*same, "id").join(merged, "id", "left").select(*same, F.coalesce("root", "id").alias("component_id"))
-    return (
-        rows.join(final, same, "left")
-        .withColumn("component_id", F.when(F.col(key).isNull(), None).otherwise(F.coalesce("component_id", F.col(key).cast("long"))))
-        .select(key, "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col(key), F.lit(True)).alias("kept"))
-    )
+    final = classes.join(merged, "id", "left").select(*same, "n", F.coalesce("root", "id").alias("component_id"))
+    found = join_hot(known.select(key, *same), final, same, [key], known.count()).select(key, "n_shingles", "component_id")
+    alone = rows.filter(F.col("p").isNull() | F.col(key).isNull()).select(key, "n_shingles", F.col(key).cast("long").alias("component_id"))
+    found = found.unionByName(alone)
+    return found.select(key, "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col(key), F.lit(True)).alias("kept"))
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

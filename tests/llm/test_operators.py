@@ -289,3 +289,32 @@ def test_pipeline(spark, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in got} == {*range(40), 51, 52, 53} - {9}
     assert len([r for r in got if r.doc_id == 2 and r.start == 0]) == 1
+
+
+@pytest.mark.parametrize("key_block, set_block", [(20000, 2000), (20000, 9), (5, 4)])
+def test_near_duplicates_of_chains(spark, key_block, set_block):
+    # texts that share half of their words with the next one, near copies of them, and one group of many near copies
+    words = prose(4000).split()
+    texts = [" ".join(words[i * 30 : i * 30 + 60]) + f" own{i}" for i in range(40)]
+    texts += [t.replace(t.split()[5], "else", 1) for t in texts[::3]]
+    base = prose(150).split()
+    texts += [" ".join([*base[: 3 * i], f"new{i}", *base[3 * i + 1 :]]) for i in range(40)]
+    got = neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), words=4, key_block=key_block, set_block=set_block)
+    sets = [{tuple(w[i : i + 4]) for i in range(len(w) - 3)} for w in (t.lower().split() for t in texts)]
+    root = list(range(len(texts)))
+    for _ in range(4):
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if 100 * len(a & b) >= 80 * len(a | b):
+                    root[i] = root[j] = min(root[i], root[j])
+    assert {r.doc_id: r.component_id for r in got.collect()} == dict(enumerate(root))
+
+
+def test_hot_keys_are_split(spark, monkeypatch):
+    from lightloom import components as shared
+
+    monkeypatch.setattr(shared, "LEAST", 10)
+    left = spark.createDataFrame([(0, i) for i in range(300)] + [(i, i) for i in range(1, 50)], "k long, v long")
+    right = left.groupBy("k").agg(F.count("*").alias("n")).withColumn("w", F.col("k") * 2)
+    got = shared.join_hot(left, right, ["k"], ["v"], 349)
+    assert sorted((r.k, r.v, r.n, r.w) for r in got.collect()) == sorted([(0, i, 300, 0) for i in range(300)] + [(i, i, 1, 2 * i) for i in range(1, 50)])
