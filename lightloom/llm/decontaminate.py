@@ -96,9 +96,9 @@ def _shuffled_occurrences(words: DataFrame, prefix: DataFrame, keys: list[str],
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(key, n_words, n_hit, n_items, items_sha256, contaminated): one row for each document.
+    """(key, copy, n_words, n_hit, n_items, items_sha256, contaminated): one row for each document.
 
-    Rows are told apart by key and text: repeated rows are one document. Null, empty and wordless texts have no words
+    ``copy`` is xxhash64 of the text. Rows are told apart by key and text: repeated rows are one document. Null, empty and wordless texts have no words
     and no hits; items without words or with a null id have no windows; null keys are a key like others. An empty
     benchmark hits nothing; an empty table gives no rows. Other columns are not read.
     """
@@ -127,6 +127,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, key: st
     )
     return per.select(
         F.col("key").alias(key),
+        "copy",
         "n_words",
         "n_hit",
         F.size("items").cast("long").alias("n_items"),
@@ -136,7 +137,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, key: st
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("copy")
 
 
 ORACLE = r"""

@@ -1,13 +1,12 @@
 """Secret scans: fixed rules, widened by two character Markov models.
 
 One model holds random strings, the other ordinary identifiers; both are first-order chains over bytes, trained from
-labelled samples. A long token that no rule covers is a secret if its mean log-likelihood ratio a character is above
-a threshold.
+labelled samples: random strings over the alphabets that keys are made of, and the identifiers of the corpus itself. A
+long token that no rule covers is a secret if its mean log-likelihood ratio a character is above a threshold.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 
 import numpy as np
@@ -26,7 +25,13 @@ RULES = (
 ORDER = {"assign": 0, "access": 1, "hex": 2, "markov": 3}
 #: Tokens that the models judge, and those that they learn ordinary identifiers from.
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_-]{5,}")
+IDENTIFIER = re.compile(r"[A-Za-z0-9+/_=-]{6,}")
+#: What keys are made of, a class of random samples each.
+_LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+ALPHABETS = (
+    _LOWER, _UPPER, _LOWER + _DIGITS, _UPPER + _DIGITS, _LOWER + _UPPER, _LOWER + _UPPER + _DIGITS, _LOWER + _UPPER + _DIGITS + "+/",
+    _LOWER + _UPPER + _DIGITS + "-_", _DIGITS + "abcdef", _DIGITS + "ABCDEF", _UPPER + "234567",
+)
 #: Of a hexadecimal run, only those with this many characters are looked at again by the rule.
 _HEX = re.compile(r"[0-9a-f]{24,}")
 ALPHABET = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
@@ -45,6 +50,17 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
+def random_strings(each: int = 800, seed: int = 1) -> list[str]:
+    """``each`` random strings of 16 to 63 characters over each alphabet: the samples of label 1."""
+    rng = np.random.default_rng(seed)
+    return ["".join(rng.choice(list(alphabet), int(n))) for alphabet in ALPHABETS for n in rng.integers(16, 64, each)]
+
+
+def folded(token: str) -> str:
+    """Words in capitals, or with a capital first, are judged as their lower-case forms, of which samples are many."""
+    return token.lower() if token.isalpha() and (token.isupper() or token[1:].islower()) else token
+
+
 def bigrams(tokens: list[str]) -> np.ndarray:
     """Counts of neighbouring characters over all tokens."""
     joined = "\n".join(tokens).encode("ascii", "replace")
@@ -67,7 +83,7 @@ class MarkovPair:
 
     def score(self, token: str) -> float:
         """Mean log-likelihood ratio a transition: above 0, the token is more like a random string."""
-        code = _CODE[np.frombuffer(token.encode("ascii", "replace"), dtype=np.uint8)]
+        code = _CODE[np.frombuffer(folded(token).encode("ascii", "replace"), dtype=np.uint8)]
         code = code[code < SIZE - 1]
         return float(self.ratio[code[:-1], code[1:]].mean()) if len(code) > 1 else 0.0
 
@@ -85,7 +101,7 @@ def train(samples: DataFrame, prior: float = 0.5) -> MarkovPair:
             table = [[], []]
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if text and label in (0, 1):
-                    table[label].append(text)
+                    table[label].append(folded(text))
             for label in (0, 1):
                 total[label] += bigrams(table[label])
         label, cell = np.nonzero(total)
@@ -94,41 +110,37 @@ def train(samples: DataFrame, prior: float = 0.5) -> MarkovPair:
     return _fit(samples.select("text", "label").mapInArrow(count, "label long, cell long, n long"), prior)
 
 
-def _fit(counts: DataFrame, prior: float) -> MarkovPair:
+def _fit(counts: DataFrame, prior: float, drawn: np.ndarray | None = None) -> MarkovPair:
     table = np.zeros((2, SIZE * SIZE))
+    if drawn is not None:
+        table[1] = drawn
     for row in counts.groupBy("label", "cell").agg(F.sum("n").alias("n")).collect():  # at most 2 * 69 * 69 rows
-        table[row["label"], row["cell"]] = row["n"]
+        table[row["label"], row["cell"]] += row["n"]
     return MarkovPair(table[1], table[0], prior)
 
 
-def train_from_corpus(docs: DataFrame, text: str = "text", prior: float = 0.5) -> MarkovPair:
-    """Samples that the corpus labels itself, from all of its texts: what the rules find is random, identifiers outside are not."""
+def train_from_corpus(docs: DataFrame, text: str = "text", prior: float = 0.5, random: list[str] | None = None) -> MarkovPair:
+    """Label 1: ``random`` (by default random_strings()); label 0: every token of all texts but digits and what the rules find."""
 
     def count(batches):
-        total = np.zeros((2, SIZE * SIZE), dtype=np.int64)
+        total = np.zeros(SIZE * SIZE, dtype=np.int64)
         for batch in text_slices(batches, text):
-            random, ordinary = [], []
+            ordinary = []
             for s in batch.column(text).to_pylist():
                 if not s:
                     continue
-                spans = []
-                for kind, rule, group, least in RULES:
-                    for m in (_HEX if kind == "hex" else rule).finditer(s):
-                        if m.end(group) - m.start(group) >= least:
-                            random.append(m[group])
-                            spans.append(m.span())
                 at = 0
-                for a, b in sorted(spans):
+                for a, b, _ in sorted(base_spans(s)):
                     if a > at:
                         ordinary += IDENTIFIER.findall(s, at, a)
                     at = max(at, b)
                 ordinary += IDENTIFIER.findall(s, at)
-            total[1] += bigrams(random)
-            total[0] += bigrams(ordinary)
-        label, cell = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(label), pa.array(cell), pa.array(total[label, cell])], names=["label", "cell", "n"])
+            total += bigrams([folded(x) for x in ordinary if not x.isdigit()])
+        cell = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(cell), dtype=np.int64)), pa.array(cell), pa.array(total[cell])], names=["label", "cell", "n"])
 
-    return _fit(docs.select(text).mapInArrow(count, "label long, cell long, n long"), prior)
+    drawn = bigrams([folded(x) for x in (random_strings() if random is None else random)])
+    return _fit(docs.select(text).mapInArrow(count, "label long, cell long, n long"), prior, drawn)
 
 
 def find(text: str, model: MarkovPair | None, threshold: float) -> tuple[list, list]:
@@ -141,8 +153,8 @@ def find(text: str, model: MarkovPair | None, threshold: float) -> tuple[list, l
     for m in TOKEN.finditer(text):
         a, b = m.span()
         token = m[0]
-        if token.isdigit() or token.isalpha() and (token.lower() == token or token[1:].lower() == token[1:]):
-            continue  # numbers, and words in one case: too little to tell a random string by
+        if token.isdigit():
+            continue  # numbers are no secrets
         if any(x < b and a < y for x, y, _ in base):
             continue
         if model.score(token) > threshold:
@@ -196,7 +208,7 @@ def _replaced(text: str, spans, mark: str) -> str:
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, with both models trained on the whole corpus."""
+    """All documents: labels of random strings are drawn, those of ordinary identifiers are the whole corpus's tokens."""
     docs = documents(spark, sf_dir)
     found = scan(docs, train_from_corpus(docs))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_markov")
