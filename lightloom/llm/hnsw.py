@@ -1,9 +1,11 @@
 """Nearest neighbours by cosine: a hierarchical navigable small-world graph for each shard, shard results merged.
 
-A shard holds a bounded number of vectors, dealt by the hash of the id. Its graph is a row of flat arrays (ids,
+Vectors are dealt to cells by their nearest centroid; centroids are fitted on a bounded sample, but every vector is
+indexed. A cell is a shard, or several where it holds many vectors. A shard's graph is a row of flat arrays (ids,
 vectors, and for each layer the nodes and a matrix of neighbour numbers), written once and read by every search. Both
 building and searching work on many vectors at a time: a beam search keeps the best ``ef`` nodes of each of its
-queries in matrices and expands several of them a step. Equal vectors are one node.
+queries in matrices and expands several of them a step. Equal vectors are one node. A query visits the cells nearest to
+it: as many as are needed to find the neighbours of sampled vectors within the sample.
 """
 
 from __future__ import annotations
@@ -16,13 +18,22 @@ from pyspark.sql import functions as F
 from .common import cut
 from .neardup import grouped
 
-#: Rows of a shard at most (on average half as many), queries of a slice on average.
-SHARD, SLICE = 8192, 8192
+#: Vectors of a cell: at least and at most, on average; between these, as many as give each core a cell. Cells at most.
+SMALL, LARGE, CELLS = 4096, 65536, 1024
+#: Queries of a slice, on average; sampled vectors that the centroids are fitted on, a cell; those that choose the number
+#: of cells to visit, and the share of their neighbours that must be found so.
+SLICE, SAMPLE, PROBED, SHARE = 65536, 64, 500, 0.99
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows in double precision times a power of two that brings their largest component near to 1: no square overflows."""
+    x = x.astype(np.float64)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
 
 
 def normalised(x: np.ndarray) -> np.ndarray:
-    """Rows of length 1 in double precision; scaled by their largest component first, so that no square overflows."""
-    x = x / np.abs(x).max(axis=1, keepdims=True)
+    """Rows of length 1."""
+    x = scaled(x)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
@@ -213,61 +224,151 @@ class Graph:
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """(id, v, dim) of the vectors that take part: a key, components that are all finite numbers, not all zero."""
-    v = F.col(vector).cast("array<double>")
+    """(dim, id, v) of the vectors that take part: a key, components that are all finite numbers, not all zero.
+
+    Of rows with the same key, the smallest vector counts.
+    """
+    kind = vectors.schema[vector].dataType.elementType.typeName()
+    v = F.col(vector) if kind == "float" else F.col(vector).cast("array<double>")
     bad = F.exists("v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     rows = vectors.select(F.col(key).cast("long").alias("id"), v.alias("v"), F.size(v).alias("dim"))
-    return rows.filter(F.col("id").isNotNull() & (F.col("dim") > 0) & ~bad & F.exists("v", lambda c: c != 0))
+    rows = rows.filter(F.col("id").isNotNull() & (F.col("dim") > 0) & ~bad & F.exists("v", lambda c: c != 0))
+    return rows.groupBy("dim", "id").agg(F.min("v").alias("v"))
+
+
+def distinct_vectors(rows: DataFrame, most: int) -> DataFrame:
+    """(dim, v, ids): each vector once, with the ``most`` smallest of its ids: no answer holds more of them."""
+    own = Window.partitionBy("dim", "v").orderBy("id")
+    few = rows.withColumn("i", F.row_number().over(own)).filter(F.col("i") <= most)
+    return few.groupBy("dim", "v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+
+
+def matrix(column, dim: int) -> np.ndarray:
+    return np.asarray(column.combine_chunks().flatten() if isinstance(column, pa.ChunkedArray) else column.flatten()).reshape(-1, dim)
 
 
-def build(rows: DataFrame, shards: int, m: int, ef: int) -> DataFrame:
-    """The index: (dim, shard, ids, vectors, shape, nodes, links, first), a row for each shard and dimension.
+class Cells:
+    """Centroids of one dimension, and how many of the nearest cells a query visits."""
 
-    Of rows with the same id, the smallest vector counts. ids are sorted by their node (equal vectors are one node)
-    and then by id; first holds where each node's ids begin.
+    def __init__(self, sample: np.ndarray, cells: int, k: int, seed: int = 0, rounds: int = 12):
+        x = normalised(sample).astype(np.float32)
+        cells = max(1, min(cells, len(x)))
+        rng = np.random.default_rng(seed)
+        self.centroids = x[rng.choice(len(x), cells, replace=False)]
+        for _ in range(rounds if cells > 1 else 0):
+            own = self.order(x, 1)[:, 0]
+            total = np.zeros_like(self.centroids)
+            np.add.at(total, own, x)
+            length = np.sqrt((total * total).sum(axis=1, keepdims=True))
+            self.centroids = np.where(length > 1e-9, total / np.maximum(length, 1e-9), self.centroids)
+        self.visits = cells
+        if cells > 1:
+            q = x[:PROBED]
+            near = q @ x.T
+            near[np.arange(len(q)), np.arange(len(q))] = -2
+            best = np.argpartition(-near, min(k, len(x) - 1), axis=1)[:, :k]
+            rank = np.argsort(self.order(q, cells), axis=1)
+            where = np.take_along_axis(rank, self.order(x, 1)[:, 0][best], axis=1)
+            found = np.cumsum(np.bincount(where.ravel(), minlength=cells)) / where.size
+            self.visits = min(cells, int(np.searchsorted(found, SHARE)) + 1)
+
+    def order(self, x: np.ndarray, most: int) -> np.ndarray:
+        """[row, most]: the cells nearest to each row, nearest first."""
+        near = x @ self.centroids.T
+        return near.argmax(axis=1)[:, None] if most == 1 else np.argsort(-near, axis=1, kind="stable")[:, :most]
+
+
+def fit_cells(nodes: DataFrame, k: int, size: int | None) -> tuple[dict, int]:
+    """({dim: Cells}, vectors of a cell) from a sample of at most SAMPLE * CELLS vectors a dimension.
+
+    A dimension with few vectors has no entry: they are one cell. So there are no more entries than cells.
+    """
+    counts = nodes.groupBy("dim").agg(F.count("*").alias("n"))
+    total = nodes.count()
+    size = size or max(SMALL, min(LARGE, -(-total // nodes.sparkSession.sparkContext.defaultParallelism)))
+    found = {}
+    for dim, n in counts.filter(F.col("n") > size).collect():
+        cells = min(CELLS, -(-n // size))
+        rows = nodes.filter(F.col("dim") == dim).select("v").orderBy(F.xxhash64("v"), "v").limit(SAMPLE * cells).toArrow()
+        found[dim] = Cells(matrix(rows.column("v"), dim), cells, k)
+    return found, size
+
+
+def in_cells(rows: DataFrame, cells: dict, all_visited: bool) -> DataFrame:
+    """Adds ``cell``: the nearest one, or (all_visited) a row for each of those that a query visits."""
+    shared = rows.sparkSession.sparkContext.broadcast(cells)
+    schema = rows.withColumn("cell", F.lit(0)).schema
+
+    def run(batches):
+        cells = shared.value
+        for batch in batches:
+            dims = np.asarray(batch.column("dim"))
+            for dim in np.unique(dims).tolist():
+                part = batch.filter(pa.array(dims == dim)) if (dims != dim).any() else batch
+                at, cell = np.arange(part.num_rows), np.zeros(part.num_rows, dtype=np.int32)
+                if dim in cells:
+                    own = cells[dim]
+                    order = own.order(normalised(matrix(part.column("v"), dim)).astype(np.float32), own.visits if all_visited else 1)
+                    at, cell = np.repeat(at, order.shape[1]), order.ravel().astype(np.int32)
+                out = part.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(cell)], names=[*out.schema.names, "cell"])
+
+    return rows.mapInArrow(run, schema)
+
+
+def build(nodes: DataFrame, m: int, ef: int) -> DataFrame:
+    """The index: (shard, dim, ids, first, vectors, ...), a row for each shard, from (shard, dim, v, ids), a shard a partition.
+
+    first holds where each node's ids begin.
     """
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-    dealt = dealt.select("dim", "shard", "id", "v").repartition(4 * shards, "dim", "shard").sortWithinPartitions("dim", "shard")
+    single = nodes.schema["v"].dataType.elementType.typeName() == "float"
 
     def run(batches):
-        for group in grouped(batches, "dim", "shard"):
+        for group in grouped(batches, "shard"):
             dim, shard = group.column("dim")[0].as_py(), group.column("shard")[0].as_py()
-            ids = np.asarray(group.column("id"))
-            x = np.asarray(group.column("v").combine_chunks().flatten()).reshape(len(ids), dim)
-            order = np.lexsort((*x.T[::-1], ids))
-            ids, x = ids[order], x[order]
-            once = np.append(True, ids[1:] != ids[:-1])
-            ids, x = ids[once], x[once]
-            nodes, of = np.unique(x, axis=0, return_inverse=True)
-            shuffle = np.random.default_rng(shard).permutation(len(nodes))  # sorted vectors make a poor order of insertion
-            nodes, of = nodes[shuffle], np.argsort(shuffle)[of.ravel()]
-            order = np.lexsort((ids, of))
-            graph = Graph(normalised(nodes).astype(np.float32), m, ef, seed=shard)
-            flat = {"ids": ids[order].tobytes(), "vectors": nodes.tobytes(), **graph.pack(), "first": np.searchsorted(of[order], np.arange(len(nodes) + 1)).astype(np.int64).tobytes()}
-            yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([shard], pa.int32()), *(pa.array([v], pa.binary()) for v in flat.values())], names=["dim", "shard", *flat])
-
-    return dealt.mapInArrow(run, "dim int, shard int, ids binary, vectors binary, shape binary, nodes binary, links binary, first binary")
-
-
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", m: int = 16, ef_build: int = 96, ef: int = 128) -> DataFrame:
+            x = matrix(group.column("v"), dim)
+            order = np.lexsort(x.T[::-1])  # whichever way the rows came
+            order = order[np.random.default_rng(shard).permutation(len(order))]  # sorted vectors make a poor order of insertion
+            x, ids = x[order], group.column("ids").combine_chunks().take(pa.array(order))
+            graph = Graph(normalised(x).astype(np.float32), m, ef, seed=shard)
+            first = np.concatenate([[0], np.cumsum(np.asarray(ids.value_lengths()))]).astype(np.int64)
+            flat = {"ids": np.asarray(ids.flatten()).tobytes(), "vectors": x.astype(np.float32 if single else np.float64).tobytes(), **graph.pack(), "first": first.tobytes()}
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([dim], pa.int32()), *(pa.array([v], pa.binary()) for v in flat.values())], names=["shard", "dim", *flat])
+
+    return nodes.mapInArrow(run, "shard int, dim int, ids binary, vectors binary, shape binary, nodes binary, links binary, first binary")
+
+
+def nearest(
+    vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", m: int = 16, ef_build: int = 96, ef: int = 128, cell_size: int | None = None
+) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest of ``vectors`` but those with its own key.
 
     Vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do null keys; vectors
-    of other dimensions are not compared. Of rows with the same key, the smallest vector counts. Ties go to smaller
-    keys. Fewer candidates than k give fewer rows; an empty table gives none. Scores are cosines of the original
-    vectors in double precision. Other columns are not read.
+    of other dimensions are not compared. Of rows with the same key, the smallest vector counts. Scores that agree in
+    twelve decimals are ties, which go to smaller keys. Fewer candidates than k give fewer rows; an empty table gives
+    none. Scores are cosines of the original vectors in double precision. Other columns are not read.
     """
-    rows = usable(vectors, key, vector)
-    asked = usable(queries, key, vector).groupBy("dim", "id").agg(F.min("v").alias("v"))
-    shards = max(1, -(-rows.count() // (SHARD * 3 // 4)))
-    slices = max(1, -(-asked.count() // SLICE))
-    index = cut(build(rows, shards, m, ef_build))
+    spark = vectors.sparkSession
+    single = vectors.schema[vector].dataType.elementType.typeName() == "float"
+    nodes = cut(distinct_vectors(usable(vectors, key, vector), k + 1))
+    cells, size = fit_cells(nodes, k, cell_size)
+    dealt = cut(in_cells(nodes, cells, False))
+    # a row a cell: a cell of more vectors than LARGE (or two sizes) is several shards, by the hash of the vector
+    shards, number = {}, 0
+    for dim, cell, n in sorted(dealt.groupBy("dim", "cell").agg(F.count("*")).collect()):
+        parts = -(-n // (2 * size))
+        shards[dim, cell] = (number, parts)
+        number += parts
+    if not number:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    table = spark.createDataFrame([(*at, *to) for at, to in shards.items()], "dim int, cell int, at int, parts int")
+    placed = dealt.join(F.broadcast(table), ["dim", "cell"]).withColumn("shard", (F.col("at") + F.pmod(F.xxhash64("v"), F.col("parts"))).cast("int"))
+    index = cut(build(placed.select("shard", "dim", "v", "ids").repartitionById(number, F.col("shard")), m, ef_build))
+    asked = in_cells(usable(queries, key, vector), cells, True).join(F.broadcast(table), ["dim", "cell"])
+    asked = cut(asked.select("id", "v", F.explode(F.sequence("at", F.col("at") + F.col("parts") - 1)).alias("shard")))
+    slices = max(1, -(-asked.count() // (SLICE * number)))
     left = index.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    right = (
-        asked.withColumn("slice", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(slices)).cast("int"))
-        .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-        .select("dim", "shard", "slice", "id", "v")
-    )
+    right = asked.withColumn("slice", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(slices)).cast("int"))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["query_id", "vec_id", "score"]
@@ -276,28 +377,30 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_
             dim = left.column("dim")[0].as_py()
             flat = {c: left.column(c)[0].as_py() for c in ("ids", "vectors", "shape", "nodes", "links", "first")}
             ids, first = np.frombuffer(flat["ids"], dtype=np.int64), np.frombuffer(flat["first"], dtype=np.int64)
-            exact = normalised(np.frombuffer(flat["vectors"], dtype=np.float64).reshape(-1, dim))
-            graph = Graph.unpack(exact.astype(np.float32), flat["shape"], flat["nodes"], flat["links"])
+            x = np.frombuffer(flat["vectors"], dtype=np.float32 if single else np.float64).reshape(-1, dim)
+            graph = Graph.unpack(normalised(x).astype(np.float32), flat["shape"], flat["nodes"], flat["links"])
             own = np.asarray(right.column("id"))
-            q = normalised(np.asarray(right.column("v").combine_chunks().flatten()).reshape(len(own), dim))
+            q = matrix(right.column("v"), dim)
             for a in range(0, len(own), 256):
-                found, _ = graph.search(q[a : a + 256].astype(np.float32), min(len(exact), 4 * k + 4), ef)
+                part = scaled(q[a : a + 256])
+                lengths = np.sqrt((part * part).sum(axis=1))
+                found, _ = graph.search((part / lengths[:, None]).astype(np.float32), min(len(x), 4 * k + 4), ef)
                 for i, nodes in enumerate(found):
                     nodes = nodes[nodes >= 0]
-                    score = exact[nodes] @ q[a + i]
+                    near = scaled(x[nodes])
+                    score = np.clip((near * part[i]).sum(axis=1) / (np.sqrt((near * near).sum(axis=1)) * lengths[i]), -1, 1)
                     pairs = []
-                    for node, s in zip(nodes, score):  # the smallest keys of a node are enough
-                        members = ids[first[node] : min(first[node + 1], first[node] + k + 1)]
-                        pairs += [(-s, v) for v in members.tolist() if v != own[a + i]]
+                    for node, s in zip(nodes, score.tolist()):
+                        pairs += [(-round(s, 12), v, s) for v in ids[first[node] : first[node + 1]].tolist() if v != own[a + i]]
                     pairs.sort()
                     out[0] += [own[a + i]] * len(pairs[:k])
-                    out[1] += [v for _, v in pairs[:k]]
-                    out[2] += [-s for s, _ in pairs[:k]]
+                    out[1] += [v for _, v, _ in pairs[:k]]
+                    out[2] += [s for _, _, s in pairs[:k]]
         return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=names)
 
-    by = ["dim", "shard", "slice"]
+    by = ["shard", "slice"]
     found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(search, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    best = Window.partitionBy("query_id").orderBy(F.round("score", 12).desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

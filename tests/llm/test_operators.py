@@ -318,3 +318,31 @@ def test_hot_keys_are_split(spark, monkeypatch):
     right = left.groupBy("k").agg(F.count("*").alias("n")).withColumn("w", F.col("k") * 2)
     got = shared.join_hot(left, right, ["k"], ["v"], 349)
     assert sorted((r.k, r.v, r.n, r.w) for r in got.collect()) == sorted([(0, i, 300, 0) for i in range(300)] + [(i, i, 1, 2 * i) for i in range(1, 50)])
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_nearest_over_many_shards(spark, kind):
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((40, 24))
+    x = (centres[rng.integers(0, 40, 6000)] + 0.4 * rng.standard_normal((6000, 24))).astype(np.float32).astype(float)
+    x[100:1300] = x[100]  # a fifth of all rows hold one vector
+    x[1300:1303] = [f * x[1300] for f in ((2, 4, 16) if kind == "float" else (3, 7, 10))]  # equal directions
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], f"vec_id long, embedding array<{kind}>").repartition(5)
+    queries = df.filter("vec_id % 50 = 0 or vec_id in (1300, 1301)")
+    nodes = hnsw.distinct_vectors(hnsw.usable(df, "vec_id", "embedding"), 6)
+    cells, _ = hnsw.fit_cells(nodes, 5, 200)
+    assert len(cells[24].centroids) > 20 and cells[24].visits < 12 and nodes.count() == 4801
+    got = {}
+    for r in hnsw.nearest(df, queries, cell_size=200).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for q, rows in got.items():
+        s = np.round(u @ u[q], 12)
+        s[q] = -9
+        best = np.lexsort((np.arange(6000), -s))[:5]
+        rows.sort()
+        assert [r for r, _, _ in rows] == [1, 2, 3, 4, 5] and all(abs((u[v] @ u[q]) - score) < 1e-9 and score <= 1 for _, v, score in rows)
+        hits += len({v for _, v, _ in rows} & set(best.tolist()))
+    assert len(got) == queries.count() and hits >= 0.95 * 5 * len(got)
+    assert [v for _, v, _ in got[150]] == [100, 101, 102, 103, 104] and [v for _, v, _ in got[1301]][:2] == [1300, 1302]
