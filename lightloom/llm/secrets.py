@@ -23,8 +23,9 @@ RULES = (
     ("hex", re.compile(r"[0-9a-f]+"), 0, 24),
 )
 ORDER = {"assign": 0, "access": 1, "hex": 2, "markov": 3}
-#: Tokens that the models judge, and those that they learn ordinary identifiers from.
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: Tokens that the models judge, from LONG characters, and those that they learn ordinary identifiers from, below.
+LONG = 16
+TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LONG)
 IDENTIFIER = re.compile(r"[A-Za-z0-9+/_=-]{6,}")
 #: What keys are made of, a class of random samples each.
 _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
@@ -120,7 +121,8 @@ def _fit(counts: DataFrame, prior: float, drawn: np.ndarray | None = None) -> Ma
 
 
 def train_from_corpus(docs: DataFrame, text: str = "text", prior: float = 0.5, random: list[str] | None = None) -> MarkovPair:
-    """Label 1: ``random`` (by default random_strings()); label 0: every token of all texts but digits and what the rules find."""
+    """Label 1: ``random`` (by default random_strings()); label 0: tokens of all texts that are too short to be judged
+    (a secret never teaches that it is ordinary), but for digits and what the rules find."""
 
     def count(batches):
         total = np.zeros(SIZE * SIZE, dtype=np.int64)
@@ -135,7 +137,7 @@ def train_from_corpus(docs: DataFrame, text: str = "text", prior: float = 0.5, r
                         ordinary += IDENTIFIER.findall(s, at, a)
                     at = max(at, b)
                 ordinary += IDENTIFIER.findall(s, at)
-            total += bigrams([folded(x) for x in ordinary if not x.isdigit()])
+            total += bigrams([folded(x) for x in ordinary if len(x) < LONG and not x.isdigit()])
         cell = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(cell), dtype=np.int64)), pa.array(cell), pa.array(total[cell])], names=["label", "cell", "n"])
 
