@@ -32,7 +32,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents that hold a window of ten words of the benchmark go; rows are told apart by doc_id (null is one too) and text."""
     found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     hit = cut(found.filter("contaminated").select(F.col("doc_id").alias("hit"), "copy"))
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("hit")) & (F.xxhash64("text") == F.col("copy")), "left_anti")
+    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["hit"]) & (F.xxhash64(docs["text"]) == hit["copy"]), "left_anti")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
