@@ -28,18 +28,19 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 #: A key with more than LEAST rows, and more than a HOT-th of all rows, is dealt to several tasks: at most HOT keys are.
-LEAST, HOT = 1000, 50_000
+LEAST, HOT = 500, 50_000
 
 
-def join_hot(left: DataFrame, right: DataFrame, on: list[str], spread: list[str], total: int, size: str = "n") -> DataFrame:
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], spread: list[str], total: int, top: int, size: str = "n") -> DataFrame:
     """Inner join of ``left``, of about ``total`` rows, with ``right``: one row a key, in ``size`` the left rows that have it.
 
     Keys with many rows are split by the hash of ``spread``, and their row of ``right`` is repeated for each part; only
-    their names, HOT at most, are broadcast.
+    their names, HOT at most, are broadcast. ``top``, the largest size, tells whether there are any.
     """
-    if total <= LEAST:
+    most = max(LEAST, total // HOT)
+    if top <= most:
         return left.join(right, on)
-    parts = F.ceil(F.col(size) / max(LEAST, total // HOT))
+    parts = F.ceil(F.col(size) / most)
     hot = right.filter(parts > 1).select(*on, parts.alias("_parts"))
     part = F.when(F.col("_parts").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64(*spread), F.col("_parts")))
     marked = left.join(F.broadcast(hot), on, "left").withColumn("_part", part).drop("_parts")
@@ -57,21 +58,28 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     round has changed nothing.
     """
     now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct())
-    before, total = None, 2 * now.count()
+
+    def look(edges: DataFrame) -> tuple:
+        """Edges, the most that a node has to smaller or from larger ones, and a checksum."""
+        ends = edges.select("u", F.xxhash64("u", "v").cast("decimal(38,0)").alias("h")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).cast("decimal(38,0)").alias("h")))
+        by = ends.groupBy("u").agg(F.count("*").alias("n"), F.sum("h").alias("h"))
+        return tuple(by.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0)), F.sum("h")).first())
+
+    before = look(now)
     for _ in range(most):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         # large star: the larger neighbours of a node go to the smallest of its neighbours and itself
-        large = join_hot(both, low, ["u"], ["v"], total).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+        large = join_hot(both, low, ["u"], ["v"], *before[:2]).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
         large = large.filter("u > v").distinct()
         # small star: the smaller neighbours of a node, and itself, go to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = join_hot(large, least, ["u"], ["v"], total).filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = join_hot(large, least, ["u"], ["v"], *before[:2]).filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
+        state = look(now)
         if state == before:
             break
-        before, total = state, 2 * state["n"]
+        before = state
     else:
         raise RuntimeError(f"no fixed point within {most} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
