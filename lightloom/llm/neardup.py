@@ -14,8 +14,8 @@
    last what is still outside of a key's largest component meets all of the key. So a pair within the distance is always
    compared or connected already, no task holds more than two blocks, and copies of one text never meet all pairs.
 5. Candidate components that are too large to meet at once (chains of texts that share boilerplate) fall apart by the same
-   join over signatures of 512 symbols: pairs of similarity 0.8 differ in 102 of them on average and in more than 150
-   with a probability of about 1e-7.
+   join over signatures of 160 symbols of 8 bits: pairs of similarity 0.8 differ in 32 of them on average and in more than
+   59 with a probability of about 1e-7.
 6. The classes of a candidate component meet with their whole sets, and a search of the same kind over exact similarities,
    in blocks as above, gives links whose components are the answer.
 """
@@ -38,7 +38,7 @@ _SEED = np.random.default_rng(20240229)
 _MUL = (_SEED.integers(0, 2**63, SYMBOLS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _ADD = _SEED.integers(0, 2**63, SYMBOLS, dtype=np.uint64)
 #: The longer signatures and the distance that they are compared by.
-LONG, LONG_DISTANCE = 512, 150
+LONG, LONG_DISTANCE = 160, 59
 _LONG_MUL = (_SEED.integers(0, 2**63, LONG, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _LONG_ADD = _SEED.integers(0, 2**63, LONG, dtype=np.uint64)
 #: Separators of words; A-Z are lower-cased, and nothing else.
@@ -188,10 +188,10 @@ def signature_links(ids: np.ndarray, sig: np.ndarray, distance: int = DISTANCE)
     return a, b
 
 
-def dealt_links(rows: DataFrame, payload, search, by: str, block: int) -> DataFrame:
+def dealt_links(rows: DataFrame, top: int, payload, search, by: str, block: int) -> DataFrame:
     """(a, b): links that connect, in each group of ``by``, whatever the pairs that ``search`` finds would connect.
 
-    rows: (by, id, n), n the group's size; payload(rows) adds what search(table) compares the rows of one task's table by.
+    rows: (by, id, n), n the group's size, ``top`` the largest; payload(rows) adds what search(table) compares the rows of one task's table by.
     """
 
     def run(batches):
@@ -223,19 +223,19 @@ def dealt_links(rows: DataFrame, payload, search, by: str, block: int) -> DataFr
         return cut(large.join(near, "id", "left").select(by, "id", "n", F.coalesce("root", "id").alias("own")))
 
     links = meet(rows.withColumn("pair", block_of("n")))
-    large = rows.filter(F.col("n") > block)
-    if large.isEmpty():
+    if top <= block:
         return links
+    large = rows.filter(F.col("n") > block)
     # one of each component that a block has found stands for it
     heads = placed(links).groupBy(by, "own").agg(F.min("id").alias("id"))
     number = heads.groupBy(by).agg(F.count("*").alias("m")).filter("m > 1")
-    links = links.unionByName(meet(join_hot(heads, number, [by], ["id"], heads.count(), "m").withColumn("pair", block_of("m"))))
+    links = links.unionByName(meet(join_hot(heads, number, [by], ["id"], heads.count(), top, "m").withColumn("pair", block_of("m"))))
     # what is outside of a group's largest component meets the whole group
     now = placed(links)
     parts = now.groupBy(by, "own").agg(F.count("*").alias("c"))
     main = parts.groupBy(by).agg(F.max(F.struct("c", "own")).alias("top"), F.sum("c").alias("all"))
     main = main.select(by, F.col("top.own").alias("main"), "all", (F.col("all") - F.col("top.c")).alias("strays")).filter("strays > 0")
-    rest = cut(join_hot(now, main, [by], ["id"], now.count(), "all"))
+    rest = cut(join_hot(now, main, [by], ["id"], now.count(), top, "all"))
     if rest.isEmpty():
         return links
     of, strays = F.ceil(F.col("all") / block), F.ceil(F.col("strays") / block)
@@ -245,47 +245,48 @@ def dealt_links(rows: DataFrame, payload, search, by: str, block: int) -> DataFr
     return links.unionByName(meet(every.unionByName(out).distinct()))
 
 
-def by_signature(distance: int, column: str = "signature"):
+def by_signature(distance: int, column: str = "signature", symbol: str = "<u2"):
     def search(group: pa.Table):
         raw = group.column(column).to_pylist()
-        return signature_links(np.asarray(group.column("id")), np.frombuffer(b"".join(raw), dtype="<u2").reshape(len(raw), -1), distance)
+        return signature_links(np.asarray(group.column("id")), np.frombuffer(b"".join(raw), dtype=symbol).reshape(len(raw), -1), distance)
 
     return search
 
 
-def shared_keys(classes: DataFrame) -> DataFrame:
-    """(bucket, id, n): the keys that several classes have; classes: (id, signature)."""
+def shared_keys(classes: DataFrame) -> tuple[DataFrame, int]:
+    """(bucket, id, n): the keys that several classes have, and the largest n; classes: (id, signature)."""
     keys = chunk_keys(classes)
-    counts = keys.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    return cut(join_hot(keys, counts, ["bucket"], ["id"], CHUNKS * CHUNK * classes.count()))
+    counts = cut(keys.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"))
+    total, top = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    return cut(join_hot(keys, counts, ["bucket"], ["id"], total, top)), top
 
 
-def candidate_components(classes: DataFrame, docs: DataFrame, words: int, key_block: int, set_block: int, key: str, text: str) -> DataFrame:
-    """(component, id, n): classes that may be linked; n is the size of the component."""
-    keys = shared_keys(classes)
-    found = components(dealt_links(keys, lambda r: r.join(classes.select("id", "signature"), "id"), by_signature(DISTANCE), "bucket", key_block))
-    found = sized(found)
-    large = cut(found.filter(F.col("n") > set_block).select("id"))
-    if large.isEmpty():
-        return found
+def candidate_components(classes: DataFrame, docs: DataFrame, words: int, key_block: int, set_block: int, key: str, text: str) -> tuple[DataFrame, int]:
+    """(component, id, n): classes that may be linked, n the size of the component; and the largest n."""
+    keys, most = shared_keys(classes)
+    links = dealt_links(keys, most, lambda r: r.join(classes.select("id", "signature"), "id"), by_signature(DISTANCE), "bucket", key_block)
+    found, top = sized(components(links))
+    if top <= set_block:
+        return found, top
 
     def sketch(batches):
         for batch in text_slices(batches, "text", 1 << 18):
             sig = minima(*shingles(*utf8(batch.column("text")), words), _LONG_MUL, _LONG_ADD)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x.tobytes() for x in sig], pa.binary())], names=["id", "long"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x.astype(np.uint8).tobytes() for x in sig], pa.binary())], names=["id", "long"])
 
+    large = cut(found.filter(F.col("n") > set_block).select("id"))
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(large, "id").dropDuplicates(["id"])
     sharp = cut(texts.mapInArrow(sketch, "id long, long binary"))
-    own = keys.join(large, "id")
-    again = components(dealt_links(own, lambda r: r.join(sharp, "id"), by_signature(LONG_DISTANCE, "long"), "bucket", key_block))
+    again = components(dealt_links(keys.join(large, "id"), most, lambda r: r.join(sharp, "id"), by_signature(LONG_DISTANCE, "long", "u1"), "bucket", key_block))
     return sized(found.join(large, "id", "left_anti").select(F.col("id").alias("node"), F.col("component").alias("root")).unionByName(again))
 
 
-def sized(nodes: DataFrame) -> DataFrame:
-    """(component, id, n) of (node, root)."""
-    rows = cut(nodes.select(F.col("root").alias("component"), F.col("node").alias("id")))
-    sizes = rows.groupBy("component").agg(F.count("*").alias("n"))
-    return cut(join_hot(rows, sizes, ["component"], ["id"], rows.count()))
+def sized(nodes: DataFrame) -> tuple[DataFrame, int]:
+    """(component, id, n) of (node, root), and the largest n."""
+    rows = nodes.select(F.col("root").alias("component"), F.col("node").alias("id"))
+    sizes = cut(rows.groupBy("component").agg(F.count("*").alias("n")))
+    total, top = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    return cut(join_hot(rows, sizes, ["component"], ["id"], total, top)), top
 
 
 def exact_links(ids: np.ndarray, value: np.ndarray, offs: np.ndarray, percent: int) -> tuple[list, list]:
@@ -320,7 +321,7 @@ def exact_links(ids: np.ndarray, value: np.ndarray, offs: np.ndarray, percent: i
     return a, b
 
 
-def confirmed_links(docs: DataFrame, candidates: DataFrame, words: int, percent: int, block: int, key: str, text: str) -> DataFrame:
+def confirmed_links(docs: DataFrame, candidates: DataFrame, top: int, words: int, percent: int, block: int, key: str, text: str) -> DataFrame:
     """(a, b): links on whole sets among the classes of each candidate component (component, id, n)."""
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
 
@@ -339,10 +340,10 @@ def confirmed_links(docs: DataFrame, candidates: DataFrame, words: int, percent:
         offs = np.concatenate([[0], np.cumsum([len(r) // 8 for r in raw])])
         return exact_links(ids, np.frombuffer(b"".join(raw), dtype=np.uint64), offs, percent)
 
-    return dealt_links(candidates, payload, search, "component", block)
+    return dealt_links(candidates, top, payload, search, "component", block)
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", key_block: int = 20000, set_block: int = 2000) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", key_block: int = 20000, set_block: int = 4000) -> DataFrame:
     """(key, n_shingles, component_id, kept): one row a document.
 
     Documents of a component are linked by similarities of ``percent`` or more, directly or through others;
@@ -356,11 +357,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     same = ["n_shingles", "p", "q"]
     classes = known.groupBy(*same).agg(F.min(F.col(key).cast("long")).alias("id"), F.first("signature").alias("signature"), F.count("*").alias("n"))
     classes = cut(classes)
-    candidates = candidate_components(classes, docs, words, key_block, set_block, key, text)
-    links = components(confirmed_links(docs, candidates, words, percent, set_block, key, text))
+    candidates, top = candidate_components(classes, docs, words, key_block, set_block, key, text)
+    links = components(confirmed_links(docs, candidates, top, words, percent, set_block, key, text))
     merged = links.filter("node > root").select(F.col("node").alias("id"), "root")
     final = classes.join(merged, "id", "left").select(*same, "n", F.coalesce("root", "id").alias("component_id"))
-    found = join_hot(known.select(key, *same), final, same, [key], known.count()).select(key, "n_shingles", "component_id")
+    total, copies = classes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    found = join_hot(known.select(key, *same), final, same, [key], total, copies).select(key, "n_shingles", "component_id")
     alone = rows.filter(F.col("p").isNull() | F.col(key).isNull()).select(key, "n_shingles", F.col(key).cast("long").alias("component_id"))
     found = found.unionByName(alone)
     return found.select(key, "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col(key), F.lit(True)).alias("kept"))

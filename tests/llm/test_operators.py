@@ -291,7 +291,7 @@ def test_pipeline(spark, tmp_path):
     assert len([r for r in got if r.doc_id == 2 and r.start == 0]) == 1
 
 
-@pytest.mark.parametrize("key_block, set_block", [(20000, 2000), (20000, 9), (5, 4)])
+@pytest.mark.parametrize("key_block, set_block", [(20000, 4000), (20000, 9), (5, 4)])
 def test_near_duplicates_of_chains(spark, key_block, set_block):
     # texts that share half of their words with the next one, near copies of them, and one group of many near copies
     words = prose(4000).split()
@@ -316,7 +316,7 @@ def test_hot_keys_are_split(spark, monkeypatch):
     monkeypatch.setattr(shared, "LEAST", 10)
     left = spark.createDataFrame([(0, i) for i in range(300)] + [(i, i) for i in range(1, 50)], "k long, v long")
     right = left.groupBy("k").agg(F.count("*").alias("n")).withColumn("w", F.col("k") * 2)
-    got = shared.join_hot(left, right, ["k"], ["v"], 349)
+    got = shared.join_hot(left, right, ["k"], ["v"], 349, 300)
     assert sorted((r.k, r.v, r.n, r.w) for r in got.collect()) == sorted([(0, i, 300, 0) for i in range(300)] + [(i, i, 1, 2 * i) for i in range(1, 50)])
 
 
