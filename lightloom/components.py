@@ -72,6 +72,8 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         # large star: the larger neighbours of a node go to the smallest of its neighbours and itself
         large = join_hot(both, low, ["u"], ["v"], *before[:2]).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
         large = large.filter("u > v").distinct()
+        if before[1] > LEAST:  # a plan that splits hubs is long enough without being repeated below
+            large = cut(large)
         # small star: the smaller neighbours of a node, and itself, go to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = join_hot(large, least, ["u"], ["v"], *before[:2]).filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
