@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..components import cut
 from ..functions import exprs as X
 
 
@@ -30,7 +31,11 @@ def periodogram(series: DataFrame, key: str, grid: DataFrame) -> DataFrame:
     Closed form over six means a series and frequency; the sums are built up on the map side, so only these move.
     """
     rows = series.filter(X.finite("t", "flux")).select(key, "t", "flux")
-    pairs = rows.join(F.broadcast(grid), key) if key in grid.columns else rows.join(F.broadcast(grid))
+    if key in grid.columns:  # a row a series, with its frequencies in order
+        grid = grid.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("i", "f"))).alias("g"))
+        pairs = rows.join(grid, key).select(key, "t", "flux", F.inline("g"))
+    else:
+        pairs = rows.join(F.broadcast(grid))
     a = F.lit(2 * math.pi) * F.col("f") * F.col("t")
     pairs = pairs.withColumn("c", F.cos(a)).withColumn("s", F.sin(a))
     y, c, s = F.col("flux"), F.col("c"), F.col("s")
@@ -115,16 +120,39 @@ def autocorrelation_peak(ac: DataFrame, key: str) -> DataFrame:
     return peaks.groupBy(key).agg(F.coalesce(F.min_by(F.when(hit, F.col("ac")), F.when(hit, F.col("lag"))), F.lit(0.0)).alias("autocorr_strength"))
 
 
-def centroid_shift(rows: DataFrame, key: str, center: float = 0.75, half: float = 0.05, shift: float = 0.3, corr: float = 0.3, limit: float = 0.005) -> DataFrame:
-    """Multi-source test from (key, phase, flux, x, y): does the centroid move when the flux dips?"""
+def phase_fold(
+    series: DataFrame, key: str, low_period: float = 0.2, high_period: float = 20.0, samples: int = 10, threshold: float = 0.05, least_period: float | None = None, most_period: float | None = None,
+    n: int = 100, shift: float = 0.0, least: int = 100,
+) -> tuple[DataFrame, DataFrame]:
+    """(points, bins) of each series at the period that a search of its regular grid finds.
+
+    points: (key, t, phase, z, best_period, peak_power); bins: (key, bin, center, mean, points), n a series. Series with
+    fewer than ``least`` finite points, a peak below ``threshold``, or a period outside of the inclusive gates drop out.
+    """
+    rows = zscore(series, key, least=least)
+    z = rows.select(key, "t", F.col("z").alias("flux"))
+    found = best_period(periodogram(z, key, regular_grid(z, key, low_period, high_period, samples)), key, threshold)
+    gate = F.col("best_period").between(least_period or low_period, most_period or high_period)
+    found = cut(found.filter(gate))  # one row a series, searched for once
+    points = rows.join(found, key).select(key, "t", X.phase("t", F.col("best_period"), shift).alias("phase"), "z", "best_period", "peak_power")
+    return points, bins(points, key, n)
+
+
+def centroid_shift(rows: DataFrame, key: str, center: float = 0.75, half: float = 0.05, corr: float = 0.3, limit: float = 0.005) -> DataFrame:
+    """Multi-source test from (key, phase, flux, mom_x, mom_y, pos_x, pos_y): do the moments move when the flux dips?
+
+    The correlation with the positions is told, but does not decide. A depth below 0.0001, a negative one too, counts as that.
+    """
     inside = F.abs(F.col("phase") - center) < half
     outside = F.abs(F.col("phase") - center) > 2 * half
+    move = lambda c: F.avg(F.when(inside, F.col(c))) - F.avg(F.when(outside, F.col(c)))
+    dip = F.median(F.when(outside, F.col("flux"))) - F.median(F.when(inside, F.col("flux")))
     m = rows.groupBy(key).agg(
-        F.corr("flux", "x").alias("corr_x"),
-        F.corr("flux", "y").alias("corr_y"),
-        (F.avg(F.when(inside, F.col("x"))) - F.avg(F.when(outside, F.col("x")))).alias("dx"),
-        (F.avg(F.when(inside, F.col("y"))) - F.avg(F.when(outside, F.col("y")))).alias("dy"),
-        (F.median(F.when(outside, F.col("flux"))) - F.median(F.when(inside, F.col("flux")))).alias("depth"),
+        F.corr("flux", "pos_x").alias("corr_x"),
+        F.corr("flux", "pos_y").alias("corr_y"),
+        move("mom_x").alias("delta_x"),
+        move("mom_y").alias("delta_y"),
+        F.when(dip.isNotNull(), F.greatest(dip, F.lit(1e-4))).alias("depth"),
     )
-    move = F.greatest(F.abs("dx"), F.abs("dy"))
-    return m.withColumn("shift", move).withColumn("ratio", move / F.greatest(F.abs("depth"), F.lit(1e-4))).withColumn("multi_source", F.col("ratio") > limit / 0.01).withColumn("correlated", F.greatest(F.abs("corr_x"), F.abs("corr_y")) > corr)
+    m = m.withColumn("local_shift", F.greatest(F.abs("delta_x"), F.abs("delta_y"))).withColumn("effective_shift", F.col("local_shift") / F.col("depth"))
+    return m.withColumn("multi_source", F.col("effective_shift") > limit / 0.01).withColumn("correlated", F.greatest(F.abs("corr_x"), F.abs("corr_y")) > corr)

@@ -180,9 +180,9 @@ def semi_subset(spark, d):
     return table(spark, d, "customer").join(big, "c_custkey", "left_semi").select("c_custkey", "c_name")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
 def anti_exclude(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey", "c_name")
+    return table(spark, d, "customer").join(table(spark, d, "orders").filter("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey", "c_name")
 
 
 @query("WITH l AS (SELECT c_name AS filename FROM customer ORDER BY c_name LIMIT 50 OFFSET 10) SELECT filename FROM l WHERE filename IN (SELECT c_name FROM customer WHERE c_nationkey < 12)")
@@ -369,15 +369,47 @@ def dtw_pairs(spark, d):
 
 
 @query(
-    """WITH p AS (SELECT l_returnflag AS key, (l_orderkey % 1000) / 1000.0 AS phase, l_extendedprice AS flux, l_discount AS x, l_tax AS y FROM lineitem),
-m AS (SELECT key, corr(flux, x) AS corr_x, avg(CASE WHEN abs(phase - 0.75) < 0.05 THEN x END) - avg(CASE WHEN abs(phase - 0.75) > 0.1 THEN x END) AS dx,
-  avg(CASE WHEN abs(phase - 0.75) < 0.05 THEN y END) - avg(CASE WHEN abs(phase - 0.75) > 0.1 THEN y END) AS dy,
-  median(CASE WHEN abs(phase - 0.75) > 0.1 THEN flux END) - median(CASE WHEN abs(phase - 0.75) < 0.05 THEN flux END) AS depth FROM p GROUP BY key)
-SELECT key, round(corr_x, 6) AS corr_x, round(dx, 6) AS dx, round(dy, 6) AS dy, round(depth, 6) AS depth, greatest(abs(dx), abs(dy)) / greatest(abs(depth), 0.0001) > 0.5 AS multi_source FROM m"""
+    """WITH p AS (SELECT l_suppkey % 25 AS key, (l_orderkey % 1000) / 1000.0 AS phase, l_extendedprice AS flux, l_quantity AS mx, l_orderkey % 97 AS my, l_discount AS px, l_tax AS py FROM lineitem),
+m AS (SELECT key, corr(flux, px) AS corr_x, corr(flux, py) AS corr_y,
+  avg(CASE WHEN phase > 0.7 AND phase < 0.8 THEN mx END) - avg(CASE WHEN phase < 0.65 OR phase > 0.85 THEN mx END) AS delta_x,
+  avg(CASE WHEN phase > 0.7 AND phase < 0.8 THEN my END) - avg(CASE WHEN phase < 0.65 OR phase > 0.85 THEN my END) AS delta_y,
+  median(CASE WHEN phase < 0.65 OR phase > 0.85 THEN flux END) - median(CASE WHEN phase > 0.7 AND phase < 0.8 THEN flux END) AS dip FROM p GROUP BY key),
+d AS (SELECT *, CASE WHEN dip < 0.0001 THEN 0.0001 ELSE dip END AS depth, greatest(abs(delta_x), abs(delta_y)) AS local_shift FROM m)
+SELECT key, round(corr_x, 6) AS corr_x, round(corr_y, 6) AS corr_y, round(delta_x, 6) AS delta_x, round(delta_y, 6) AS delta_y, round(local_shift, 6) AS local_shift, round(depth, 6) AS depth,
+  local_shift / depth > 0.5 AS multi_source FROM d"""
 )
 def centroid_shift(spark, d):
-    rows = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("key"), ((F.col("l_orderkey") % 1000) / 1000.0).alias("phase"), F.col("l_extendedprice").alias("flux"), F.col("l_discount").alias("x"), F.col("l_tax").alias("y"))
-    return series.centroid_shift(rows, "key").select("key", *r6("corr_x", "dx", "dy", "depth"), "multi_source")
+    """Suppliers in 25 groups, of which some have dips and some have bumps (depths below 0.0001)."""
+    rows = table(spark, d, "lineitem").select(
+        (F.col("l_suppkey") % 25).alias("key"), ((F.col("l_orderkey") % 1000) / 1000.0).alias("phase"), F.col("l_extendedprice").alias("flux"),
+        F.col("l_quantity").alias("mom_x"), (F.col("l_orderkey") % 97).alias("mom_y"), F.col("l_discount").alias("pos_x"), F.col("l_tax").alias("pos_y"),
+    )
+    return series.centroid_shift(rows, "key").select("key", *r6("corr_x", "corr_y", "delta_x", "delta_y", "local_shift", "depth"), "multi_source")
+
+
+D_SEARCH = f"""{D_SER}, zs AS (SELECT key, avg(flux) AS c, stddev_pop(flux) AS s, min(t) AS lo, max(t) AS hi FROM ser GROUP BY key HAVING count(*) >= 100),
+zz AS (SELECT key, t, (flux - c) / s AS flux FROM ser JOIN zs USING (key)),
+grid AS (SELECT key, i, 1.0 / 20.0 + i * (1.0 / ((hi - lo) * 10)) AS f FROM zs, range(2000) AS g(i) WHERE i <= round((1.0 / 0.2 - 1.0 / 20.0) / (1.0 / ((hi - lo) * 10)))),
+{D_POWER.replace("FROM ser, grid", "FROM zz JOIN grid USING (key)")},
+{D_PEAK},
+fold AS (SELECT key, t, (t % best_period) / best_period AS phase, flux AS z FROM zz JOIN best USING (key) WHERE peak_power >= 0.0005),
+ends AS (SELECT key, min(phase) AS lo, max(phase) AS hi FROM fold GROUP BY key),
+every AS (SELECT key, CAST(b AS INTEGER) AS bin FROM ends, range(1, 101) AS r(b)),
+bm AS (SELECT key, least(CAST(floor((phase - lo) / ((hi - lo) / 100)) AS INTEGER) + 1, 100) AS bin, avg(z) AS mean, count(*) AS points FROM fold JOIN ends USING (key) GROUP BY 1, 2)"""
+
+
+@query(f"WITH {D_SEARCH} SELECT key, bin, round(mean, 6) AS mean, coalesce(points, 0) AS points, round(best_period, 6) AS best_period, round(peak_power, 6) AS peak_power FROM every LEFT JOIN bm USING (key, bin) JOIN best USING (key)")
+def phase_fold_search(spark, d):
+    """Search of the regular grid, gates, fold and bins in a row."""
+    points_, binned = series.phase_fold(events_series(spark, d), "key", threshold=0.0005)
+    found = points_.groupBy("key").agg(F.first("best_period").alias("best_period"), F.first("peak_power").alias("peak_power"))
+    return binned.join(found, "key").select("key", "bin", *r6("mean"), "points", *r6("best_period", "peak_power"))
+
+
+@query()
+def ten_features(spark, d):
+    """The ten features of each type's events, with their report by feature."""
+    return kernels.feature_report(kernels.ten_features(events_series(spark, d), "key", threshold=0.0)).select("feature", *r6("mean", "std"))
 
 
 D_DOT = "list_sum(list_transform(range(1, 65), lambda i: CAST({0}[i] AS DOUBLE) * CAST({1}[i] AS DOUBLE)))"

@@ -14,7 +14,8 @@ _STRING = re.compile(r"('(?:[^']|'')*')")
 
 
 def run_sql(df: DataFrame, query: str, compat: bool = False) -> DataFrame:
-    """The query's rows; NaN and infinities count as null. With ``compat``, LIKE ignores case, as in the older dialect."""
+    """The query's rows; NaN and infinities count as null. With ``compat``, LIKE ignores case and a division
+    by zero is null, as in the older dialect; divisions of integers are not cut to integers (``div`` does that)."""
     floats = {c for c, kind in df.dtypes if kind in ("double", "float")}
     view = f"input_{uuid.uuid4().hex}"
     df.select(*[clean(F.col(f"`{c}`")).alias(c) if c in floats else F.col(f"`{c}`") for c in df.columns]).createOrReplaceTempView(view)
@@ -23,4 +24,11 @@ def run_sql(df: DataFrame, query: str, compat: bool = False) -> DataFrame:
         parts[i] = re.sub(r"\binput_df\b", view, parts[i])
         if compat:
             parts[i] = re.sub(r"\bLIKE\b", "ILIKE", parts[i], flags=re.I)
-    return df.sparkSession.sql("".join(parts))
+    spark = df.sparkSession
+    ansi = spark.conf.get("spark.sql.ansi.enabled")
+    try:  # an expression keeps the mode that it was analysed in; the view is part of the plan by then
+        spark.conf.set("spark.sql.ansi.enabled", "false" if compat else ansi)
+        return spark.sql("".join(parts))
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", ansi)
+        spark.catalog.dropTempView(view)
