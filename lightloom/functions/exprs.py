@@ -102,3 +102,10 @@ def log_grid(low: float, high: float, n: int) -> Column:
 def in_sector(sectors, sector: int) -> Column:
     """The sector is one of the comma-separated numbers; null is no."""
     return F.coalesce(col(sectors).rlike(rf"\b{sector}\b"), F.lit(False))
+
+
+def truth(c) -> Column:
+    """Text to boolean: yes, true, t, y, 1, on; no, false, f, n, 0, off; in any case. Anything else is an error, null stays."""
+    word = F.lower(F.trim(col(c)))
+    wrong = F.raise_error(F.concat(F.lit("not a truth value: "), col(c))).cast("boolean")
+    return F.when(word.isin("yes", "true", "t", "y", "1", "on"), True).when(word.isin("no", "false", "f", "n", "0", "off"), False).when(word.isNotNull(), wrong)

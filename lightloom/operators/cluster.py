@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 import numpy as np
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.functions import array_to_vector
@@ -12,6 +14,7 @@ from ..components import components, cut
 from ..functions import exprs as X
 from . import mixture
 from .mixture import summed
+from .subsets import silhouettes
 
 
 def scale(df: DataFrame, columns: list[str], method: str = "standard") -> DataFrame:
@@ -40,12 +43,16 @@ def distance(a, b):
 def neighbours(points: DataFrame, eps: float, key: str = "id", vec: str = "vec") -> DataFrame:
     """(a, b) for all ordered pairs within eps, itself included.
 
-    The first component falls into cells of width eps, so that only neighbouring cells meet.
+    The first components, three at most, fall into cells of width eps, so that only neighbouring cells meet.
     """
-    cell = F.floor(F.element_at(F.col(vec), 1) / eps).cast("long")
-    left = points.select(F.col(key).alias("a"), F.col(vec).alias("_v"), cell.alias("_c"))
-    right = points.select(F.col(key).alias("b"), F.col(vec).alias("_w"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("_c"))
-    return left.join(right, "_c").filter(distance("_v", "_w") <= eps).select("a", "b")
+    first = points.filter(F.col(vec).isNotNull()).select(F.size(vec)).first()
+    used = min(3, first[0]) if first else 1
+    cell = [F.floor(F.element_at(F.col(vec), i + 1) / eps).cast("long") for i in range(used)]
+    names = [f"_c{i}" for i in range(used)]
+    left = points.select(F.col(key).alias("a"), F.col(vec).alias("_v"), *[c.alias(n) for c, n in zip(cell, names)])
+    around = F.array(*[F.struct(*[(c + s).alias(n) for c, s, n in zip(cell, step, names)]) for step in product((-1, 0, 1), repeat=used)])
+    right = points.select(F.col(key).alias("b"), F.col(vec).alias("_w"), F.inline(around))
+    return left.join(right, names).filter(distance("_v", "_w") <= eps).select("a", "b")
 
 
 def min_label_components(edges: DataFrame, nodes: DataFrame, most: int = 60) -> DataFrame:
@@ -103,13 +110,11 @@ def centroids(labelled: DataFrame, vec: str = "vec") -> DataFrame:
 
 
 def silhouette(labelled: DataFrame, key: str = "id", vec: str = "vec") -> DataFrame:
-    """(silhouette): the mean over all points, by exact pairwise distances; points of one-point clusters count 0."""
-    right = labelled.select(F.col("label").alias("_l"), F.col(vec).alias("_w"))
-    sums = labelled.select(key, "label", F.col(vec).alias("_v")).join(right).groupBy(key, "label", "_l").agg(F.sum(distance("_v", "_w")).alias("d"), F.count("*").alias("n"))
-    per = sums.groupBy(key, "label").agg(
-        F.max(F.when(F.col("_l") == F.col("label"), F.when(F.col("n") > 1, F.col("d") / (F.col("n") - 1)))).alias("a"), F.min(F.when(F.col("_l") != F.col("label"), F.col("d") / F.col("n"))).alias("b")
-    )
-    return per.agg(F.avg(F.when(F.col("a").isNull() | F.col("b").isNull() | (F.greatest("a", "b") == 0), F.lit(0.0)).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))).alias("silhouette"))
+    """(silhouette): the mean over all points, by exact distances in pairs of blocks; points of one-point clusters count 0."""
+    first = labelled.filter(F.col(vec).isNotNull()).select(F.size(vec)).first()
+    names = [f"_x{i}" for i in range(first[0] if first else 1)]
+    wide = labelled.select(key, "label", *[F.get(vec, F.lit(i)).alias(n) for i, n in enumerate(names)])
+    return silhouettes(wide, names, F.col("label"), key, least=len(names)).agg(F.max("silhouette").alias("silhouette"))
 
 
 def calinski_harabasz(labelled: DataFrame, vec: str = "vec") -> DataFrame:

@@ -8,21 +8,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-
-#: Labelled rows that a broadcast may hold; beyond it the pairs are shuffled.
-BROADCAST_ROWS = 100_000
-
-
-def cosine_top1(objects: DataFrame, labelled: DataFrame, key: str = "filename", vec: str = "vec", label: str = "label", digits: int | None = None) -> DataFrame:
-    """(key, matched, matched_label, similarity): the most similar labelled vector, ties to the smaller name."""
-    right = labelled.select(F.col(key).alias("matched"), F.col(label).alias("matched_label"), F.col(vec).alias("_w"), X.norm(vec).alias("_wn"))
-    right = F.broadcast(right) if labelled.count() <= BROADCAST_ROWS else right
-    left = objects.select(key, F.col(vec).alias("_v"), X.norm(vec).alias("_vn"))
-    n = F.col("_vn") * F.col("_wn")
-    sim = F.when(n > 0, X.dot("_v", "_w") / n).otherwise(F.lit(0.0))
-    pairs = left.join(right).withColumn("similarity", F.round(sim, digits) if digits else sim)
-    best = pairs.groupBy(key).agg(F.min(F.struct((-F.col("similarity")).alias("s"), "matched", "matched_label", "similarity")).alias("b"))
-    return best.select(key, "b.matched", "b.matched_label", "b.similarity")
+from .blocks import meet
+
+
+def cosine_top1(objects: DataFrame, labelled: DataFrame, key: str = "filename", vec: str = "vec", label: str = "label", digits: int | None = None, similarity=None, block: int = 2048) -> DataFrame:
+    """(key, matched, matched_label, similarity): the most similar labelled vector, ties to the smaller name.
+
+    similarity: (m x d array, n x d array) -> m x n array, the cosine by default, 0 where a vector is zero or null. Every object
+    meets every labelled vector in pairs of blocks; of each pair of blocks one row an object moves on.
+    """
+    measure = similarity or cosines
+    first = labelled.filter(F.col(vec).isNotNull()).select(F.size(vec)).first()
+    size = first[0] if first else 0
+    whole = F.coalesce(F.col(vec).cast("array<double>"), F.array_repeat(F.lit(0.0), size))
+    pairs = meet(objects.select(F.col(key).alias("k"), whole.alias("v")), labelled.select(F.col(key).alias("k"), whole.alias("v"), F.col(label).alias("label")), block)
+    kinds = {n: df.schema[c].dataType.simpleString() for n, df, c in (("key", objects, key), ("matched", labelled, key), ("matched_label", labelled, label))}
+
+    def run(batches):
+        for pdf in batches:
+            for ids, x, names, y, labels in zip(pdf["left_k"], pdf["left_v"], pdf["right_k"], pdf["right_v"], pdf["right_label"]):
+                found = measure(np.array([list(v) for v in x], dtype=float), np.array([list(v) for v in y], dtype=float))
+                found = np.round(found, digits) if digits else found
+                best = found.argmax(1)  # the first of equals, and names stand in order
+                yield pd.DataFrame({"key": list(ids), "matched": [names[j] for j in best], "matched_label": [labels[j] for j in best], "similarity": found[np.arange(len(best)), best]})
+
+    near = pairs.mapInPandas(run, ", ".join(f"{n} {kind}" for n, kind in kinds.items()) + ", similarity double")
+    best = near.groupBy("key").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "matched", "matched_label", "similarity")).alias("b"))
+    return best.select(F.col("key").alias(key), "b.matched", "b.matched_label", "b.similarity")
+
+
+def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)
+    return np.divide(x @ y.T, n, out=np.zeros(n.shape), where=n > 0)
 
 
 def thresholded(matches: DataFrame, threshold: float = 0.6) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..components import cut
 from ..functions import exprs as X
+from .ranks import beside, numbered, quantiles
 
 
 def positive(df: DataFrame, score: str = "anomaly_score") -> DataFrame:
@@ -49,9 +51,7 @@ def listing(files: DataFrame, start: int = 0, limit: int | None = None, subset:
 
 def ranked(df: DataFrame, score: str, tie: str, by: list[str] = ()) -> DataFrame:
     """Adds rn (1-based, best first), n and the percentile of the rank, (rn - 1) / n * 100."""
-    order = Window.partitionBy(*by).orderBy(F.col(score).desc(), tie)
-    size = Window.partitionBy(*by)
-    return df.withColumn("rn", F.row_number().over(order)).withColumn("n", F.count("*").over(size)).withColumn("percentile", (F.col("rn") - 1) / F.col("n") * 100.0)
+    return numbered(df, [F.col(score).desc(), F.col(tie)], by).withColumn("percentile", (F.col("rn") - 1) / F.col("n") * 100.0)
 
 
 def recall_curve(df: DataFrame, flag: Column, weight: str | None = None, by: list[str] = ()) -> DataFrame:
@@ -74,16 +74,53 @@ def trapezoid(curve: DataFrame, x: str, y: str, by: list[str] = ()) -> DataFrame
     return curve.withColumn("_a", step).groupBy(*by).agg(F.coalesce(F.sum("_a"), F.lit(0.0)).alias("area"))
 
 
-def quantile_recall(df: DataFrame, score: str, flag: str, steps: int = 100) -> DataFrame:
-    """(i, threshold, recall) at ``steps + 1`` exact quantiles of the score."""
-    qs = [i / steps for i in range(steps + 1)]
-    cuts = df.agg(F.percentile(score, F.array(*[F.lit(q) for q in qs])).alias("qs")).select(F.posexplode("qs").alias("i", "threshold"))
-    return (
-        df.join(F.broadcast(cuts), F.lit(True))  # steps + 1 rows
-        .groupBy("i", "threshold")
-        .agg(F.sum(F.when(F.col(score) >= F.col("threshold"), F.col(flag)).otherwise(0)).alias("hits"), F.sum(flag).alias("positives"))
-        .withColumn("recall", F.when(F.col("positives") > 0, F.col("hits") / F.col("positives")).otherwise(F.lit(0.0)))
-    )
+def quantile_recall(df: DataFrame, score: str, flag: str, steps: int = 100, by: list[str] = ()) -> DataFrame:
+    """(by, i, threshold, hits, positives, recall) at ``steps + 1`` exact quantiles of the score; rows without a score count as below all."""
+    by = list(by)
+    cuts = cut(quantiles(df, score, [i / steps for i in range(steps + 1)], by))
+    marks = cuts.groupBy(*by).agg(F.sort_array(F.collect_list("threshold")).alias("_cuts"))
+    passed = F.size(F.filter("_cuts", lambda x: x <= F.col(score)))  # a row moves on once, by how many thresholds it reaches
+    sums = beside(df.select(*by, score, flag), marks, by).groupBy(*by, passed.alias("_passed")).agg(F.sum(flag).alias("_f"))
+    total = sums.groupBy(*by).agg(F.sum("_f").alias("positives"), F.collect_list(F.struct("_passed", "_f")).alias("_sums"))  # steps + 2 at most
+    hits = F.aggregate("_sums", F.lit(0).cast("long"), lambda s, x: s + F.when(x["_passed"] > F.col("i"), x["_f"]).otherwise(0))
+    out = beside(cuts, total, by).select(*by, "i", "threshold", hits.alias("hits"), "positives")
+    return out.withColumn("recall", F.when(F.col("positives") > 0, F.col("hits") / F.col("positives")).otherwise(F.lit(0.0)))
+
+
+def recall_report(results: DataFrame, steps: int = 100) -> DataFrame:
+    """(variant, mean_recall) over the quantile thresholds of (variant, score, is_flagged); a variant without flagged rows is an error."""
+    curve = quantile_recall(results, "score", "is_flagged", steps, ["variant"])
+    checked = F.when(F.col("positives") > 0, F.col("recall")).otherwise(F.raise_error(F.concat(F.lit("no flagged rows: "), F.col("variant"))).cast("double"))
+    return curve.groupBy("variant").agg(F.avg(checked).alias("mean_recall"))
+
+
+def auc_report(results: DataFrame, tie: str = "filename", top_percent: int = 20) -> tuple[DataFrame, DataFrame]:
+    """(report, ranked): areas, recalls and ranges of each variant from (variant, filename, score, is_flagged, importance).
+
+    report: variant, auc_recall and auc_importance under the curves of the top 5, 10, ... 100 percent, mean importance of
+    flagged rows in the top percent of anomalies (score above 0), recall, anomaly_rate, and for the 10 and 20 percent most
+    important flagged anomalies the range of their percentiles among anomalies. ranked: (variant, percent, filename,
+    percentile) of these rows. Variants without flagged rows are left out; a step without importance makes its area null.
+    """
+    rows = ranked(results.withColumn("importance", F.when(F.col("is_flagged") == 1, F.col("importance"))), "score", tie, ["variant"])
+    found = F.col("score") > 0
+    sizes = rows.groupBy("variant").agg(F.max("n").alias("n"), F.count_if(found).alias("n_pos"), F.sum("is_flagged").alias("flagged"), F.sum(F.when(found, F.col("is_flagged")).otherwise(0)).alias("hits"))
+    sizes = cut(sizes.filter("flagged > 0"))
+    curve = recall_curve(rows, F.col("is_flagged") == 1, "importance", ["variant"]).withColumn("x", F.col("pct") / 100.0)
+    areas = trapezoid(curve, "x", "recall", ["variant"]).withColumnRenamed("area", "auc_recall")
+    gaps = curve.groupBy("variant").agg(F.count_if(F.col("mean_weight").isNull()).alias("_gaps"))
+    weights = trapezoid(curve, "x", "mean_weight", ["variant"]).join(gaps, "variant").select("variant", F.when(F.col("_gaps") == 0, F.col("area")).alias("auc_importance"))
+    above = rows.filter(found).drop("n", "percentile").join(sizes.select("variant", "n_pos"), "variant").withColumn("percentile", (F.col("rn") - 1) / F.col("n_pos") * 100.0)
+    top = above.groupBy("variant").agg(F.avg(F.when(F.col("rn") <= F.floor(F.col("n_pos") * top_percent / 100.0), F.col("importance"))).alias("mean_importance_top"))
+    weighed = above.filter(F.col("importance").isNotNull()).select("variant", tie, "importance", F.col("percentile").alias("of_anomalies"))
+    weighed = ranked(weighed, "importance", tie, ["variant"]).withColumn("percent", F.explode(F.array(F.lit(10), F.lit(20))))
+    chosen = weighed.filter(F.col("rn") <= F.greatest(F.lit(1), F.floor(F.col("n") * F.col("percent") / 100.0))).select("variant", "percent", tie, F.col("of_anomalies").alias("percentile"))
+    ends = chosen.groupBy("variant").agg(*[f(F.when(F.col("percent") == p, F.col("percentile"))).alias(f"top{p}_{n}") for p in (10, 20) for f, n in ((F.min, "lower"), (F.max, "upper"))])
+    report = sizes.join(areas, "variant").join(weights, "variant")
+    for part in (top, ends):
+        report = report.join(part, "variant", "left")
+    report = report.withColumn("recall", F.col("hits") / F.col("flagged")).withColumn("anomaly_rate", F.col("n_pos") / F.col("n"))
+    return report.select("variant", "auc_recall", "auc_importance", "mean_importance_top", "recall", "anomaly_rate", *[c for c in ends.columns if c != "variant"]), chosen
 
 
 def variant_report(results: DataFrame, top_percent: float | None = None) -> DataFrame:
@@ -94,21 +131,20 @@ def variant_report(results: DataFrame, top_percent: float | None = None) -> Data
         F.count_if(anomaly).alias("n_anomalies"),
         F.sum("is_flagged").alias("n_positives"),
         F.count_if(anomaly & (F.col("is_flagged") == 1)).alias("n_positives_found"),
-        *([F.percentile("score", F.lit(1 - top_percent / 100)).alias("_cut")] if top_percent else []),
     )
     out = out.withColumn("anomaly_rate", F.col("n_anomalies") / F.col("n_total")).withColumn("recall", F.when(F.col("n_positives") > 0, F.col("n_positives_found") / F.col("n_positives")).otherwise(F.lit(0.0)))
     if top_percent:
-        above = results.join(out.select("variant", "_cut"), "variant").filter(F.col("score") >= F.col("_cut"))
+        cuts = quantiles(results, "score", [1 - top_percent / 100], ["variant"]).select("variant", "threshold")
+        above = results.join(cuts, "variant").filter(F.col("score") >= F.col("threshold"))
         above = above.groupBy("variant").agg(F.count("*").alias("n_thresholded"), F.sum("is_flagged").alias("n_positives_thresholded"))
-        out = out.join(above, "variant").drop("_cut")
+        out = out.join(above, "variant")
     return out
 
 
 def top_range(df: DataFrame, importance: str, percentile: str, percent: float, tie: str) -> DataFrame:
     """Min and max anomaly percentile of the ``percent`` most important rows, one at least."""
-    order = Window.orderBy(F.col(importance).desc(), tie)
-    n = df.agg(F.count("*").alias("_n"))
-    top = df.withColumn("_r", F.row_number().over(order)).join(F.broadcast(n)).filter(F.col("_r") <= F.greatest(F.lit(1), F.floor(F.col("_n") * percent / 100.0)))
+    rows = numbered(df.select(importance, percentile, tie), [F.col(importance).desc(), F.col(tie)])
+    top = rows.filter(F.col("rn") <= F.greatest(F.lit(1), F.floor(F.col("n") * percent / 100.0)))
     return top.agg(F.min(percentile).alias("lower"), F.max(percentile).alias("upper"), F.count("*").alias("n_top"))
 
 
@@ -119,7 +155,7 @@ def stratified_sample(df: DataFrame, positive_flag: str, key: str, size: int, se
     rows = df.join(F.broadcast(quota)).withColumn("set_id", F.explode(F.sequence(F.lit(0), F.lit(sets - 1))))
     w = Window.partitionBy("set_id", positive_flag).orderBy(F.md5(F.concat_ws("-", F.col(key).cast("string"), F.lit(seed), F.col("set_id").cast("string"))), key)
     limit = F.when(F.col(positive_flag).cast("boolean"), F.col("_q")).otherwise(size - F.col("_q"))
-    return rows.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= limit).drop("_r", "_q")
+    return rows.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= size).filter(F.col("_r") <= limit).drop("_r", "_q")  # the fixed bound cuts before the shuffle
 
 
 def catalogue_check(ids: DataFrame, catalogue: DataFrame, key: str, entry: str) -> DataFrame:
@@ -144,3 +180,22 @@ def sky_nearest(objects: DataFrame, stars: DataFrame, radius_deg: float, key: st
     h = F.pow(F.sin(F.radians((F.col("_dec") - F.col("dec")) / 2)), 2) + F.cos(F.radians("dec")) * F.cos(F.radians("_dec")) * F.pow(F.sin(F.radians((F.col("_ra") - F.col("ra")) / 2)), 2)
     pairs = pairs.withColumn("distance", F.degrees(2 * F.asin(F.sqrt(h)))).filter(F.col("distance") <= radius_deg)
     return pairs.groupBy(key).agg(F.min(F.struct("distance", "star")).alias("_m")).select(key, F.col("_m.star").alias("star"), F.col("_m.distance").alias("distance"))
+
+
+def value_counts(df: DataFrame, column: str) -> DataFrame:
+    """(column, n): how often each value stands there, most often first; nulls are left out."""
+    return df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column)
+
+
+def require(df: DataFrame, *columns: str) -> DataFrame:
+    """``df``, if it has all columns; else a ValueError that names those it lacks."""
+    lacking = [c for c in columns if c not in df.columns]
+    if lacking:
+        raise ValueError(f"missing columns: {', '.join(lacking)}; there are: {', '.join(df.columns)}")
+    return df
+
+
+def marked_existing(names: DataFrame, files: DataFrame, key: str = "filename") -> DataFrame:
+    """``names`` and whether each stands in ``files``, as is_there; none is removed."""
+    there = files.select(F.col(key)).distinct().withColumn("_there", F.lit(True))
+    return names.join(there, key, "left").withColumn("is_there", F.coalesce("_there", F.lit(False))).drop("_there")

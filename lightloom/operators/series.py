@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,23 +21,30 @@ def stats(series: DataFrame, key: str, least: int = 1) -> DataFrame:
     ).filter(F.col("n") >= least)
 
 
+def median_normalise(series: DataFrame, key: str) -> DataFrame:
+    """Finite points with flux / median flux of their series; null where the median is 0."""
+    m = series.filter(X.finite("t", "flux")).groupBy(key).agg(F.median("flux").alias("_m"))
+    return series.filter(X.finite("t", "flux")).join(m, key).withColumn("flux", F.when(F.col("_m") != 0, F.col("flux") / F.col("_m"))).drop("_m")
+
+
 def zscore(series: DataFrame, key: str, robust: bool = False, least: int = 1) -> DataFrame:
     """Adds z: (flux - mean or median) / population deviation; 0 for a constant series."""
-    s = stats(series, key, least).select(key, F.col("median" if robust else "mean").alias("_c"), "std")
+    ends = series.filter(X.finite("t", "flux")).groupBy(key).agg((F.median if robust else F.avg)("flux").alias("_c"), F.stddev_pop("flux").alias("std"), F.count("*").alias("_n"))
+    s = ends.filter(F.col("_n") >= least).drop("_n")
     return series.filter(X.finite("t", "flux")).join(s, key).withColumn("z", F.when(F.col("std") > 0, (F.col("flux") - F.col("_c")) / F.col("std")).otherwise(F.lit(0.0))).drop("_c", "std")
 
 
 def periodogram(series: DataFrame, key: str, grid: DataFrame) -> DataFrame:
     """(key, i, f, power): floating-mean Lomb-Scargle power at the frequencies of grid (i, f), or (key, i, f).
 
-    Closed form over six means a series and frequency; the sums are built up on the map side, so only these move.
+    Closed form over six means a series and frequency. Over a shared grid, a parameter's size, tasks sum them up in numpy
+    before anything moves; over grids of the series' own, Spark's partial sums do.
     """
     rows = series.filter(X.finite("t", "flux")).select(key, "t", "flux")
-    if key in grid.columns:  # a row a series, with its frequencies in order
-        grid = grid.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("i", "f"))).alias("g"))
-        pairs = rows.join(grid, key).select(key, "t", "flux", F.inline("g"))
-    else:
-        pairs = rows.join(F.broadcast(grid))
+    if key not in grid.columns:
+        return _shared_grid(rows, key, grid)
+    grid = grid.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("i", "f"))).alias("g"))  # a row a series, with its frequencies in order
+    pairs = rows.join(grid, key).select(key, "t", "flux", F.inline("g"))
     a = F.lit(2 * math.pi) * F.col("f") * F.col("t")
     pairs = pairs.withColumn("c", F.cos(a)).withColumn("s", F.sin(a))
     y, c, s = F.col("flux"), F.col("c"), F.col("s")
@@ -45,6 +54,47 @@ def periodogram(series: DataFrame, key: str, grid: DataFrame) -> DataFrame:
     return m.select(key, "i", "f", _power().alias("power"))
 
 
+#: Numbers that a task holds before it hands its sums on.
+HELD = 8_000_000
+
+
+def _shared_grid(rows: DataFrame, key: str, grid: DataFrame) -> DataFrame:
+    marks = [(r["i"], r["f"]) for r in grid.select("i", "f").orderBy("i").collect()]
+    f = np.array([m[1] for m in marks])
+    names = ["c", "s", "yc", "ys", "cc", "cs"]
+
+    def out(held: dict) -> pd.DataFrame:
+        return pd.DataFrame([(k, *head, *sums) for k, (head, sums) in held.items()], columns=["key", "n", "y", "yy", *names])
+
+    def run(batches):
+        held: dict = {}
+        for pdf in batches:
+            for k, part in pdf.groupby("key", sort=False, dropna=False):
+                t, y = part["t"].to_numpy(), part["flux"].to_numpy()
+                k = None if pd.isna(k) else k
+                head, sums = held.setdefault(k, (np.zeros(3), np.zeros((6, len(f)))))
+                head += len(y), y.sum(), (y * y).sum()
+                for at in range(0, len(t), 512):
+                    a, v = 2 * math.pi * t[at : at + 512, None] * f, y[at : at + 512]
+                    c, s = np.cos(a), np.sin(a)
+                    sums += c.sum(0), s.sum(0), v @ c, v @ s, (c * c).sum(0), (c * s).sum(0)
+                if len(held) * 6 * len(f) > HELD:
+                    yield out(held)
+                    held = {}
+        if held:
+            yield out(held)
+
+    kind = rows.schema[key].dataType.simpleString()
+    schema = f"key {kind}, n double, y double, yy double, " + ", ".join(f"{n} array<double>" for n in names)
+    sums = rows.withColumnRenamed(key, "key").mapInPandas(run, schema)
+    each = sums.select("key", "n", "y", "yy", F.posexplode(F.arrays_zip(*names)).alias("at", "z")).groupBy("key", "at")
+    total = each.agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in ("y", "yy")], *[F.sum(f"z.{c}").alias(c) for c in names])
+    n = F.col("n")
+    means = total.select("key", "at", *[(F.col(c) / n).alias(m) for c, m in dict(y="ym", c="cm", s="sm", yy="yy", yc="yc", ys="ys", cc="cc", cs="cs").items()]).withColumn("ss", F.lit(1.0) - F.col("cc"))
+    named = rows.sparkSession.createDataFrame([(j, *m) for j, m in enumerate(marks)], f"at int, i {grid.schema['i'].dataType.simpleString()}, f double")
+    return means.join(F.broadcast(named), "at").select(F.col("key").alias(key), "i", "f", _power().alias("power"))
+
+
 def _power():
     v = {n: F.expr(e) for n, e in dict(YY="yy-ym*ym", YC="yc-ym*cm", YS="ys-ym*sm", CC="cc-cm*cm", SS="ss-sm*sm", CS="cs-cm*sm").items()}
     d = v["CC"] * v["SS"] - v["CS"] * v["CS"]

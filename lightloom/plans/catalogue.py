@@ -12,8 +12,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..components import cut
 from ..functions import exprs as X
-from ..operators import cluster, forest, kernels, match, mixture, relational, series, subsets
+from ..operators import cluster, forest, kernels, match, mixture, ranks, relational, series, subsets
 from ..streaming import incremental
 from .sqlfront import run_sql
 
@@ -50,7 +51,7 @@ D_DAYS = "(epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 86400000000.0"
 def scores(spark: SparkSession, d: str) -> DataFrame:
     """(tic, filename, p3, p9): shares of errors and of values above the 0.9 quantile, a user."""
     ev = table(spark, d, "events")
-    q = ev.agg(F.percentile("value", F.lit(0.9)).alias("q"))
+    q = ranks.quantiles(ev, "value", [0.9]).select(F.col("threshold").alias("q"))
     one = lambda c: F.avg(F.when(c, F.lit(1.0)).otherwise(F.lit(0.0)))
     out = ev.join(F.broadcast(q)).groupBy(F.col("user_id").alias("tic")).agg(one(F.col("event_type") == "error").alias("p3"), one(F.col("value") > F.col("q")).alias("p9"))
     return out.withColumn("filename", F.expr(FILE.format("tic")))
@@ -67,7 +68,7 @@ f AS (SELECT tic, filename, p3, p9, raw, CASE WHEN hi > lo THEN (raw - lo) / (hi
 
 
 def fused(spark, d):
-    s = scores(spark, d)
+    s = cut(scores(spark, d))  # both sides of the fusion
     return relational.fuse_scores(s.select("tic", "filename", F.col("p3").alias("anomaly_score")), s.select("tic", "filename", F.col("p9").alias("anomaly_score")))
 
 
@@ -180,9 +181,9 @@ def semi_subset(spark, d):
     return table(spark, d, "customer").join(big, "c_custkey", "left_semi").select("c_custkey", "c_name")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 450000)")
 def anti_exclude(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders").filter("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey", "c_name")
+    return table(spark, d, "customer").join(table(spark, d, "orders").filter("o_totalprice > 450000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey", "c_name")
 
 
 @query("WITH l AS (SELECT c_name AS filename FROM customer ORDER BY c_name LIMIT 50 OFFSET 10) SELECT filename FROM l WHERE filename IN (SELECT c_name FROM customer WHERE c_nationkey < 12)")
@@ -258,7 +259,7 @@ def series_robust_zscore(spark, d):
     return series.zscore(events_series(spark, d, "user_id"), "key", robust=True).select("key", *r6("t", "z"))
 
 
-GRID_N = 60
+GRID_N = 1000
 D_GRID = f"grid AS (SELECT i, pow(10.0, log10(1.0 / 27.0) + i * (log10(6.0) - log10(1.0 / 27.0)) / {GRID_N - 1}.0) AS f FROM range({GRID_N}) AS g(i))"
 D_POWER = """pt AS (SELECT key, i, f, flux AS y, cos(2 * pi() * f * t) AS c, sin(2 * pi() * f * t) AS s FROM ser, grid),
 m AS (SELECT key, i, f, avg(y) AS ym, avg(c) AS cm, avg(s) AS sm, avg(y*y) AS yy, avg(y*c) AS yc, avg(y*s) AS ys, avg(c*c) AS cc, avg(s*s) AS ss, avg(c*s) AS cs FROM pt GROUP BY key, i, f),
@@ -358,9 +359,9 @@ def sharpness(spark, d):
     return kernels.sharpness_of(v, "key")
 
 
-@query()
+@query(f"WITH {D_USER}, {D_GRID}, {D_POWER} SELECT key, CAST(4000 AS INTEGER) AS size, round(max(power), 6) AS peak FROM power GROUP BY key")
 def flux_power_stack(spark, d):
-    return match.flux_power_stack(events_series(spark, d, "user_id"), "key", 100, 200).select("key", F.size("vec").alias("size"), F.round(F.array_max(F.slice("vec", 101, 200)), 6).alias("peak"))
+    return match.flux_power_stack(events_series(spark, d, "user_id"), "key").select("key", F.size("vec").alias("size"), F.round(F.array_max(F.slice("vec", 3001, 1000)), 6).alias("peak"))
 
 
 @query()
@@ -611,6 +612,61 @@ def variant_report_top_pct(spark, d):
     return relational.variant_report(variants(spark, d), 10).select(*VAR_COLS, *r6("anomaly_rate", "recall"), "n_thresholded", "n_positives_thresholded")
 
 
+def weighed_variants(spark, d):
+    """(variant, filename, score, is_flagged, importance): a row an event, flagged where its user's catalogue part is important."""
+    ev = table(spark, d, "events").select(F.col("event_type").alias("variant"), F.col("event_id").alias("filename"), F.round(F.col("value") - 20, 9).alias("score"), F.col("user_id").alias("id"))
+    return ev.join(importance_table(spark, d), "id", "left").withColumn("is_flagged", (F.col("importance").isNotNull() & (F.col("id") % 10 == 0)).cast("int")).drop("id")
+
+
+D_WV = f"""{D_IMP},
+wv0 AS (SELECT event_type AS variant, event_id AS filename, round(value - 20, 9) AS score, CASE WHEN importance IS NOT NULL AND user_id % 10 = 0 THEN 1 ELSE 0 END AS is_flagged, importance AS imp0 FROM events LEFT JOIN imp ON imp.id = user_id),
+wv AS (SELECT *, CASE WHEN is_flagged = 1 THEN imp0 END AS w, row_number() OVER (PARTITION BY variant ORDER BY score DESC, filename) AS rn, count(*) OVER (PARTITION BY variant) AS n FROM wv0)"""
+
+
+@query(
+    f"""WITH {D_WV},
+sz AS (SELECT variant, count(*) AS n, sum(CASE WHEN score > 0 THEN 1 ELSE 0 END) AS np, sum(is_flagged) AS fl, sum(CASE WHEN score > 0 THEN is_flagged ELSE 0 END) AS hits FROM wv GROUP BY variant HAVING sum(is_flagged) > 0),
+cu AS (SELECT variant, pct, sum(CASE WHEN rn <= floor(n * pct / 100.0) THEN is_flagged ELSE 0 END) * CAST(1 AS DOUBLE) / sum(is_flagged) AS r, avg(CASE WHEN rn <= floor(n * pct / 100.0) THEN w END) AS m FROM wv, range(5, 101, 5) AS g(pct) GROUP BY variant, pct),
+ar AS (SELECT variant, (r + lag(r) OVER o) / 40 AS a, (m + lag(m) OVER o) / 40 AS b, m FROM cu WINDOW o AS (PARTITION BY variant ORDER BY pct)),
+au AS (SELECT variant, sum(a) AS auc_recall, CASE WHEN count(m) = count(*) THEN sum(b) END AS auc_importance FROM ar GROUP BY variant),
+ab AS (SELECT wv.*, np, (rn - 1) * CAST(100 AS DOUBLE) / np AS p FROM wv JOIN sz USING (variant) WHERE score > 0),
+tp AS (SELECT variant, avg(CASE WHEN rn <= floor(np * 20 / 100.0) THEN w END) AS mt FROM ab GROUP BY variant),
+im AS (SELECT variant, p, row_number() OVER (PARTITION BY variant ORDER BY w DESC, filename) AS k, count(*) OVER (PARTITION BY variant) AS c FROM ab WHERE w IS NOT NULL),
+en AS (SELECT variant, min(CASE WHEN k <= greatest(1, floor(c / 10.0)) THEN p END) AS l1, max(CASE WHEN k <= greatest(1, floor(c / 10.0)) THEN p END) AS u1, min(CASE WHEN k <= greatest(1, floor(c / 5.0)) THEN p END) AS l2, max(CASE WHEN k <= greatest(1, floor(c / 5.0)) THEN p END) AS u2 FROM im GROUP BY variant)
+SELECT variant, round(auc_recall, 6) AS auc_recall, round(auc_importance, 2) AS auc_importance, round(mt, 2) AS mean_importance_top, round(hits * CAST(1 AS DOUBLE) / fl, 6) AS recall, round(np * CAST(1 AS DOUBLE) / sz.n, 6) AS anomaly_rate,
+  round(l1, 6) AS top10_lower, round(u1, 6) AS top10_upper, round(l2, 6) AS top20_lower, round(u2, 6) AS top20_upper FROM sz JOIN au USING (variant) LEFT JOIN tp USING (variant) LEFT JOIN en USING (variant)"""
+)
+def auc_report(spark, d):
+    report, _ = relational.auc_report(weighed_variants(spark, d))
+    money = [F.round(c, 2).alias(c) for c in ("auc_importance", "mean_importance_top")]
+    return report.select("variant", *r6("auc_recall"), *money, *r6("recall", "anomaly_rate", "top10_lower", "top10_upper", "top20_lower", "top20_upper"))
+
+
+@query(
+    f"""WITH {D_WV}, qs AS (SELECT variant, unnest(quantile_cont(score, list_transform(range(101), lambda i: i / 100.0))) AS threshold, unnest(range(101)) AS i FROM wv GROUP BY variant),
+rc AS (SELECT variant, i, sum(CASE WHEN score >= threshold THEN is_flagged ELSE 0 END) * CAST(1 AS DOUBLE) / sum(is_flagged) AS r FROM wv JOIN qs USING (variant) GROUP BY variant, i)
+SELECT variant, round(avg(r), 4) AS mean_recall FROM rc GROUP BY variant"""
+)
+def recall_report(spark, d):
+    return relational.recall_report(weighed_variants(spark, d)).select("variant", F.round("mean_recall", 4).alias("mean_recall"))
+
+
+@query(f"WITH {D_GV} SELECT label, count(*) AS n FROM gv WHERE label <> 'zz' GROUP BY label")
+def label_counts(spark, d):
+    return relational.value_counts(grouped_vectors(spark, d).withColumn("label", F.when(F.col("label") != "zz", F.col("label"))), "label")
+
+
+@query("SELECT c_custkey AS filename, c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000) AS is_there FROM customer")
+def existing_marked(spark, d):
+    there = table(spark, d, "orders").filter("o_totalprice > 400000").select(F.col("o_custkey").alias("filename"))
+    return relational.marked_existing(relational.require(table(spark, d, "customer").select(F.col("c_custkey").alias("filename")), "filename"), there)
+
+
+@query(f"WITH {D_USER}, m AS (SELECT key, median(flux) AS c FROM ser GROUP BY key) SELECT key, round(t, 6) AS t, round(flux / c, 6) AS flux FROM ser JOIN m USING (key)")
+def median_normalised(spark, d):
+    return series.median_normalise(events_series(spark, d, "user_id"), "key").select("key", *r6("t", "flux"))
+
+
 @query(
     """WITH b AS (SELECT doc_id, toxic AS pos FROM labels), q AS (SELECT least(CAST(round_even(avg(pos) * 100, 0) AS BIGINT), CAST(sum(pos) AS BIGINT)) AS q FROM b),
 r AS (SELECT doc_id, pos, q, row_number() OVER (PARTITION BY pos ORDER BY md5(doc_id || '-42-0'), doc_id) AS rn FROM b, q)

@@ -88,6 +88,39 @@ def read_csv(spark: SparkSession, path: str, comment: str | None = None) -> Data
     return raw.toDF(*names)
 
 
+def read_array_folder(spark: SparkSession, folder: str, time: str) -> DataFrame:
+    """(filename, t, flux): a row a point of every .npy of the folder whose name lacks "time", at the times of the file ``time``.
+
+    The times, one array, go along with each file; files are read by tasks. An array of another length is an error.
+    """
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("filename"), "content")
+    clock = found.filter(F.col("filename") == time).select(F.col("content").alias("clock"))
+    if clock.isEmpty():
+        raise FileNotFoundError(f"{folder}/{time}")
+
+    def parse(batches):
+        for pdf in batches:
+            for name, data, ticks in zip(pdf["filename"], pdf["content"], pdf["clock"]):
+                t, y = (np.load(io.BytesIO(bytes(b)), allow_pickle=False).astype(float).ravel() for b in (ticks, data))
+                if len(t) != len(y):
+                    raise ValueError(f"{name}: {len(y)} values at {len(t)} times")
+                yield pd.DataFrame({"filename": name, "t": t, "flux": y})
+
+    return found.filter(~F.col("filename").contains("time")).join(F.broadcast(clock)).mapInPandas(parse, "filename string, t double, flux double")  # a single array
+
+
+def pick_random(spark: SparkSession, folder: str, pattern: str = "*.fits", seed: int = 42) -> str | None:
+    """The path of one file at any depth, or None; the same seed picks the same file."""
+    paths = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder).select("path")
+    row = paths.orderBy(F.xxhash64("path", F.lit(seed)), "path").first()
+    return row["path"] if row else None
+
+
+def with_folder(df: DataFrame) -> DataFrame:
+    """Rows read from files, with input_dir: the name of the folder that each row's file lies in."""
+    return df.select(F.element_at(F.split("_metadata.file_path", "/"), -2).alias("input_dir"), *df.columns)
+
+
 def read_arrays(spark: SparkSession, matrix: str, names: str) -> DataFrame:
     """(filename, vec) from a .npy matrix and a text file with one name a line; their lengths must agree."""
     x = np.load(io.BytesIO(bytes(spark.read.format("binaryFile").load(matrix).first()["content"])), allow_pickle=False)
@@ -102,6 +135,20 @@ def write_csv(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").csv(path, header=True)
 
 
+def write_cluster_report(labels: DataFrame, folder: str, algorithm: str, told: dict, run: str, key: str = "filename") -> None:
+    """Labels (key, label) as CSV (filename, cluster_label), and a text of the model's numbers and the clusters' sizes.
+
+    told: name -> number, three decimals, those that are None or NaN left out. run names both folders.
+    """
+    labels.select(F.col(key).alias("filename"), F.col("label").alias("cluster_label")).write.csv(f"{folder}/{algorithm}_results_{run}", header=True)
+    head = [f"Clustering Algorithm: {algorithm}", *[f"{name}: {x:.3f}" if isinstance(x, float) else f"{name}: {x}" for name, x in told.items() if x is not None and x == x], "Cluster Sizes:"]
+    lines = labels.sparkSession.createDataFrame([(i - len(head), line) for i, line in enumerate(head)], "at long, value string")
+    title = F.when(F.col("label") == -1, F.lit("  Noise (label -1)")).otherwise(F.concat(F.lit("  Cluster "), F.col("label")))
+    sizes = labels.groupBy("label").agg(F.count("*").alias("n")).select(F.col("label").cast("long").alias("at"), F.concat(title, F.lit(": "), "n", F.lit(" curves")).alias("value"))
+    sizes = sizes.withColumn("at", F.col("at") + 1)  # noise comes first, after the head
+    lines.unionByName(sizes).repartition(1).sortWithinPartitions("at").select("value").write.text(f"{folder}/{algorithm}_metadata_{run}")  # a line a cluster
+
+
 def write_vectors(df: DataFrame, path: str, key: str = "filename", vec: str = "vec") -> None:
     """(key, vec) as Parquet, the form that read_vectors and every operator take."""
     df.select(F.col(key).alias("filename"), F.col(vec).cast("array<double>").alias("vec")).write.mode("overwrite").parquet(path)
