@@ -33,7 +33,7 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", ["wrss_fusion", "sql_front_like", "phase_fold_bins", "periodogram_peak", "shape_features", "dbscan_labels", "topk_recall_curve", "cosine_match_threshold", "variant_report"])
+@pytest.mark.parametrize("name", ["wrss_fusion", "sql_front_like", "phase_fold_bins", "periodogram_peak", "shape_features", "dbscan_labels", "topk_recall_curve", "cosine_match_threshold", "variant_report", "auc_report", "recall_report", "existing_marked", "label_counts"])
 def test_query(spark, duck, name):
     pd.testing.assert_frame_equal(plain(catalogue.QUERIES[name](spark, SF).toPandas()), plain(duck.sql(catalogue.ORACLES[name]).df()), check_dtype=False)
 
