@@ -37,7 +37,7 @@ def normalised(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def beam(neighbours: np.ndarray, row: np.ndarray | None, x: np.ndarray, q: np.ndarray, entry: np.ndarray, ef: int, step: int = 4):
+def beam(neighbours: np.ndarray, row: np.ndarray | None, x: np.ndarray, q: np.ndarray, entry: np.ndarray, ef: int, step: int = 8):
     """(nodes, similarities) [query, ef], best first, -1 for none: best-first search from ``entry`` [query] in one layer.
 
     neighbours: [row, degree], -1 for none; row: each node's row in it (None: its own number).
@@ -51,6 +51,7 @@ def beam(neighbours: np.ndarray, row: np.ndarray | None, x: np.ndarray, q: np.nd
     done[:, 0] = False
     seen = np.zeros((n, len(x)), dtype=bool)
     seen[np.arange(n), entry] = True
+    flat, worst = seen.reshape(-1), sims.min(axis=1)
     live = np.arange(n)
     step = min(step, ef)
     while len(live):
@@ -63,29 +64,33 @@ def beam(neighbours: np.ndarray, row: np.ndarray | None, x: np.ndarray, q: np.nd
             break
         done[live[:, None], pick] = True
         nodes = np.where(good, ids[live[:, None], pick], 0)
-        near = neighbours[nodes if row is None else row[nodes]]
+        near = neighbours.take(nodes if row is None else row[nodes], axis=0)
         near = np.where(good[:, :, None], near, -1).reshape(len(live), -1)
-        at = np.maximum(near, 0)
-        new = (near >= 0) & ~seen[live[:, None], at]
-        seen[live[:, None], at] |= near >= 0
-        # a node may be the neighbour of two of the expanded ones: the first counts
-        order = np.argsort(np.where(new, near, -1), axis=1, kind="stable")
-        ranked = np.take_along_axis(np.where(new, near, -1), order, axis=1)
-        first = np.ones_like(ranked, dtype=bool)
-        first[:, 1:] = ranked[:, 1:] != ranked[:, :-1]
-        ranked = np.where(first, ranked, -1)
-        width = int((ranked >= 0).sum(axis=1).max()) if ranked.size else 0
-        if not width:
+        at = live[:, None] * len(x) + near
+        # a node may be the neighbour of several of the expanded ones: it counts once, and never again
+        at = np.sort(at[(near >= 0) & ~flat.take(at, mode="clip")])
+        if not len(at):
             continue
-        ranked = np.take_along_axis(ranked, np.argsort(ranked < 0, axis=1, kind="stable")[:, :width], axis=1)
-        value = np.matmul(x[np.maximum(ranked, 0)], q[live][:, :, None])[:, :, 0]
-        value = np.where(ranked >= 0, value, -np.inf).astype(np.float32)
-        all_sims = np.concatenate([sims[live], value], axis=1)
-        best = np.argpartition(-all_sims, ef - 1, axis=1)[:, :ef]
-        ids[live] = np.take_along_axis(np.concatenate([ids[live], ranked], axis=1), best, axis=1)
-        done[live] = np.take_along_axis(np.concatenate([done[live], np.zeros_like(ranked, dtype=bool)], axis=1), best, axis=1)
-        sims[live] = np.take_along_axis(all_sims, best, axis=1)
-        done[live] |= np.isneginf(sims[live])
+        at = at[np.append(True, at[1:] != at[:-1])]
+        flat[at] = True
+        who, node = np.divmod(at, len(x))
+        value = np.einsum("ij,ij->i", x.take(node, axis=0), q.take(who, axis=0))
+        better = value > worst[who]
+        who, node, value = who[better], node[better], value[better]
+        if not len(who):
+            continue
+        begin = np.flatnonzero(np.append(True, who[1:] != who[:-1]))
+        rows, count = who[begin], np.diff(np.append(begin, len(who)))
+        place = np.repeat(np.arange(len(rows)), count), ef + np.arange(len(who)) - np.repeat(begin, count)
+        wide = ef + int(count.max())
+        all_sims, all_ids, all_done = np.full((len(rows), wide), -np.inf, dtype=np.float32), np.full((len(rows), wide), -1, dtype=np.int32), np.zeros((len(rows), wide), dtype=bool)
+        all_sims[:, :ef], all_ids[:, :ef], all_done[:, :ef] = sims[rows], ids[rows], done[rows]
+        all_sims[place], all_ids[place] = value, node
+        best = np.argpartition(-all_sims, ef - 1, axis=1)[:, :ef] if wide > ef else np.arange(ef)[None]
+        line = np.arange(len(rows))[:, None]
+        sims[rows], ids[rows], done[rows] = all_sims[line, best], all_ids[line, best], all_done[line, best]
+        worst[rows] = sims[rows].min(axis=1)
+        done[rows] |= np.isneginf(sims[rows])
     order = np.argsort(-sims, axis=1, kind="stable")
     return np.take_along_axis(ids, order, axis=1), np.take_along_axis(sims, order, axis=1)
 
