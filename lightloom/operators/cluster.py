@@ -23,17 +23,15 @@ def scale(df: DataFrame, columns: list[str], method: str = "standard") -> DataFr
         return df
     if method not in ("standard", "minmax", "robust"):
         raise ValueError(f"unknown scaling: {method}")
-    aggs = []
-    for c in columns:
-        aggs += {
-            "standard": [F.avg(c).alias(f"_{c}_a"), F.stddev_pop(c).alias(f"_{c}_b")],
-            "minmax": [F.min(c).alias(f"_{c}_a"), (F.max(c) - F.min(c)).alias(f"_{c}_b")],
-            "robust": [F.median(c).alias(f"_{c}_a"), (F.percentile(c, F.lit(0.75)) - F.percentile(c, F.lit(0.25))).alias(f"_{c}_b")],
-        }[method]
-    out = df.join(F.broadcast(df.agg(*aggs)))
-    for c in columns:
-        out = out.withColumn(c, (F.col(c) - F.col(f"_{c}_a")) / F.when(F.col(f"_{c}_b") > 0, F.col(f"_{c}_b")).otherwise(F.lit(1.0))).drop(f"_{c}_a", f"_{c}_b")
-    return out
+    # one string a column: wide tables would take seconds to build column by column
+    center, spread = {
+        "standard": ("avg({0})", "stddev_pop({0})"),
+        "minmax": ("min({0})", "max({0}) - min({0})"),
+        "robust": ("median({0})", "percentile({0}, 0.75) - percentile({0}, 0.25)"),
+    }[method]
+    told = df.selectExpr(*[f"{x.format(f'`{c}`')} as `_{c}_{n}`" for c in columns for n, x in (("a", center), ("b", spread))])
+    scaled = [f"(`{c}` - `_{c}_a`) / if(`_{c}_b` > 0, `_{c}_b`, 1D) as `{c}`" if c in columns else f"`{c}`" for c in df.columns]
+    return df.join(F.broadcast(told)).selectExpr(*scaled)  # one row
 
 
 def distance(a, b):
@@ -113,7 +111,7 @@ def silhouette(labelled: DataFrame, key: str = "id", vec: str = "vec") -> DataFr
     """(silhouette): the mean over all points, by exact distances in pairs of blocks; points of one-point clusters count 0."""
     first = labelled.filter(F.col(vec).isNotNull()).select(F.size(vec)).first()
     names = [f"_x{i}" for i in range(first[0] if first else 1)]
-    wide = labelled.select(key, "label", *[F.get(vec, F.lit(i)).alias(n) for i, n in enumerate(names)])
+    wide = labelled.selectExpr(f"`{key}`", "label", *[f"get(`{vec}`, {i}) as {n}" for i, n in enumerate(names)])
     return silhouettes(wide, names, F.col("label"), key, least=len(names)).agg(F.max("silhouette").alias("silhouette"))
 
 

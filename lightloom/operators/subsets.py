@@ -28,7 +28,7 @@ def silhouettes(rows: DataFrame, columns: list[str], label: Column, key: str = "
     chosen = subsets_of(columns, least)
     if not chosen or len(chosen) > MOST_SUBSETS:
         raise ValueError(f"{len(chosen)} subsets of {len(columns)} columns")
-    base = rows.select(F.col(key).alias("id"), label.cast("string").alias("label"), F.array(*[F.col(c).cast("double") for c in columns]).alias("v")).dropna()
+    base = rows.select(F.col(key).alias("id"), label.cast("string").alias("label"), F.expr(f"array({', '.join(f'cast(`{c}` as double)' for c in columns)})").alias("v")).dropna()
     base = base.filter(~F.exists("v", lambda x: x.isNull() | F.isnan(x)))
     n = base.count()
     count = -(-n // block) or 1

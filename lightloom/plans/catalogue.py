@@ -353,10 +353,19 @@ def object_features(spark, d):
     return kernels.object_features(events_series(spark, d, "user_id"), "key")
 
 
-@query()
+D_VEC = f"""{D_SER}, {D_FOLD}, st AS (SELECT key, avg(mean) AS c, stddev_pop(mean) AS s FROM bins GROUP BY key HAVING count(*) = count(mean)),
+x AS (SELECT key, bin, (mean - c) / s AS x FROM bins JOIN st USING (key))"""
+
+
+@query(
+    f"""WITH {D_VEC}, g AS (SELECT k, exp(-k * k / CAST(18 AS DOUBLE)) / (SELECT sum(exp(-j * j / CAST(18 AS DOUBLE))) FROM range(-12, 13) AS r(j)) AS w FROM range(-12, 13) AS r(k)),
+sm AS (SELECT a.key, a.bin, sum(w * b.x) AS s FROM x a, g JOIN x b ON b.key = a.key AND b.bin = CASE WHEN a.bin + k < 1 THEN 1 - (a.bin + k) WHEN a.bin + k > 40 THEN 81 - (a.bin + k) ELSE a.bin + k END GROUP BY a.key, a.bin),
+lo AS (SELECT key, arg_min(bin, s) AS bin FROM sm GROUP BY key)
+SELECT lo.key, round(CASE WHEN lo.bin > 3 AND lo.bin < 38 THEN (SELECT sum(CASE WHEN sm.bin = lo.bin THEN -2 * s ELSE s END) FROM sm WHERE sm.key = lo.key AND abs(sm.bin - lo.bin) <= 1) ELSE 0 END, 6) AS sharpness FROM lo"""
+)
 def sharpness(spark, d):
     v = series.bin_vector(series.bins(folded(spark, d), "key", 40), "key")
-    return kernels.sharpness_of(v, "key")
+    return kernels.sharpness_of(v.filter("is_valid"), "key").select("key", *r6("sharpness"))
 
 
 @query(f"WITH {D_USER}, {D_GRID}, {D_POWER} SELECT key, CAST(4000 AS INTEGER) AS size, round(max(power), 6) AS peak FROM power GROUP BY key")
@@ -364,9 +373,15 @@ def flux_power_stack(spark, d):
     return match.flux_power_stack(events_series(spark, d, "user_id"), "key").select("key", F.size("vec").alias("size"), F.round(F.array_max(F.slice("vec", 3001, 1000)), 6).alias("peak"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {D_VEC}, l AS (SELECT key, list(x ORDER BY bin) AS v FROM x GROUP BY key),
+rows AS (SELECT a.key AS a, b.key AS b, a.v AS v, b.v AS w, 0 AS i, list_transform(range(1, 41), lambda j: CAST('inf' AS DOUBLE)) AS d FROM l a JOIN l b ON a.key < b.key
+UNION ALL SELECT a, b, v, w, i + 1, list_slice(list_reduce(range(1, 41), lambda acc, j: list_append(acc, pow(v[i + 1] - w[j], 2) + CASE WHEN i = 0 AND j = 1 THEN 0 ELSE least(d[j], CASE WHEN j > 1 THEN d[j - 1] ELSE CAST('inf' AS DOUBLE) END, acc[len(acc)]) END), [CAST('inf' AS DOUBLE)]), 2, 41) FROM rows WHERE i < 40)
+SELECT a, b, round(sqrt(d[40]), 6) AS dist FROM rows WHERE i = 40"""
+)
 def dtw_pairs(spark, d):
-    return kernels.dtw_pairs(series.bin_vector(series.bins(folded(spark, d), "key", 40), "key").filter("is_valid"), "key")
+    out = kernels.dtw_pairs(series.bin_vector(series.bins(folded(spark, d), "key", 40), "key").filter("is_valid"), "key")
+    return out.select("a", "b", *r6("dist"))
 
 
 @query(
@@ -434,40 +449,53 @@ def cosine_match_threshold(spark, d):
     return match.thresholded(top1(spark, d), 0.4).select("filename", "matched_label", "label_group")
 
 
+WIDE = [f"x{i}" for i in range(64)]
+WIDE_6 = [f"round({c}, 6) as {c}" for c in WIDE]
+
+
 def dims(spark, d):
-    return vectors(spark, d).select(F.col("filename").alias("id"), *[F.element_at("vec", i + 1).alias(f"x{i}") for i in range(3)], F.col("k").alias("label"))
+    each = [f"cast(element_at(embedding, {i + 1}) as double) as {c}" for i, c in enumerate(WIDE)]
+    return table(spark, d, "embeddings").selectExpr("vec_id as id", *each, "label")
 
 
-D_DIMS = "dims AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x0, CAST(embedding[2] AS DOUBLE) AS x1, CAST(embedding[3] AS DOUBLE) AS x2, label FROM embeddings)"
+D_DIMS = f"dims AS (SELECT vec_id AS id, {', '.join(f'CAST(embedding[{i + 1}] AS DOUBLE) AS {c}' for i, c in enumerate(WIDE))}, label FROM embeddings)"
 
 
 def _scaled(a: str, b: str) -> str:
-    one = ", ".join(f"round(({c} - (SELECT {a.format(c)} FROM dims)) / (SELECT {b.format(c)} FROM dims), 6) AS {c}" for c in ("x0", "x1", "x2"))
-    return f"WITH {D_DIMS} SELECT id, {one} FROM dims"
+    stats = ", ".join(f"{a.format(c)} AS a_{c}, {b.format(c)} AS b_{c}" for c in WIDE)
+    return f"WITH {D_DIMS}, st AS (SELECT {stats} FROM dims) SELECT id, {', '.join(f'round(({c} - a_{c}) / b_{c}, 6) AS {c}' for c in WIDE)} FROM dims, st"
 
 
 @query(_scaled("avg({})", "stddev_pop({})"))
 def scale_standard(spark, d):
-    return cluster.scale(dims(spark, d), ["x0", "x1", "x2"], "standard").select("id", *r6("x0", "x1", "x2"))
+    return cluster.scale(dims(spark, d), WIDE, "standard").selectExpr("id", *WIDE_6)
 
 
-@query(_scaled("min({})", "max({0}) - min({0})"))
+@query(_scaled("min({})", "(max({0}) - min({0}))"))
 def scale_minmax(spark, d):
-    return cluster.scale(dims(spark, d), ["x0", "x1", "x2"], "minmax").select("id", *r6("x0", "x1", "x2"))
+    return cluster.scale(dims(spark, d), WIDE, "minmax").selectExpr("id", *WIDE_6)
 
 
-@query(_scaled("median({})", "quantile_cont({0}, 0.75) - quantile_cont({0}, 0.25)"))
+@query(_scaled("median({})", "(quantile_cont({0}, 0.75) - quantile_cont({0}, 0.25))"))
 def scale_robust(spark, d):
-    return cluster.scale(dims(spark, d), ["x0", "x1", "x2"], "robust").select("id", *r6("x0", "x1", "x2"))
+    return cluster.scale(dims(spark, d), WIDE, "robust").selectExpr("id", *WIDE_6)
+
+
+def all_points(spark, d):
+    """(id, vec, label): vectors with every component scaled."""
+    return cut(cluster.scale(dims(spark, d), WIDE, "standard").select("id", F.array(*WIDE).alias("vec"), "label"))
 
 
 def points(spark, d):
+    """The first three components: all 64 of these vectors lie about equally far apart, which leaves no dense regions."""
     out = cluster.scale(dims(spark, d), ["x0", "x1", "x2"], "standard")
     return out.select("id", F.array("x0", "x1", "x2").alias("vec"), "label")
 
 
 D_PTS = f"""{D_DIMS}, st AS (SELECT avg(x0) AS a0, stddev_pop(x0) AS s0, avg(x1) AS a1, stddev_pop(x1) AS s1, avg(x2) AS a2, stddev_pop(x2) AS s2 FROM dims),
 pts AS (SELECT id, (x0 - a0) / s0 AS x, (x1 - a1) / s1 AS y, (x2 - a2) / s2 AS z, label FROM dims, st)"""
+D_ALL = f"""{D_DIMS}, st AS (SELECT {', '.join(f'avg({c}) AS a_{c}, stddev_pop({c}) AS b_{c}' for c in WIDE)} FROM dims),
+pts AS (SELECT id, [{', '.join(f'({c} - a_{c}) / b_{c}' for c in WIDE)}] AS v, label FROM dims, st)"""
 D_DBSCAN = f"""{D_PTS},
 near AS (SELECT a.id AS a, b.id AS b FROM pts a, pts b WHERE sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)) <= 0.5),
 core AS (SELECT a AS id FROM near GROUP BY a HAVING count(*) >= 5),
@@ -491,7 +519,7 @@ def cluster_sizes(spark, d):
 
 @query()
 def kmeans_sizes(spark, d):
-    labels, _ = cluster.kmeans(points(spark, d), 3)
+    labels, _ = cluster.kmeans(all_points(spark, d), 3)
     return labels.groupBy("label").agg(F.count("*").alias("n"))
 
 
@@ -508,34 +536,36 @@ def pca_project(spark, d):
 
 
 @query(
-    f"""WITH {D_PTS}, pr AS (SELECT a.id, a.label AS la, b.label AS lb, sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)) AS dist FROM pts a, pts b),
+    f"""WITH {D_ALL}, pr AS (SELECT a.id, a.label AS la, b.label AS lb, list_distance(a.v, b.v) AS dist FROM pts a, pts b),
 g AS (SELECT id, la, lb, sum(dist) AS s, count(*) AS n FROM pr GROUP BY id, la, lb),
 ab AS (SELECT id, max(CASE WHEN la = lb AND n > 1 THEN s / (n - 1) END) AS a, min(CASE WHEN la <> lb THEN s / n END) AS b FROM g GROUP BY id)
 SELECT round(avg(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM ab"""
 )
 def silhouette(spark, d):
-    return cluster.silhouette(points(spark, d)).select(*r6("silhouette"))
+    return cluster.silhouette(all_points(spark, d)).select(*r6("silhouette"))
 
 
-D_CENT = "c AS (SELECT label, count(*) AS n, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM pts GROUP BY label), al AS (SELECT avg(x) AS ax, avg(y) AS ay, avg(z) AS az, count(*) AS total FROM pts)"
+D_CENT = """parts AS (SELECT label, unnest(range(1, 65)) AS j, unnest(v) AS x FROM pts),
+c AS (SELECT label, list(m ORDER BY j) AS c, max(n) AS n FROM (SELECT label, j, avg(x) AS m, count(*) AS n FROM parts GROUP BY label, j) GROUP BY label),
+al AS (SELECT list(m ORDER BY j) AS a, max(n) AS total FROM (SELECT j, avg(x) AS m, count(*) AS n FROM parts GROUP BY j))"""
 
 
 @query(
-    f"""WITH {D_PTS}, {D_CENT}, b AS (SELECT sum(n * ((cx-ax)*(cx-ax) + (cy-ay)*(cy-ay) + (cz-az)*(cz-az))) AS between_, count(*) AS k, max(total) AS total FROM c, al),
-w AS (SELECT sum((x-cx)*(x-cx) + (y-cy)*(y-cy) + (z-cz)*(z-cz)) AS within_ FROM pts JOIN c USING (label))
+    f"""WITH {D_ALL}, {D_CENT}, b AS (SELECT sum(n * pow(list_distance(c, a), 2)) AS between_, count(*) AS k, max(total) AS total FROM c, al),
+w AS (SELECT sum(pow(list_distance(v, c), 2)) AS within_ FROM pts JOIN c USING (label))
 SELECT round((between_ / (k - 1)) / (within_ / (total - k)), 6) AS calinski_harabasz FROM b, w"""
 )
 def calinski_harabasz(spark, d):
-    return cluster.calinski_harabasz(points(spark, d)).select(*r6("calinski_harabasz"))
+    return cluster.calinski_harabasz(all_points(spark, d)).select(*r6("calinski_harabasz"))
 
 
 @query(
-    f"""WITH {D_PTS}, {D_CENT}, s AS (SELECT label, cx, cy, cz, avg(sqrt((x-cx)*(x-cx) + (y-cy)*(y-cy) + (z-cz)*(z-cz))) AS s FROM pts JOIN c USING (label) GROUP BY label, cx, cy, cz),
-r AS (SELECT a.label, max((a.s + b.s) / sqrt((a.cx-b.cx)*(a.cx-b.cx) + (a.cy-b.cy)*(a.cy-b.cy) + (a.cz-b.cz)*(a.cz-b.cz))) AS r FROM s a JOIN s b ON a.label <> b.label GROUP BY a.label)
+    f"""WITH {D_ALL}, {D_CENT}, s AS (SELECT label, c, avg(list_distance(v, c)) AS s FROM pts JOIN c USING (label) GROUP BY label, c),
+r AS (SELECT a.label, max((a.s + b.s) / list_distance(a.c, b.c)) AS r FROM s a JOIN s b ON a.label <> b.label GROUP BY a.label)
 SELECT round(avg(r), 6) AS davies_bouldin FROM r"""
 )
 def davies_bouldin(spark, d):
-    return cluster.davies_bouldin(points(spark, d)).select(*r6("davies_bouldin"))
+    return cluster.davies_bouldin(all_points(spark, d)).select(*r6("davies_bouldin"))
 
 
 def evaluated(spark, d):
@@ -713,8 +743,9 @@ def tic_from_script(spark, d):
 
 def _mixture_query(shape: str, prior: str | None):
     def run(spark, d):
-        model = mixture.fit(points(spark, d), 3, shape, prior)
-        sizes = model.assign(points(spark, d)).groupBy("label").agg(F.count("*").alias("n"))
+        rows = points(spark, d)
+        model = mixture.fit(rows, 3, shape, prior)
+        sizes = model.assign(rows).groupBy("label").agg(F.count("*").alias("n"))
         return sizes if prior else sizes.withColumn("aic", F.lit(round(model.aic, 3))).withColumn("bic", F.lit(round(model.bic, 3)))
 
     return run

@@ -78,7 +78,11 @@ def read_scores(spark: SparkSession, path: str) -> DataFrame:
 def read_csv(spark: SparkSession, path: str, comment: str | None = None) -> DataFrame:
     """Any CSV with a header; repeated names get .1, .2 and so on."""
     raw = spark.read.csv(path, header=True, inferSchema=True, **({"comment": comment} if comment else {}))
-    head = next(line for line in spark.read.text(path).limit(1000).toPandas()["value"] if not (comment and line.startswith(comment)))
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    first = lines.filter(~F.startswith("value", F.lit(comment))).first() if comment else lines.first()
+    if first is None:
+        raise ValueError(f"no header in {path}")
+    head = first["value"]
     seen: dict[str, int] = {}
     names = []
     for name in next(iter(pd.read_csv(io.StringIO(head), header=None, dtype=str).values)).tolist():
@@ -122,12 +126,32 @@ def with_folder(df: DataFrame) -> DataFrame:
 
 
 def read_arrays(spark: SparkSession, matrix: str, names: str) -> DataFrame:
-    """(filename, vec) from a .npy matrix and a text file with one name a line; their lengths must agree."""
-    x = np.load(io.BytesIO(bytes(spark.read.format("binaryFile").load(matrix).first()["content"])), allow_pickle=False)
-    keys = [r["value"] for r in spark.read.text(names).collect()]
-    if len(keys) != len(x):
-        raise ValueError(f"{len(x)} rows and {len(keys)} names")
-    return spark.createDataFrame(pd.DataFrame({"filename": keys, "vec": [v.astype(float).tolist() for v in x]}), "filename string, vec array<double>")
+    """(filename, vec) from a .npy matrix and a text file with one name a line; their lengths must agree.
+
+    Both are read by tasks, and rows meet their names by position. A file is held by one task, so it must be under 2 GB.
+    """
+
+    def rows(batches):
+        for pdf in batches:
+            for data in pdf["content"]:
+                x = np.load(io.BytesIO(bytes(data)), allow_pickle=False)
+                for at in range(0, len(x), 1024):
+                    part = x[at : at + 1024].astype(float)
+                    yield pd.DataFrame({"at": np.arange(at, at + len(part)), "vec": list(part.reshape(len(part), -1))})
+
+    def lines(batches):
+        for pdf in batches:
+            for data in pdf["content"]:
+                found = bytes(data).decode().splitlines()
+                yield pd.DataFrame({"at": np.arange(len(found)), "filename": found})
+
+    file = spark.read.format("binaryFile")
+    vectors = file.load(matrix).select("content").mapInPandas(rows, "at long, vec array<double>")
+    keys = file.load(names).select("content").mapInPandas(lines, "at long, filename string")
+    n, m = vectors.count(), keys.count()
+    if n != m:
+        raise ValueError(f"{n} rows and {m} names")
+    return keys.join(vectors, "at").select("filename", "vec")
 
 
 def write_csv(df: DataFrame, path: str, append: bool = False) -> None:

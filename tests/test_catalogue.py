@@ -33,20 +33,29 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", ["wrss_fusion", "sql_front_like", "phase_fold_bins", "periodogram_peak", "shape_features", "dbscan_labels", "topk_recall_curve", "cosine_match_threshold", "variant_report", "auc_report", "recall_report", "existing_marked", "label_counts"])
+@pytest.mark.parametrize("name", ["wrss_fusion", "sql_front_like", "phase_fold_bins", "periodogram_peak", "shape_features", "dbscan_labels", "topk_recall_curve", "cosine_match_threshold", "variant_report", "auc_report", "recall_report", "sharpness", "dtw_pairs", "scale_robust", "silhouette", "davies_bouldin", "existing_marked", "label_counts"])
 def test_query(spark, duck, name):
     pd.testing.assert_frame_equal(plain(catalogue.QUERIES[name](spark, SF).toPandas()), plain(duck.sql(catalogue.ORACLES[name]).df()), check_dtype=False)
 
 
 def test_kernels():
-    t = np.sort(np.random.default_rng(1).uniform(0, 27, 300))
+    rng = np.random.default_rng(1)
+    t = np.sort(rng.uniform(0, 27, 300))
     f = np.linspace(0.05, 1, 400)
     power = match.gls(t, np.sin(2 * np.pi * t / 3.7), f)
     assert abs(1 / f[np.nanargmax(power)] - 3.7) < 0.05 and np.nanmax(power) > 0.95
     y = np.where((t % 4) < 0.25, 0.99, 1.0)
     assert abs(kernels.bls(t, y, np.linspace(3, 5, 400), 0.2)[0] - 4) < 0.1
-    a, b = np.array([0.0, 1, 2]), np.array([0.0, 0, 1, 2])
+    a, b = np.array([[0.0, 1, 2]]), np.array([[0.0, 0, 1, 2]])
     assert kernels.dtw(a, b) == 0 == kernels.dtw(b, a) and kernels.dtw(a, a + 1) > 0
+    a, b = rng.normal(size=(3, 7)), rng.normal(size=(3, 5))
+    for k in range(3):
+        table = np.full((8, 6), np.inf)
+        table[0, 0] = 0
+        for i in range(7):
+            for j in range(5):
+                table[i + 1, j + 1] = (a[k, i] - b[k, j]) ** 2 + min(table[i, j], table[i, j + 1], table[i + 1, j])
+        assert np.isclose(kernels.dtw(a, b)[k], np.sqrt(table[7, 5]))
     assert kernels.find_peaks(np.array([0, 1, 0, 2, 2, 0.0]), 0.5) == [1, 3]
 
 
@@ -84,3 +93,19 @@ def test_fits(spark, tmp_path):
     (tmp_path / "b.fits").write_bytes(b"no table")
     got = files.light_curves(spark, str(tmp_path)).orderBy("filename", "t").collect()
     assert [(r.t, r.flux) for r in got if r.error is None] == [(1.5, 2.0), (2.5, None)] and len([r for r in got if r.error]) == 1
+
+
+def test_read_arrays_and_csv(spark, tmp_path):
+    x = np.random.default_rng(3).normal(size=(2500, 3))
+    np.save(tmp_path / "x.npy", x)
+    (tmp_path / "names.txt").write_text("\n".join(f"f{i}" for i in range(len(x))) + "\n")
+    got = files.read_arrays(spark, str(tmp_path / "x.npy"), str(tmp_path / "names.txt")).toPandas().set_index("filename")["vec"]
+    assert len(got) == len(x) and all(np.array_equal(got[f"f{i}"], x[i]) for i in (0, 1023, 1024, 2499))
+    (tmp_path / "short.txt").write_text("a\nb\n")
+    with pytest.raises(ValueError):
+        files.read_arrays(spark, str(tmp_path / "x.npy"), str(tmp_path / "short.txt"))
+    (tmp_path / "c.csv").write_text("# note\n" * 1500 + "a,b,a\n1,2,3\n")
+    assert files.read_csv(spark, str(tmp_path / "c.csv"), comment="#").collect()[0].asDict() == {"a": 1, "b": 2, "a.1": 3}
+    (tmp_path / "none.csv").write_text("# note\n")
+    with pytest.raises(ValueError):
+        files.read_csv(spark, str(tmp_path / "none.csv"), comment="#")
