@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from itertools import product
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
@@ -88,17 +90,46 @@ def gaussian_mixture(points: DataFrame, k: int = 3, seed: int = 42, key: str = "
     return model.transform(data).select("id", "vec", F.col("prediction").alias("label")), {"log_likelihood": ll, "aic": 2 * p - 2 * ll, "bic": p * float(np.log(n)) - 2 * ll}
 
 
-def pca(points: DataFrame, k: int, key: str = "id", vec: str = "vec") -> tuple[DataFrame, list[float]]:
-    """Centred scores and variance ratios; the covariance is summed up over tasks, d * d numbers reach the driver."""
-    d = points.filter(F.col(vec).isNotNull()).select(F.size(vec)).first()[0]
+@dataclass
+class Projection:
+    """Principal axes [component, d] about a mean, and the share of the variance that each explains; made to be kept and applied again."""
+
+    mean: np.ndarray
+    axes: np.ndarray
+    ratio: list[float]
+
+    def apply(self, points: DataFrame, vec: str = "vec", out: str = "scores") -> DataFrame:
+        """Adds centred scores; null for vectors that are null or of another length."""
+        mean, axes = self.mean, self.axes
+
+        @F.pandas_udf("array<double>")
+        def run(v: pd.Series) -> pd.Series:
+            return pd.Series([axes @ (np.asarray(x, dtype=float) - mean) if x is not None and len(x) == len(mean) else None for x in v], dtype=object)
+
+        return points.withColumn(out, run(F.col(vec).cast("array<double>")))
+
+
+def fit_projection(points: DataFrame, k: int, vec: str = "vec") -> Projection:
+    """At most k axes, one fewer than there are vectors, and as many as these have components. The covariance is summed up
+    over tasks, d * d numbers reach the driver."""
+    first = points.filter(F.col(vec).isNotNull()).select(F.size(vec)).first()
+    if first is None:
+        raise ValueError("no vectors to project")
+    d = first[0]
     sums = summed(points, vec, lambda x: np.concatenate([[len(x)], x.sum(0), (x.T @ x).ravel()]), 1 + d + d * d)
     n, mean = int(sums[0]), sums[1 : 1 + d] / sums[0]
     cov = sums[1 + d :].reshape(d, d) / n - np.outer(mean, mean)
     value, axes = np.linalg.eigh(cov)
-    order = np.argsort(-value)[:k]
+    order = np.argsort(-value)[: max(1, min(k, n - 1, d))]
     axes = axes[:, order] * np.sign(axes[np.abs(axes[:, order]).argmax(0), order])
-    scores = F.array(*[X.dot(F.transform(F.zip_with(F.col(vec).cast("array<double>"), F.array(*[F.lit(float(m)) for m in mean]), lambda a, b: a - b), lambda x: x), F.array(*[F.lit(float(w)) for w in axis])) for axis in axes.T])
-    return points.select(F.col(key).alias("id"), scores.alias("scores")), (value[order] / value.sum()).tolist()
+    total = value.sum()
+    return Projection(mean, axes.T, (value[order] / total if total > 0 else np.zeros(len(order))).tolist())
+
+
+def pca(points: DataFrame, k: int, key: str = "id", vec: str = "vec") -> tuple[DataFrame, list[float]]:
+    """(id, scores) and variance ratios."""
+    model = fit_projection(points, k, vec)
+    return model.apply(points.select(F.col(key).alias("id"), vec), vec).select("id", "scores"), model.ratio
 
 
 def centroids(labelled: DataFrame, vec: str = "vec") -> DataFrame:

@@ -87,3 +87,17 @@ def flux_power_stack(series: DataFrame, key: str, points: int = 3000, freqs: int
         return pd.Series([one(a, b) for a, b in zip(t, y)])
 
     return packed(series, key).select(key, stack("t", "flux").alias("vec"))
+
+
+def match_series(series: DataFrame, labelled: DataFrame, key: str = "filename", compute=flux_power_stack, model=None, size: int | None = None, threshold: float = 0.6) -> DataFrame:
+    """(key, matched, matched_label, similarity, label_group): series against labelled vectors (key, vec, label).
+
+    compute: (series, key) -> (key, vec), the flux and power stack by default. Its vectors are projected by ``model``
+    (of cluster.fit_projection) or, without one, padded or cut to ``size``, if given. Below the threshold the label is outlier.
+    """
+    objects = compute(series, key)
+    if model is not None:
+        objects = model.apply(objects).select(key, F.col("scores").alias("vec"))
+    elif size:
+        objects = objects.select(key, X.pad_or_cut("vec", size).alias("vec"))
+    return thresholded(cosine_top1(objects, labelled, key), threshold)

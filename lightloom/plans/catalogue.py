@@ -453,6 +453,21 @@ WIDE = [f"x{i}" for i in range(64)]
 WIDE_6 = [f"round({c}, 6) as {c}" for c in WIDE]
 
 
+@query()
+def series_match(spark, d):
+    """Series of users against those of every third user, by principal components of bin means about 3.7 days."""
+
+    def compute(rows, key):
+        binned = series.bins(series.fold(rows, key, rows.select(key).distinct().withColumn("best_period", F.lit(PERIOD))), key, 10)
+        return series.bin_vector(binned, key).filter("is_valid").select(key, "vec")
+
+    rows = events_series(spark, d, "user_id")
+    known = cut(compute(rows.filter("key % 3 = 0"), "key"))
+    model = cluster.fit_projection(known, 5)
+    labelled = model.apply(known).select("key", F.col("scores").alias("vec"), F.element_at(F.array(*[F.lit(v) for v in ("Pl", "EB*", "*")]), (F.col("key") % 9 / 3 + 1).cast("int")).alias("label"))
+    return match.match_series(rows.filter("key % 3 <> 0"), labelled, "key", compute, model).select("key", "matched", "matched_label", "label_group", *r6("similarity"))
+
+
 def dims(spark, d):
     each = [f"cast(element_at(embedding, {i + 1}) as double) as {c}" for i, c in enumerate(WIDE)]
     return table(spark, d, "embeddings").selectExpr("vec_id as id", *each, "label")

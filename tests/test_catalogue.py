@@ -109,3 +109,30 @@ def test_read_arrays_and_csv(spark, tmp_path):
     (tmp_path / "none.csv").write_text("# note\n")
     with pytest.raises(ValueError):
         files.read_csv(spark, str(tmp_path / "none.csv"), comment="#")
+
+
+def test_match_series_by_a_fitted_projection(spark):
+    from pyspark.sql import functions as F
+
+    from lightloom.operators import cluster
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(40, 6)) @ rng.normal(size=(6, 6))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(99, None), (98, [1.0])], "key long, vec array<double>")
+    known, objects = rows.filter("key < 25"), rows.filter("key >= 25")
+    model = cluster.fit_projection(known, 3)
+    center, axes = x[:25].mean(0), np.linalg.svd(x[:25] - x[:25].mean(0))[2][:3]
+    scores = {r.key: r.scores for r in model.apply(rows).collect()}
+    assert scores[99] is None and scores[98] is None
+    assert np.allclose(np.abs([scores[i] for i in range(40)]), np.abs((x - center) @ axes.T))
+    labelled = model.apply(known).select("key", F.col("scores").alias("vec"), F.lit("Pl").alias("label"))
+    got = {r.key: r for r in match.match_series(objects, labelled, "key", lambda s, key: s.filter("vec is not null and size(vec) = 6"), model, threshold=0.9).collect()}
+    want = match.cosines((x[25:] - center) @ axes.T, (x[:25] - center) @ axes.T)
+    assert sorted(got) == list(range(25, 40))
+    for i in range(15):
+        r = got[25 + i]
+        assert r.matched == want[i].argmax() and abs(r.similarity - want[i].max()) < 1e-9 and (r.matched_label == "outlier") == (want[i].max() < 0.9)
+    few = cluster.fit_projection(known.limit(3), 5)
+    assert few.axes.shape == (2, 6)
+    with pytest.raises(ValueError):
+        cluster.fit_projection(known.limit(0), 2)
