@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 #: More subsets than this are refused: 2 ** columns grows beyond use.
 MOST_SUBSETS = 4096
 
+#: Squared differences that a task holds at a time.
+STRIP = 1 << 23
+
 
 def subsets_of(columns: list[str], least: int = 2) -> list[tuple[str, ...]]:
     return [c for r in range(least, len(columns) + 1) for c in combinations(columns, r)]
@@ -48,12 +51,16 @@ def silhouettes(rows: DataFrame, columns: list[str], label: Column, key: str = "
                 names, code = np.unique([r["label"] for r in right], return_inverse=True)
                 hot = np.eye(len(names))[code]
                 sizes = hot.sum(0)
-                square = [(x[:, j : j + 1] - y[:, j]) ** 2 for j in range(x.shape[1])]
+                ids, labels = np.array([r["id"] for r in left]), np.array([r["label"] for r in left])
                 out = []
-                for s, mask in enumerate(masks):
-                    total = np.sqrt(sum(q for q, m in zip(square, mask) if m)) @ hot
-                    for j, name in enumerate(names):
-                        out.append(pd.DataFrame({"id": [r["id"] for r in left], "label": [r["label"] for r in left], "s": s, "other": name, "d": total[:, j], "n": int(sizes[j])}))
+                few = max(1, STRIP // (len(y) * len(columns)))
+                for a in range(0, len(x), few):  # squares of all columns, but of a strip of rows
+                    at = slice(a, a + few)
+                    square = [(x[at, j : j + 1] - y[:, j]) ** 2 for j in range(x.shape[1])]
+                    for s, mask in enumerate(masks):
+                        total = np.sqrt(sum(q for q, m in zip(square, mask) if m)) @ hot
+                        for j, name in enumerate(names):
+                            out.append(pd.DataFrame({"id": ids[at], "label": labels[at], "s": s, "other": name, "d": total[:, j], "n": int(sizes[j])}))
                 yield pd.concat(out)
 
     spark = rows.sparkSession
