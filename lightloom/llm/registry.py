@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bisector, decontaminate, hnsw, langid, licenses, neardup, packing, quality, secrets, tokens, toxicity, warc
+from . import bisector, collocations, decontaminate, hnsw, langid, licenses, neardup, packing, quality, secrets, tokens, toxicity, warc
 
 
 def queries() -> dict:
@@ -20,6 +20,7 @@ def queries() -> dict:
         "op8_warc": warc.op8_warc,
         "op9_language_id": langid.op9_language_id,
         "op10_packing": packing.op10_packing,
+        "op11_collocations": collocations.op11_collocations,
         "op12_license_scan": licenses.op12_license_scan,
         "op13_bisector_clusters": bisector.op13_bisector_clusters,
     }
@@ -29,6 +30,7 @@ def oracle_sql() -> dict:
     return {
         "op4_decontamination": decontaminate.ORACLE,
         "op8_warc": warc.ORACLE,
+        "op11_collocations": collocations.ORACLE,
         "op12_license_scan": licenses.ORACLE,
         "op13_bisector_clusters": bisector.oracle(),
     }
