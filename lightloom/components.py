@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +28,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` as a table in the shared folder, for loops.
+
+    A checkpoint keeps the estimated size of its plan, which joins multiply: after some rounds, the planner spends its time
+    on numbers of millions of digits. A table has the size of its files.
+    """
+    folder = f"{shared_dir(df.sparkSession).rstrip('/')}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 #: A key with more than LEAST rows, and more than a HOT-th of all rows, is dealt to several tasks: at most HOT keys are.
 LEAST, HOT = 1000, 50_000
 
@@ -77,7 +89,7 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         # small star: the smaller neighbours of a node, and itself, go to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = join_hot(large, least, ["u"], ["v"], *before[:2]).filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        now = settled(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         state = look(now)
         if state == before:
             break

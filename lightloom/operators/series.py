@@ -130,6 +130,12 @@ def bins(folded: DataFrame, key: str, n: int = 100, value: str = "z") -> DataFra
     return every.join(means, [key, "bin"], "left").select(key, "bin", (F.col("_lo") + (F.col("bin") - 0.5) * (F.col("_hi") - F.col("_lo")) / n).alias("center"), "mean", F.coalesce("points", F.lit(0)).alias("points"))
 
 
+def bin_means(binned: DataFrame, key: str) -> DataFrame:
+    """(key, vec): means by bin as they are; null where a bin is empty."""
+    v = binned.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("bin", "mean"))), lambda x: x["mean"]).alias("vec"))
+    return v.withColumn("vec", F.when(F.forall("vec", lambda x: x.isNotNull()), F.col("vec")))
+
+
 def bin_vector(binned: DataFrame, key: str, size: int | None = None) -> DataFrame:
     """(key, vec, is_valid): means by bin, padded or cut, z-scored over the vector; not valid where a bin is empty or all are equal."""
     v = binned.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("bin", "mean"))), lambda x: x["mean"]).alias("v"))
@@ -156,8 +162,11 @@ def shape(binned: DataFrame, key: str) -> DataFrame:
 
 
 def autocorrelation(binned: DataFrame, key: str, value: str = "mean") -> DataFrame:
-    """(key, lag, ac): sums of products of values ``lag`` bins apart, lag 1 set to zero."""
-    a, b = binned.select(key, F.col("bin").alias("i"), F.col(value).alias("x")), binned.select(key, F.col("bin").alias("j"), F.col(value).alias("y"))
+    """(key, lag, ac): sums of products of z-scored values ``lag`` bins apart, lag 1 set to zero. Equal values have z-scores of 0."""
+    own = Window.partitionBy(key)  # a fixed number of bins
+    apart, spread = F.col(value) - F.avg(value).over(own), F.stddev_pop(value).over(own)
+    z = binned.withColumn("_z", F.when(F.col(value).isNotNull(), F.when(spread > 0, apart / spread).otherwise(F.lit(0.0))))
+    a, b = z.select(key, F.col("bin").alias("i"), F.col("_z").alias("x")), z.select(key, F.col("bin").alias("j"), F.col("_z").alias("y"))
     pairs = a.join(b, key).filter("j > i")  # within one series of a fixed number of bins
     return pairs.withColumn("lag", F.col("j") - F.col("i")).groupBy(key, "lag").agg(F.sum(F.col("x") * F.col("y")).alias("ac")).withColumn("ac", F.when(F.col("lag") == 1, F.lit(0.0)).otherwise(F.col("ac")))
 

@@ -333,7 +333,8 @@ def shape_features(spark, d):
 
 @query(
     f"""WITH {D_SER}, {D_FOLD},
-ac AS (SELECT a.key, b.bin - a.bin AS lag, CASE WHEN b.bin - a.bin = 1 THEN 0 ELSE sum(a.mean * b.mean) END AS ac FROM bins a JOIN bins b ON a.key = b.key AND b.bin > a.bin GROUP BY a.key, b.bin - a.bin),
+zb AS (SELECT key, bin, CASE WHEN stddev_pop(mean) OVER (PARTITION BY key) > 0 THEN (mean - avg(mean) OVER (PARTITION BY key)) / stddev_pop(mean) OVER (PARTITION BY key) ELSE 0 * mean END AS mean FROM bins),
+ac AS (SELECT a.key, b.bin - a.bin AS lag, CASE WHEN b.bin - a.bin = 1 THEN 0 ELSE sum(a.mean * b.mean) END AS ac FROM zb a JOIN zb b ON a.key = b.key AND b.bin > a.bin GROUP BY a.key, b.bin - a.bin),
 pk AS (SELECT key, lag, ac, lag(ac) OVER (PARTITION BY key ORDER BY lag) AS p, lead(ac) OVER (PARTITION BY key ORDER BY lag) AS n FROM ac),
 f AS (SELECT key, min(lag) AS lag FROM pk WHERE ac > p AND ac > n GROUP BY key)
 SELECT k.key, round(coalesce(pk.ac, 0), 6) AS autocorr_strength FROM (SELECT DISTINCT key FROM ac) k LEFT JOIN f ON f.key = k.key LEFT JOIN pk ON pk.key = k.key AND pk.lag = f.lag"""
@@ -350,7 +351,7 @@ def fold_empty_bins(spark, d):
 @query()
 def object_features(spark, d):
     """Periodogram peaks and box search, by numpy kernels a series."""
-    return kernels.object_features(events_series(spark, d, "user_id"), "key")
+    return kernels.object_features(events_series(spark, d), "key")
 
 
 D_VEC = f"""{D_SER}, {D_FOLD}, st AS (SELECT key, avg(mean) AS c, stddev_pop(mean) AS s FROM bins GROUP BY key HAVING count(*) = count(mean)),
@@ -358,14 +359,15 @@ x AS (SELECT key, bin, (mean - c) / s AS x FROM bins JOIN st USING (key))"""
 
 
 @query(
-    f"""WITH {D_VEC}, g AS (SELECT k, exp(-k * k / CAST(18 AS DOUBLE)) / (SELECT sum(exp(-j * j / CAST(18 AS DOUBLE))) FROM range(-12, 13) AS r(j)) AS w FROM range(-12, 13) AS r(k)),
+    f"""WITH {D_SER}, {D_FOLD}, x AS (SELECT key, bin, mean AS x FROM bins WHERE key NOT IN (SELECT key FROM bins WHERE mean IS NULL)),
+g AS (SELECT k, exp(-k * k / CAST(18 AS DOUBLE)) / (SELECT sum(exp(-j * j / CAST(18 AS DOUBLE))) FROM range(-12, 13) AS r(j)) AS w FROM range(-12, 13) AS r(k)),
 sm AS (SELECT a.key, a.bin, sum(w * b.x) AS s FROM x a, g JOIN x b ON b.key = a.key AND b.bin = CASE WHEN a.bin + k < 1 THEN 1 - (a.bin + k) WHEN a.bin + k > 40 THEN 81 - (a.bin + k) ELSE a.bin + k END GROUP BY a.key, a.bin),
 lo AS (SELECT key, arg_min(bin, s) AS bin FROM sm GROUP BY key)
 SELECT lo.key, round(CASE WHEN lo.bin > 3 AND lo.bin < 38 THEN (SELECT sum(CASE WHEN sm.bin = lo.bin THEN -2 * s ELSE s END) FROM sm WHERE sm.key = lo.key AND abs(sm.bin - lo.bin) <= 1) ELSE 0 END, 6) AS sharpness FROM lo"""
 )
 def sharpness(spark, d):
-    v = series.bin_vector(series.bins(folded(spark, d), "key", 40), "key")
-    return kernels.sharpness_of(v.filter("is_valid"), "key").select("key", *r6("sharpness"))
+    v = series.bin_means(series.bins(folded(spark, d), "key", 40), "key")
+    return kernels.sharpness_of(v.filter("vec is not null"), "key").select("key", *r6("sharpness"))
 
 
 @query(f"WITH {D_USER}, {D_GRID}, {D_POWER} SELECT key, CAST(4000 AS INTEGER) AS size, round(max(power), 6) AS peak FROM power GROUP BY key")
@@ -793,7 +795,7 @@ def subset_search(spark, d):
 @query()
 def flat_box(spark, d):
     """Flattened series folded at their best box, in bins of phase."""
-    rows = kernels.flat_box(events_series(spark, d, "user_id"), "key")
+    rows = kernels.flat_box(events_series(spark, d), "key")
     at = F.least(F.floor((F.col("phase") + 0.5) * 150) + 1, F.lit(150)).cast("int")
     return rows.groupBy("key", at.alias("bin")).agg(F.round(F.avg("z"), 6).alias("mean"), F.count("*").alias("points"), F.round(F.first("period"), 6).alias("period"))
 
