@@ -349,8 +349,8 @@ def nearest(
     """(query_id, rank, vec_id, score): each query's k nearest of ``vectors`` but those with its own key.
 
     Vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do null keys; vectors
-    of other dimensions are not compared. Of rows with the same key, the smallest vector counts. Scores that agree in
-    twelve decimals are ties, which go to smaller keys. Fewer candidates than k give fewer rows; an empty table gives
+    of other dimensions are not compared. Of rows with the same key, the smallest vector counts. Equal scores are ties,
+    which go to smaller keys. Fewer candidates than k give fewer rows; an empty table gives
     none. Scores are cosines of the original vectors in double precision. Other columns are not read.
     """
     spark = vectors.sparkSession
@@ -371,9 +371,10 @@ def nearest(
     index = cut(build(placed.select("shard", "dim", "v", "ids").repartitionById(number, F.col("shard")), m, ef_build))
     asked = in_cells(usable(queries, key, vector), cells, True).join(F.broadcast(table), ["dim", "cell"])
     asked = cut(asked.select("id", "v", F.explode(F.sequence("at", F.col("at") + F.col("parts") - 1)).alias("shard")))
-    slices = max(1, -(-asked.count() // (SLICE * number)))
-    left = index.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    right = asked.withColumn("slice", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(slices)).cast("int"))
+    # a shard's queries are dealt to as many tasks as their own number asks for, however they are spread over shards
+    slices = asked.groupBy("shard").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"))  # a row a shard
+    left = index.join(slices, "shard").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
+    right = asked.join(F.broadcast(slices), "shard").withColumn("slice", F.pmod(F.xxhash64("id", F.lit(1)), F.col("slices")).cast("int")).drop("slices")
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["query_id", "vec_id", "score"]
@@ -396,7 +397,7 @@ def nearest(
                     score = np.clip((near * part[i]).sum(axis=1) / (np.sqrt((near * near).sum(axis=1)) * lengths[i]), -1, 1)
                     pairs = []
                     for node, s in zip(nodes, score.tolist()):
-                        pairs += [(-round(s, 12), v, s) for v in ids[first[node] : first[node + 1]].tolist() if v != own[a + i]]
+                        pairs += [(-s, v, s) for v in ids[first[node] : first[node + 1]].tolist() if v != own[a + i]]
                     pairs.sort()
                     out[0] += [own[a + i]] * len(pairs[:k])
                     out[1] += [v for _, v, _ in pairs[:k]]
@@ -405,7 +406,7 @@ def nearest(
 
     by = ["shard", "slice"]
     found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(search, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.round("score", 12).desc(), "vec_id")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -1,12 +1,13 @@
 """Near-duplicate documents: MinHash signatures, a multi-index Hamming join, and exact confirmation on whole sets.
 
-1. A document is the set of its distinct word shingles (64-bit hashes). Documents of equal sets form a class, and only
-   its smallest member goes on.
-2. A class has a signature of 32 symbols of 16 bits: the lowest bits of 32 minimum hashes. The distance of two
-   signatures is the number of symbols that differ. A pair of similarity 0.8 differs in 6.4 symbols on average and in
-   more than 15 with a probability of about 2e-4, so the join takes pairs with a distance of 15 at most.
-3. The signature is split into 8 chunks of 4 symbols. By pigeonhole, a pair with at most 15 differing symbols has a
-   chunk with at most one, so each chunk is a key four times, each time without one of its symbols: a pair within the
+1. A document is the set of its distinct word shingles (64-bit hashes). Documents of equal sets form a class with a number
+   of its own, and only its smallest member goes on; rows are told apart by key and text.
+2. A class has a signature of ``symbols`` symbols of 16 bits, 64 by default: the lowest bits of as many minimum hashes. The
+   distance of two signatures is the number of symbols that differ. The join takes pairs that differ in less than half of
+   them. A pair of similarity 0.8 differs in a fifth of them on average, and in half or more with a probability of 2e-4 of
+   32 symbols, 2e-8 of 64, 3e-10 of 80 and 4e-12 of 96.
+3. The signature is split into chunks of 4 symbols. By pigeonhole, a pair with fewer differing symbols than two a chunk has
+   a chunk with at most one, so each chunk is a key four times, each time without one of its symbols: a pair within the
    distance always shares a key. Keys that one class alone has are dropped before any signature moves.
 4. Within a key, the classes that hang together by pairs within the distance are found by a search that compares each
    class with those not yet reached, so that a large group of near copies costs little more than its size. Keys with more
@@ -15,9 +16,9 @@
    compared or connected already, no task holds more than two blocks, and copies of one text never meet all pairs.
 5. Candidate components that are too large to meet at once (chains of texts that share boilerplate) fall apart by the same
    join over signatures of 160 symbols of 8 bits: pairs of similarity 0.8 differ in 32 of them on average and in more than
-   59 with a probability of about 1e-7.
+   72 with a probability of 1e-12, so what a component's size decides is the work alone.
 6. The classes of a candidate component meet with their whole sets, and a search of the same kind over exact similarities,
-   in blocks as above, gives links whose components are the answer.
+   in blocks as above, gives links whose components are the answer. These blocks are bounded by the shingles in them too.
 """
 
 from __future__ import annotations
@@ -30,17 +31,20 @@ from pyspark.sql import functions as F
 from .common import cut, documents, hash_runs, mix, runs, text_slices, utf8
 from .components import components, join_hot
 
-SYMBOLS, CHUNK = 32, 4
-CHUNKS = SYMBOLS // CHUNK
-#: With more than CHUNKS * 2 - 1 differing symbols, every chunk could have two.
-DISTANCE = 2 * CHUNKS - 1
-_SEED = np.random.default_rng(20240229)
-_MUL = (_SEED.integers(0, 2**63, SYMBOLS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-_ADD = _SEED.integers(0, 2**63, SYMBOLS, dtype=np.uint64)
+#: Symbols of a signature, and of a chunk of it.
+SYMBOLS, CHUNK = 64, 4
 #: The longer signatures and the distance that they are compared by.
-LONG, LONG_DISTANCE = 160, 59
-_LONG_MUL = (_SEED.integers(0, 2**63, LONG, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-_LONG_ADD = _SEED.integers(0, 2**63, LONG, dtype=np.uint64)
+LONG, LONG_DISTANCE = 160, 72
+#: Shingles in a block of sets.
+BLOCK_SHINGLES = 8_000_000
+
+
+def hashes(symbols: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Odd multipliers and offsets of as many hash functions."""
+    rng = np.random.default_rng(seed)
+    return (rng.integers(0, 2**63, symbols, dtype=np.uint64) << np.uint64(1)) | np.uint64(1), rng.integers(0, 2**63, symbols, dtype=np.uint64)
+
+
 #: Separators of words; A-Z are lower-cased, and nothing else.
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -91,16 +95,17 @@ def minima(value: np.ndarray, offs: np.ndarray, mul: np.ndarray, add: np.ndarray
     return out
 
 
-def sketches(docs: DataFrame, words: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_shingles, p, q, signature) of every row: p and q tell sets apart, the signature is 64 bytes; empty sets have nulls."""
+def sketches(docs: DataFrame, words: int, symbols: int = SYMBOLS) -> DataFrame:
+    """(key, copy, n_shingles, p, q, signature) of every row (key, copy, text): p and q tell sets apart; empty sets have nulls."""
+    mul, add = hashes(symbols, 20240229)
 
     def run(batches):
-        for batch in text_slices(batches, text):
-            value, offs = shingles(*utf8(batch.column(text)), words)
+        for batch in text_slices(batches, "text"):
+            value, offs = shingles(*utf8(batch.column("text")), words)
             size = np.diff(offs)
             some = np.flatnonzero(size)
             p, q = np.zeros(len(size), dtype=np.uint64), np.zeros(len(size), dtype=np.uint64)
-            found = minima(value, offs, _MUL, _ADD)
+            found = minima(value, offs, mul, add)
             if len(some):
                 begin = offs[:-1][some]
                 p[some] = np.add.reduceat(mix(value + np.uint64(1)), begin)
@@ -108,35 +113,37 @@ def sketches(docs: DataFrame, words: int, key: str = "doc_id", text: str = "text
             none = size == 0
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(key),
+                    batch.column("key"),
+                    batch.column("copy"),
                     pa.array(size, pa.int64()),
                     pa.array(p.view(np.int64), mask=none),
                     pa.array(q.view(np.int64), mask=none),
                     pa.array([None if e else s.tobytes() for s, e in zip(found, none)], pa.binary()),
                 ],
-                names=[key, "n_shingles", "p", "q", "signature"],
+                names=["key", "copy", "n_shingles", "p", "q", "signature"],
             )
 
-    schema = docs.select(key).schema.add("n_shingles", "long").add("p", "long").add("q", "long").add("signature", "binary")
-    return docs.select(key, text).mapInArrow(run, schema)
+    schema = docs.select("key", "copy").schema.add("n_shingles", "long").add("p", "long").add("q", "long").add("signature", "binary")
+    return docs.select("key", "copy", "text").mapInArrow(run, schema)
 
 
 def chunk_keys(classes: DataFrame) -> DataFrame:
-    """(bucket, id): 32 keys a class, each of a chunk, the symbol left out of it, and the three that stay."""
+    """(bucket, id): as many keys a class as symbols, each of a chunk, the symbol left out of it, and the three that stay."""
 
     def run(batches):
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
-            sig = np.frombuffer(b"".join(batch.column("signature").to_pylist()), dtype="<u2").reshape(n, CHUNKS, CHUNK).astype(np.uint64)
+            sig = np.frombuffer(b"".join(batch.column("signature").to_pylist()), dtype="<u2").reshape(n, -1, CHUNK).astype(np.uint64)
+            chunks = sig.shape[1]
             keys = []
             for out in range(CHUNK):
-                code = np.zeros((n, CHUNKS), dtype=np.uint64)
+                code = np.zeros((n, chunks), dtype=np.uint64)
                 for k in range(CHUNK):
                     if k != out:
                         code = (code << np.uint64(16)) | sig[:, :, k]
-                keys.append(code | (np.arange(CHUNKS, dtype=np.uint64) * np.uint64(CHUNK) + np.uint64(out)) << np.uint64(48))
+                keys.append(code | (np.arange(chunks, dtype=np.uint64) * np.uint64(CHUNK) + np.uint64(out)) << np.uint64(48))
             keys = np.stack(keys, axis=2).reshape(n, -1)
             ids = batch.column("id").take(pa.array(np.repeat(np.arange(n), keys.shape[1])))
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), ids], names=["bucket", "id"])
@@ -167,7 +174,7 @@ def grouped(batches, *by: str):
         yield pa.Table.from_batches(held)
 
 
-def signature_links(ids: np.ndarray, sig: np.ndarray, distance: int = DISTANCE) -> tuple[list, list]:
+def signature_links(ids: np.ndarray, sig: np.ndarray, distance: int) -> tuple[list, list]:
     """Links that connect whatever pairs within the distance connect: one for each row reached from another."""
     left = np.arange(len(ids))
     a, b = [], []
@@ -188,10 +195,12 @@ def signature_links(ids: np.ndarray, sig: np.ndarray, distance: int = DISTANCE)
     return a, b
 
 
-def dealt_links(rows: DataFrame, top: int, payload, search, by: str, block: int) -> DataFrame:
+def dealt_links(rows: DataFrame, top: int, payload, search, by: str, split: bool) -> DataFrame:
     """(a, b): links that connect, in each group of ``by``, whatever the pairs that ``search`` finds would connect.
 
-    rows: (by, id, n), n the group's size, ``top`` the largest; payload(rows) adds what search(table) compares the rows of one task's table by.
+    rows: (by, id, n, share), n the group's size, ``top`` the largest, share what part of a block a row of the group takes;
+    split: whether any group is more than a block; payload(rows) adds what search(table) compares the rows of one task's
+    table by.
     """
 
     def run(batches):
@@ -215,19 +224,22 @@ def dealt_links(rows: DataFrame, top: int, payload, search, by: str, block: int)
         full = payload(dealt.select(by, "pair", "id"))
         return cut(full.repartition(by, "pair").sortWithinPartitions(by, "pair").mapInArrow(run, "a long, b long").distinct())
 
+    def parts_of(size):
+        return F.greatest(F.ceil(F.col(size) * F.col("share")), F.lit(1))
+
     def block_of(size):
-        return F.pmod(F.xxhash64("id"), F.ceil(F.col(size) / block))
+        return F.pmod(F.xxhash64("id"), parts_of(size))
 
     def placed(links):
         near = components(links).select(F.col("node").alias("id"), "root")
-        return cut(large.join(near, "id", "left").select(by, "id", "n", F.coalesce("root", "id").alias("own")))
+        return cut(large.join(near, "id", "left").select(by, "id", "n", "share", F.coalesce("root", "id").alias("own")))
 
     links = meet(rows.withColumn("pair", block_of("n")))
-    if top <= block:
+    if not split:
         return links
-    large = rows.filter(F.col("n") > block)
+    large = rows.filter(F.col("n") * F.col("share") > 1)
     # one of each component that a block has found stands for it
-    heads = placed(links).groupBy(by, "own").agg(F.min("id").alias("id"))
+    heads = placed(links).groupBy(by, "own").agg(F.min("id").alias("id"), F.max("share").alias("share"))
     number = heads.groupBy(by).agg(F.count("*").alias("m")).filter("m > 1")
     links = links.unionByName(meet(join_hot(heads, number, [by], ["id"], heads.count(), top, "m").withColumn("pair", block_of("m"))))
     # what is outside of a group's largest component meets the whole group
@@ -235,10 +247,10 @@ def dealt_links(rows: DataFrame, top: int, payload, search, by: str, block: int)
     parts = now.groupBy(by, "own").agg(F.count("*").alias("c"))
     main = parts.groupBy(by).agg(F.max(F.struct("c", "own")).alias("top"), F.sum("c").alias("all"))
     main = main.select(by, F.col("top.own").alias("main"), "all", (F.col("all") - F.col("top.c")).alias("strays")).filter("strays > 0")
-    rest = cut(join_hot(now, main, [by], ["id"], now.count(), top, "all"))
+    rest = cut(join_hot(now, main, [by], ["id"], now.count(), top, "all"))  # with each group's share
     if rest.isEmpty():
         return links
-    of, strays = F.ceil(F.col("all") / block), F.ceil(F.col("strays") / block)
+    of, strays = parts_of("all"), parts_of("strays")
     every = rest.select(by, "id", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), strays - 1), lambda j: F.pmod(F.xxhash64("id"), of) * strays + j)).alias("pair"))
     out = rest.filter("own <> main")
     out = out.select(by, "id", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), of - 1), lambda i: i * strays + F.pmod(F.xxhash64("id"), strays))).alias("pair"))
@@ -261,32 +273,41 @@ def shared_keys(classes: DataFrame) -> tuple[DataFrame, int]:
     return cut(join_hot(keys, counts, ["bucket"], ["id"], total, top)), top
 
 
-def candidate_components(classes: DataFrame, docs: DataFrame, words: int, key_block: int, set_block: int, key: str, text: str) -> tuple[DataFrame, int]:
-    """(component, id, n): classes that may be linked, n the size of the component; and the largest n."""
+def candidate_components(classes: DataFrame, docs: DataFrame, words: int, symbols: int, key_block: int, set_block: int) -> tuple[DataFrame, int, bool]:
+    """(component, id, n, share): classes that may be linked, n the size of the component; the largest n, and whether any component is more than a block."""
+    distance = symbols // CHUNK * 2 - 1  # with more, every chunk could have two
     keys, most = shared_keys(classes)
-    links = dealt_links(keys, most, lambda r: r.join(classes.select("id", "signature"), "id"), by_signature(DISTANCE), "bucket", key_block)
-    found, top = sized(components(links))
-    if top <= set_block:
-        return found, top
+    keys = keys.withColumn("share", F.lit(1 / key_block))
+    links = dealt_links(keys, most, lambda r: r.join(classes.select("id", "signature"), "id"), by_signature(distance), "bucket", most > key_block)
+    found, top, split = sized(components(links), classes, set_block)
+    if not split:
+        return found, top, split
+    mul, add = hashes(LONG, 20240301)
 
     def sketch(batches):
         for batch in text_slices(batches, "text", 1 << 18):
-            sig = minima(*shingles(*utf8(batch.column("text")), words), _LONG_MUL, _LONG_ADD)
+            sig = minima(*shingles(*utf8(batch.column("text")), words), mul, add)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x.astype(np.uint8).tobytes() for x in sig], pa.binary())], names=["id", "long"])
 
-    large = cut(found.filter(F.col("n") > set_block).select("id"))
-    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(large, "id").dropDuplicates(["id"])
-    sharp = cut(texts.mapInArrow(sketch, "id long, long binary"))
-    again = components(dealt_links(keys.join(large, "id"), most, lambda r: r.join(sharp, "id"), by_signature(LONG_DISTANCE, "long", "u1"), "bucket", key_block))
-    return sized(found.join(large, "id", "left_anti").select(F.col("id").alias("node"), F.col("component").alias("root")).unionByName(again))
+    large = cut(found.filter(F.col("n") * F.col("share") > 1).select("id"))
+    sharp = cut(texts_of(docs, classes.join(large, "id")).mapInArrow(sketch, "id long, long binary"))
+    again = components(dealt_links(keys.join(large, "id"), most, lambda r: r.join(sharp, "id"), by_signature(LONG_DISTANCE, "long", "u1"), "bucket", most > key_block))
+    return sized(found.join(large, "id", "left_anti").select(F.col("id").alias("node"), F.col("component").alias("root")).unionByName(again), classes, set_block)
 
 
-def sized(nodes: DataFrame) -> tuple[DataFrame, int]:
-    """(component, id, n) of (node, root), and the largest n."""
+def sized(nodes: DataFrame, classes: DataFrame, block: int) -> tuple[DataFrame, int, bool]:
+    """(component, id, n, share) of (node, root), the largest n, and whether any component is more than a block, of so many rows or BLOCK_SHINGLES."""
     rows = nodes.select(F.col("root").alias("component"), F.col("node").alias("id"))
-    sizes = cut(rows.groupBy("component").agg(F.count("*").alias("n")))
-    total, top = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
-    return cut(join_hot(rows, sizes, ["component"], ["id"], total, top)), top
+    sizes = rows.join(classes.select("id", "n_shingles"), "id").groupBy("component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("_s"))
+    sizes = cut(sizes.select("component", "n", F.greatest(F.lit(1 / block), F.col("_s") / F.col("n") / BLOCK_SHINGLES).alias("share")))
+    total, top, fill = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0)), F.max(F.col("n") * F.col("share"))).first()
+    return cut(join_hot(rows, sizes, ["component"], ["id"], total, top)), top, (fill or 0) > 1
+
+
+def texts_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The columns of ``rows`` but for their key and copy, with the text of each; docs: (key, copy, text), where a text may stand several times."""
+    found = docs.join(rows.select(F.col("key").alias("_k"), F.col("copy").alias("_c"), *[c for c in rows.columns if c not in ("key", "copy")]), F.col("key").eqNullSafe(F.col("_k")) & (F.col("copy") == F.col("_c")))
+    return found.drop("key", "copy", "_k", "_c")
 
 
 def exact_links(ids: np.ndarray, value: np.ndarray, offs: np.ndarray, percent: int) -> tuple[list, list]:
@@ -321,9 +342,8 @@ def exact_links(ids: np.ndarray, value: np.ndarray, offs: np.ndarray, percent: i
     return a, b
 
 
-def confirmed_links(docs: DataFrame, candidates: DataFrame, top: int, words: int, percent: int, block: int, key: str, text: str) -> DataFrame:
-    """(a, b): links on whole sets among the classes of each candidate component (component, id, n)."""
-    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+def confirmed_links(docs: DataFrame, classes: DataFrame, candidates: DataFrame, top: int, split: bool, words: int, percent: int) -> DataFrame:
+    """(a, b): links on whole sets among the classes of each candidate component (component, id, n, share)."""
 
     def sets(batches):
         for batch in text_slices(batches, "text"):
@@ -332,41 +352,56 @@ def confirmed_links(docs: DataFrame, candidates: DataFrame, top: int, words: int
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("component"), batch.column("pair"), pa.array(raw, pa.binary())], names=["id", "component", "pair", "shingles"])
 
     def payload(rows):
-        return texts.join(rows, "id").mapInArrow(sets, "id long, component long, pair long, shingles binary")
+        named = rows.join(classes.select("id", "key", "copy"), "id").select("id", "component", "pair", "key", "copy")
+        return texts_of(docs, named).select("id", "component", "pair", "text").mapInArrow(sets, "id long, component long, pair long, shingles binary")
 
     def search(group: pa.Table):
-        ids, at = np.unique(np.asarray(group.column("id")), return_index=True)  # a repeated row is one class
+        ids, at = np.unique(np.asarray(group.column("id")), return_index=True)  # a text that stands there several times is one class
         raw = group.column("shingles").take(pa.array(at)).to_pylist()
         offs = np.concatenate([[0], np.cumsum([len(r) // 8 for r in raw])])
         return exact_links(ids, np.frombuffer(b"".join(raw), dtype=np.uint64), offs, percent)
 
-    return dealt_links(candidates, top, payload, search, "component", block)
+    return dealt_links(candidates, top, payload, search, "component", split)
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", key_block: int = 20000, set_block: int = 4000) -> DataFrame:
-    """(key, n_shingles, component_id, kept): one row a document.
+def near_duplicates(
+    docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", symbols: int = SYMBOLS, key_block: int = 20000, set_block: int = 4000
+) -> DataFrame:
+    """(key, copy, n_shingles, component_id, kept, first): one row a document.
 
-    Documents of a component are linked by similarities of ``percent`` or more, directly or through others;
-    component_id is its smallest key, and the document with that key is kept. Null, empty and wordless texts have empty
-    sets and are linked with nothing. Keys are integers; rows with a null key are compared with nothing and have a null
-    component and kept true. Rows that repeat a key and text are one document and give as many rows. Other columns are
-    not read; an empty table gives none.
+    Documents of a component are linked by similarities of ``percent`` or more, directly or through others. component_id
+    is its smallest key (null where all are null) and kept says whether a document has that key. ``copy`` is xxhash64 of
+    the text: rows are told apart by key and text, so rows with one key and different texts are different documents, and
+    rows that repeat both are one document and give as many rows. ``first`` is true for one key and text of a component:
+    the smallest key that is not null, then the smallest copy. Null, empty and wordless texts have empty sets and are linked
+    with nothing: their component is their own key, and kept and first are true. Keys are integers; null ones are
+    compared like others. Other columns are not read; an empty table gives no rows.
     """
-    rows = cut(sketches(docs, words, key, text))
-    known = rows.filter(F.col("p").isNotNull() & F.col(key).isNotNull())
+    docs = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(F.col(text)).alias("copy"), F.col(text).alias("text"))
+    rows = cut(sketches(docs, words, symbols))
+    known = rows.filter(F.col("p").isNotNull())
     same = ["n_shingles", "p", "q"]
-    classes = known.groupBy(*same).agg(F.min(F.col(key).cast("long")).alias("id"), F.first("signature").alias("signature"), F.count("*").alias("n"))
-    classes = cut(classes)
-    candidates, top = candidate_components(classes, docs, words, key_block, set_block, key, text)
-    links = components(confirmed_links(docs, candidates, top, words, percent, set_block, key, text))
-    merged = links.filter("node > root").select(F.col("node").alias("id"), "root")
-    final = classes.join(merged, "id", "left").select(*same, "n", F.coalesce("root", "id").alias("component_id"))
+    least = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "copy"))  # null keys last
+    classes = known.groupBy(*same).agg(least.alias("_m"), F.first("signature").alias("signature"), F.count("*").alias("n"))
+    # a number of its own for each class: keys may repeat with different texts
+    classes = cut(classes.select(*same, "signature", "n", F.col("_m.key").alias("key"), F.col("_m.copy").alias("copy"), F.monotonically_increasing_id().alias("id")))
+    candidates, top, split = candidate_components(classes, docs, words, symbols, key_block, set_block)
+    links = components(confirmed_links(docs, classes, candidates, top, split, words, percent))
+    # each component's smallest member; most classes are alone
+    linked = links.join(classes.select(F.col("id").alias("node"), "key", "copy"), "node")
+    heads = linked.groupBy("root").agg(least.alias("_m"), F.count("*").alias("n"))
+    total, top = heads.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    heads = heads.select("root", "n", F.col("_m.key").alias("_key"), F.col("_m.copy").alias("_copy"))
+    merged = join_hot(links, heads, ["root"], ["node"], total, top).select(F.col("node").alias("id"), "_key", "_copy", F.lit(True).alias("_in"))
+    final = classes.join(merged, "id", "left").select(*same, "n", F.when(F.col("_in"), F.col("_key")).otherwise(F.col("key")).alias("component_id"), F.when(F.col("_in"), F.col("_copy")).otherwise(F.col("copy")).alias("_copy"))
     total, copies = classes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
-    found = join_hot(known.select(key, *same), final, same, [key], total, copies).select(key, "n_shingles", "component_id")
-    alone = rows.filter(F.col("p").isNull() | F.col(key).isNull()).select(key, "n_shingles", F.col(key).cast("long").alias("component_id"))
-    found = found.unionByName(alone)
-    return found.select(key, "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col(key), F.lit(True)).alias("kept"))
+    found = join_hot(known.select("key", "copy", *same), final, same, ["key", "copy"], total, copies)
+    own = F.col("key").eqNullSafe(F.col("component_id"))
+    found = found.select("key", "copy", "n_shingles", "component_id", own.alias("kept"), (own & (F.col("copy") == F.col("_copy"))).alias("first"))
+    alone = rows.filter(F.col("p").isNull()).select("key", "copy", "n_shingles", F.col("key").alias("component_id"), F.lit(True).alias("kept"), F.lit(True).alias("first"))
+    return found.unionByName(alone).withColumnRenamed("key", key)
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir), words=4)
+    """All documents on shingles of four words; see ``near_duplicates`` for nulls, repeated rows and keys."""
+    return near_duplicates(documents(spark, sf_dir), words=4).select("doc_id", "n_shingles", "component_id", "kept")

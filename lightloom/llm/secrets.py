@@ -151,14 +151,15 @@ def find(text: str, model: MarkovPair | None, threshold: float) -> tuple[list, l
     base = sorted(base_spans(text), key=key)
     if model is None:
         return base, base
-    added = []
-    for m in TOKEN.finditer(text):
+    added, i, reach = [], 0, 0
+    for m in TOKEN.finditer(text):  # tokens and spans are both in order: each span is looked at once
         a, b = m.span()
+        while i < len(base) and base[i][0] < b:
+            reach = max(reach, base[i][1])
+            i += 1
         token = m[0]
-        if token.isdigit():
-            continue  # numbers are no secrets
-        if any(x < b and a < y for x, y, _ in base):
-            continue
+        if token.isdigit() or reach > a:
+            continue  # numbers are no secrets, and the rules' spans are told already
         if model.score(token) > threshold:
             added.append((a, b, "markov"))
     return base, sorted(base + added, key=key) if added else base
