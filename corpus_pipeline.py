@@ -21,11 +21,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by similarities of 0.8 or more on shingles of five words, that with the smallest doc_id stays."""
-    found = cut(neardup.near_duplicates(docs, words=5, percent=80).select("doc_id", "kept"))
-    kept = docs.join(found.filter(~F.col("kept")).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
-    repeated = found.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
+    """Of documents linked by similarities of 0.8 or more on shingles of five words, one row stays: that with the smallest
+    doc_id (null ones last), and of those the smallest hash of its text. Rows are told apart by doc_id and text."""
+    found = neardup.near_duplicates(docs, words=5, percent=80).select(F.col("doc_id").alias("own"), "copy", "first")
+    found = cut(found.groupBy("own", "copy").agg(F.min("first").alias("first"), F.count("*").alias("n")).filter("n > 1 or not first"))
+    of = lambda marks: docs["doc_id"].eqNullSafe(marks["own"]) & (F.xxhash64(docs["text"]) == marks["copy"])
+    kept = docs.join(found, of(found), "left_anti")
+    again = found.filter("first")  # a document whose rows repeat
+    return kept.unionByName(docs.join(again, of(again), "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
