@@ -9,29 +9,33 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..components import components, cut
+from ..components import components, cut, settled
 from ..functions import exprs as X
-from . import mixture
+from . import hierarchy, mixture, ranks
+from .blocks import distances, meet
 from .mixture import summed
 from .subsets import silhouettes
 
 
 def scale(df: DataFrame, columns: list[str], method: str = "standard") -> DataFrame:
-    """standard (population), minmax (constant: 0), robust (median and quartiles) or none; statistics in one aggregate row."""
+    """standard (population), minmax (constant: 0), robust (exact median and quartiles) or none; statistics in one row."""
     if method == "none":
         return df
     if method not in ("standard", "minmax", "robust"):
         raise ValueError(f"unknown scaling: {method}")
     # one string a column: wide tables would take seconds to build column by column
-    center, spread = {
-        "standard": ("avg({0})", "stddev_pop({0})"),
-        "minmax": ("min({0})", "max({0}) - min({0})"),
-        "robust": ("median({0})", "percentile({0}, 0.75) - percentile({0}, 0.25)"),
-    }[method]
-    told = df.selectExpr(*[f"{x.format(f'`{c}`')} as `_{c}_{n}`" for c in columns for n, x in (("a", center), ("b", spread))])
+    if method == "robust":
+        # a row a column and value, so that one run tells the quartiles of all columns
+        long = df.selectExpr(f"stack({len(columns)}, {', '.join(f'{i}, cast(`{c}` as double)' for i, c in enumerate(columns))}) as (_at, _value)")
+        q = ranks.quantiles(long, "_value", [0.25, 0.5, 0.75], ["_at"])
+        pick = "max(case when _at = {0} and i = {1} then threshold end)"
+        told = q.selectExpr(*[f"{x} as `_{c}_{n}`" for j, c in enumerate(columns) for n, x in (("a", pick.format(j, 1)), ("b", f"{pick.format(j, 2)} - {pick.format(j, 0)}"))])
+    else:
+        center, spread = {"standard": ("avg({0})", "stddev_pop({0})"), "minmax": ("min({0})", "max({0}) - min({0})")}[method]
+        told = df.selectExpr(*[f"{x.format(f'`{c}`')} as `_{c}_{n}`" for c in columns for n, x in (("a", center), ("b", spread))])
     scaled = [f"(`{c}` - `_{c}_a`) / if(`_{c}_b` > 0, `_{c}_b`, 1D) as `{c}`" if c in columns else f"`{c}`" for c in df.columns]
     return df.join(F.broadcast(told)).selectExpr(*scaled)  # one row
 
@@ -64,14 +68,27 @@ def min_label_components(edges: DataFrame, nodes: DataFrame, most: int = 60) ->
 def dbscan(points: DataFrame, eps: float = 0.5, min_samples: int = 5, key: str = "id", vec: str = "vec") -> DataFrame:
     """(id, label): core points hang together within eps; a border point joins the first cluster among its core
     neighbours; others are noise, -1. Clusters are numbered by their smallest core id."""
-    near = neighbours(points, eps, key, vec).checkpoint()
+    return _dense(cut(neighbours(points, eps, key, vec)), points.select(F.col(key).alias("id")), min_samples)
+
+
+def dbscan_distances(pairs: DataFrame, ids: DataFrame, eps: float = 0.5, min_samples: int = 5, key: str = "id") -> DataFrame:
+    """The same over given distances (a, b, dist), each pair once or both ways; pairs that are not there are not near. ids: all points."""
+    own = ids.select(F.col(key).alias("id")).filter(F.col("id").isNotNull())
+    near = pairs.filter(F.col("dist") <= eps).select("a", "b")
+    near = near.join(own.withColumnRenamed("id", "a"), "a", "left_semi").join(own.withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b")
+    both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(own.select(F.col("id").alias("a"), F.col("id").alias("b")))
+    return _dense(cut(both.distinct()), own, min_samples)
+
+
+def _dense(near: DataFrame, ids: DataFrame, min_samples: int) -> DataFrame:
+    """(id, label) from all ordered pairs of neighbours, each point its own."""
     core = near.groupBy("a").count().filter(F.col("count") >= min_samples).select(F.col("a").alias("id"))
     edges = near.join(core.select(F.col("id").alias("a")), "a", "left_semi").join(core.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b")
     roots = min_label_components(edges, core)
     first = near.join(roots.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near_root"))
-    labelled = points.select(F.col(key).alias("id")).join(roots, "id", "left").join(first, "id", "left").withColumn("root", F.coalesce("root", "near_root"))
-    numbers = roots.select("root").distinct().withColumn("label", F.dense_rank().over(Window.orderBy("root")) - 1)
-    return labelled.join(F.broadcast(numbers), "root", "left").select("id", F.coalesce("label", F.lit(-1)).alias("label"))
+    labelled = ids.join(roots, "id", "left").join(first, "id", "left").withColumn("root", F.coalesce("root", "near_root"))
+    numbers = ranks.numbered(roots.select("root").distinct(), [F.col("root")]).select("root", (F.col("rn") - 1).cast("int").alias("label"))
+    return labelled.join(numbers, "root", "left").select("id", F.coalesce("label", F.lit(-1)).alias("label"))
 
 
 def kmeans(points: DataFrame, k: int = 3, seed: int = 42, key: str = "id", vec: str = "vec") -> tuple[DataFrame, float]:
@@ -82,7 +99,7 @@ def kmeans(points: DataFrame, k: int = 3, seed: int = 42, key: str = "id", vec:
 
 def gaussian_mixture(points: DataFrame, k: int = 3, seed: int = 42, key: str = "id", vec: str = "vec") -> tuple[DataFrame, dict]:
     """Full covariances: labels, and log-likelihood, AIC and BIC."""
-    data = points.select(F.col(key).alias("id"), F.col(vec).alias("vec"), array_to_vector(vec).alias("features")).cache()
+    data = cut(points.select(F.col(key).alias("id"), F.col(vec).alias("vec"), array_to_vector(vec).alias("features")))
     model = GaussianMixture(k=k, seed=seed).fit(data)
     n, d = data.count(), len(data.first()["vec"])
     ll = model.summary.logLikelihood
@@ -146,20 +163,35 @@ def silhouette(labelled: DataFrame, key: str = "id", vec: str = "vec") -> DataFr
     return silhouettes(wide, names, F.col("label"), key, least=len(names)).agg(F.max("silhouette").alias("silhouette"))
 
 
+def _apart(labelled: DataFrame, c: DataFrame, vec: str) -> DataFrame:
+    """(label, d): each row's distance to its cluster's centroid; the planner broadcasts centroids where their table is small."""
+    return labelled.select("label", F.col(vec).alias("_v")).join(c, "label").select("label", distance("_v", "centroid").alias("d"))
+
+
 def calinski_harabasz(labelled: DataFrame, vec: str = "vec") -> DataFrame:
-    c = centroids(labelled, vec)
+    c = settled(centroids(labelled, vec))
     whole = centroids(labelled.withColumn("label", F.lit(0)), vec).select(F.col("centroid").alias("_all"), F.col("n").alias("_total"))
-    sq = lambda a, b: F.pow(distance(a, b), 2)
-    between = c.join(F.broadcast(whole)).agg(F.sum(F.col("n") * sq("centroid", "_all")).alias("between"), F.count("*").alias("k"), F.max("_total").alias("total"))
-    within = labelled.join(F.broadcast(c), "label").agg(F.sum(sq(vec, "centroid")).alias("within"))
+    between = c.join(F.broadcast(whole)).agg(F.sum(F.col("n") * F.pow(distance("centroid", "_all"), 2)).alias("between"), F.count("*").alias("k"), F.max("_total").alias("total"))
+    within = _apart(labelled, c, vec).agg(F.sum(F.col("d") * F.col("d")).alias("within"))
     return between.join(within).select(((F.col("between") / (F.col("k") - 1)) / (F.col("within") / (F.col("total") - F.col("k")))).alias("calinski_harabasz"))
 
 
 def davies_bouldin(labelled: DataFrame, vec: str = "vec") -> DataFrame:
-    c = centroids(labelled, vec)
-    s = labelled.join(F.broadcast(c), "label").groupBy("label").agg(F.avg(distance(vec, "centroid")).alias("s"), F.first("centroid").alias("c"))
-    pairs = s.alias("a").join(s.alias("b"), F.col("a.label") != F.col("b.label")).groupBy("a.label").agg(F.max((F.col("a.s") + F.col("b.s")) / distance("a.c", "b.c")).alias("r"))
-    return pairs.agg(F.avg("r").alias("davies_bouldin"))
+    """The worst neighbour of each cluster, over blocks of centroids, and the mean of these."""
+    c = settled(centroids(labelled, vec))
+    s = settled(_apart(labelled, c, vec).groupBy("label").agg(F.avg("d").alias("s")).join(c.select("label", F.col("centroid").alias("c")), "label").select("label", "s", "c"))
+
+    def worst(batches):
+        for pdf in batches:
+            for _, r in pdf.iterrows():
+                apart = distances(np.array(r["left_c"].tolist()), np.array(r["right_c"].tolist()))
+                with np.errstate(divide="ignore"):
+                    ratio = (r["left_s"][:, None] + r["right_s"][None, :]) / apart
+                ratio[r["left_label"][:, None] == r["right_label"][None, :]] = -np.inf
+                yield pd.DataFrame({"label": r["left_label"], "r": ratio.max(1)})
+
+    pairs = meet(s, s).mapInPandas(worst, "label long, r double").groupBy("label").agg(F.max("r").alias("r"))
+    return pairs.filter(F.col("r") > float("-inf")).agg(F.avg("r").alias("davies_bouldin"))
 
 
 def metrics(labelled: DataFrame, key: str = "id", vec: str = "vec") -> DataFrame:
@@ -185,6 +217,7 @@ def _kmeans(points, n_clusters=3, random_state=42):
 #: Name -> (labelling, parameters that it takes).
 ALGORITHMS = {
     "dbscan": (lambda points, eps=0.5, min_samples=5: (dbscan(points, eps, min_samples), {}), ("eps", "min_samples")),
+    "hdbscan": (lambda points, min_cluster_size=15, min_samples=5: (hierarchy.hdbscan(points, min_cluster_size, min_samples), {}), ("min_cluster_size", "min_samples")),
     "kmeans": (_kmeans, ("n_clusters", "random_state")),
     "gmm": (_with_mixture(None), ("n_components", "covariance_type", "random_state")),
     "bayesian_gmm": (_with_mixture("dirichlet_process"), ("n_components", "covariance_type", "random_state", "weight_concentration_prior", "weight_concentration_prior_type")),
@@ -204,6 +237,21 @@ def cluster_features(points: DataFrame, algorithm: str = "dbscan", preprocessing
     return ready.join(labels, "id"), told
 
 
+#: The algorithms that take distances instead of vectors.
+BY_DISTANCE = {
+    "dbscan": (dbscan_distances, ("eps", "min_samples")),
+    "hdbscan": (hierarchy.hdbscan_distances, ("min_cluster_size", "min_samples")),
+}
+
+
+def cluster_distances(pairs: DataFrame, ids: DataFrame, algorithm: str = "dbscan", **params) -> DataFrame:
+    """(id, label) from distances (a, b, dist) between ids (id); nothing is scaled. Other parameters are ignored, other algorithms raise ValueError."""
+    if algorithm not in BY_DISTANCE:
+        raise ValueError(f"only {', '.join(BY_DISTANCE)} take distances, not {algorithm}")
+    run, allowed = BY_DISTANCE[algorithm]
+    return run(pairs, ids, **{k: v for k, v in params.items() if k in allowed})
+
+
 def scale_vectors(points: DataFrame, method: str = "standard") -> DataFrame:
     """(id, vec): every component scaled."""
     rows = points.filter(F.col("vec").isNotNull()).select("id", F.col("vec").cast("array<double>").alias("vec"))
@@ -221,7 +269,7 @@ def compare_algorithms(points: DataFrame, algorithms=tuple(ALGORITHMS), preproce
     for name in algorithms:
         try:
             labelled, _ = cluster_features(points, name, preprocessing, **params)
-            labelled = labelled.checkpoint()
+            labelled = cut(labelled)
             sizes = labelled.agg(F.count_distinct(F.when(F.col("label") >= 0, F.col("label"))).alias("n_clusters"), F.count_if(F.col("label") < 0).alias("n_noise"))
             row = sizes.join(metrics(labelled)).select(F.lit(name).alias("algorithm"), "*")
             rows = row if rows is None else rows.unionByName(row)

@@ -11,25 +11,29 @@ from pyspark.sql import functions as F
 
 from ..components import cut
 from ..functions import exprs as X
+from .ranks import beside, medians
 
 
 def stats(series: DataFrame, key: str, least: int = 1) -> DataFrame:
     """Points, mean, population deviation, median and range of each series with at least so many finite points."""
     rows = series.filter(X.finite("t", "flux"))
-    return rows.groupBy(key).agg(
-        F.count("*").alias("n"), F.avg("flux").alias("mean"), F.stddev_pop("flux").alias("std"), F.median("flux").alias("median"), F.min("t").alias("t_min"), F.max("t").alias("t_max")
-    ).filter(F.col("n") >= least)
+    told = rows.groupBy(key).agg(F.count("*").alias("n"), F.avg("flux").alias("mean"), F.stddev_pop("flux").alias("std"), F.min("t").alias("t_min"), F.max("t").alias("t_max"))
+    told = beside(told.filter(F.col("n") >= least), medians(rows, "flux", [key]), [key])
+    return told.select(key, "n", "mean", "std", "median", "t_min", "t_max")
 
 
 def median_normalise(series: DataFrame, key: str) -> DataFrame:
     """Finite points with flux / median flux of their series; null where the median is 0."""
-    m = series.filter(X.finite("t", "flux")).groupBy(key).agg(F.median("flux").alias("_m"))
-    return series.filter(X.finite("t", "flux")).join(m, key).withColumn("flux", F.when(F.col("_m") != 0, F.col("flux") / F.col("_m"))).drop("_m")
+    rows = series.filter(X.finite("t", "flux"))
+    return rows.join(medians(rows, "flux", [key], "_m"), key).withColumn("flux", F.when(F.col("_m") != 0, F.col("flux") / F.col("_m"))).drop("_m")
 
 
 def zscore(series: DataFrame, key: str, robust: bool = False, least: int = 1) -> DataFrame:
     """Adds z: (flux - mean or median) / population deviation; 0 for a constant series."""
-    ends = series.filter(X.finite("t", "flux")).groupBy(key).agg((F.median if robust else F.avg)("flux").alias("_c"), F.stddev_pop("flux").alias("std"), F.count("*").alias("_n"))
+    rows = series.filter(X.finite("t", "flux"))
+    ends = rows.groupBy(key).agg(F.avg("flux").alias("_c"), F.stddev_pop("flux").alias("std"), F.count("*").alias("_n"))
+    if robust:
+        ends = ends.drop("_c").join(medians(rows, "flux", [key], "_c"), key)
     s = ends.filter(F.col("_n") >= least).drop("_n")
     return series.filter(X.finite("t", "flux")).join(s, key).withColumn("z", F.when(F.col("std") > 0, (F.col("flux") - F.col("_c")) / F.col("std")).otherwise(F.lit(0.0))).drop("_c", "std")
 

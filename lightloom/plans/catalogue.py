@@ -386,6 +386,60 @@ def dtw_pairs(spark, d):
     return out.select("a", "b", *r6("dist"))
 
 
+D_GROUPS = f"ser AS (SELECT event_type || '-' || CAST(user_id % 4 AS VARCHAR) AS key, {D_DAYS} AS t, value AS flux FROM events)"
+D_WARP = f"""{D_GROUPS}, {D_FOLD}, st AS (SELECT key, avg(mean) AS c, stddev_pop(mean) AS s FROM bins GROUP BY key HAVING count(*) = count(mean) AND stddev_pop(mean) > 0),
+x AS (SELECT key, bin, (mean - c) / s AS x FROM bins JOIN st USING (key)), l AS (SELECT key, list(x ORDER BY bin) AS v FROM x GROUP BY key),
+rows AS (SELECT a.key AS a, b.key AS b, a.v AS v, b.v AS w, 0 AS i, list_transform(range(1, 41), lambda j: CAST('inf' AS DOUBLE)) AS d FROM l a JOIN l b ON a.key < b.key
+UNION ALL SELECT a, b, v, w, i + 1, list_slice(list_reduce(range(1, 41), lambda acc, j: list_append(acc, pow(v[i + 1] - w[j], 2) + CASE WHEN i = 0 AND j = 1 THEN 0 ELSE least(d[j], CASE WHEN j > 1 THEN d[j - 1] ELSE CAST('inf' AS DOUBLE) END, acc[len(acc)]) END), [CAST('inf' AS DOUBLE)]), 2, 41) FROM rows WHERE i < 40),
+warp AS (SELECT a, b, sqrt(d[40]) AS dist FROM rows WHERE i = 40)"""
+#: Warping distances within which folds of events by type and user group are near each other.
+WARP_EPS = 4.4
+
+
+def warp_vectors(spark, d):
+    """(key, vec): folds of the events by type and user modulo 4, in 40 bins, z-scored."""
+    key = F.concat("event_type", F.lit("-"), (F.col("user_id") % 4).cast("string"))
+    rows = table(spark, d, "events").select(key.alias("key"), F.expr(DAYS).alias("t"), F.col("value").alias("flux"))
+    periods = rows.select("key").distinct().withColumn("best_period", F.lit(3.7))
+    return series.bin_vector(series.bins(series.fold(rows, "key", periods), "key", 40), "key").filter("is_valid").select("key", "vec")
+
+
+@query(f"WITH RECURSIVE {D_WARP} SELECT a, b, round(dist, 6) AS dist FROM warp WHERE dist <= {WARP_EPS}")
+def dtw_near(spark, d):
+    """Pairs within a warping distance, by bounds and early ends."""
+    return kernels.dtw_pairs(warp_vectors(spark, d), "key", limit=WARP_EPS).select("a", "b", *r6("dist"))
+
+
+@query(
+    f"""WITH RECURSIVE {D_WARP},
+near AS (SELECT key AS a, key AS b FROM l UNION SELECT a, b FROM warp WHERE dist <= {WARP_EPS} UNION SELECT b, a FROM warp WHERE dist <= {WARP_EPS}),
+core AS (SELECT a AS id FROM near GROUP BY a HAVING count(*) >= 3),
+ce AS (SELECT a, b FROM near WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
+walk AS (SELECT id AS root, id AS id FROM core UNION SELECT walk.root, ce.b FROM walk JOIN ce ON ce.a = walk.id),
+roots AS (SELECT id, min(root) AS root FROM walk GROUP BY id),
+numbered AS (SELECT id, dense_rank() OVER (ORDER BY root) - 1 AS label FROM roots),
+border AS (SELECT near.a AS id, min(numbered.label) AS label FROM near JOIN numbered ON near.b = numbered.id GROUP BY near.a)
+SELECT l.key AS id, CAST(coalesce(numbered.label, border.label, -1) AS INTEGER) AS label FROM l LEFT JOIN numbered ON numbered.id = l.key LEFT JOIN border ON border.id = l.key"""
+)
+def dtw_dbscan(spark, d):
+    """Density clusters over warping distances."""
+    v = cut(warp_vectors(spark, d))
+    return cluster.cluster_distances(kernels.dtw_pairs(v, "key", limit=WARP_EPS), v.select(F.col("key").alias("id")), "dbscan", eps=WARP_EPS, min_samples=3)
+
+
+@query()
+def hdbscan_labels(spark, d):
+    """Hierarchical density clusters of the vectors' first three components; tested against a plain version."""
+    return cluster.cluster_features(points(spark, d), "hdbscan", "none", min_cluster_size=10, min_samples=5)[0].select("id", "label")
+
+
+@query()
+def hdbscan_distances(spark, d):
+    """Hierarchical density clusters over all warping distances; tested against a plain version."""
+    v = cut(warp_vectors(spark, d))
+    return cluster.cluster_distances(kernels.dtw_pairs(v, "key"), v.select(F.col("key").alias("id")), "hdbscan", min_cluster_size=3, min_samples=2)
+
+
 @query(
     """WITH p AS (SELECT l_suppkey % 25 AS key, (l_orderkey % 1000) / 1000.0 AS phase, l_extendedprice AS flux, l_quantity AS mx, l_orderkey % 97 AS my, l_discount AS px, l_tax AS py FROM lineitem),
 m AS (SELECT key, corr(flux, px) AS corr_x, corr(flux, py) AS corr_y,

@@ -79,7 +79,7 @@ def test_box_search_takes_every_step(spark):
 def test_flat_box_searches_the_whole_grid(spark):
     got = catalogue.QUERIES["flat_box"](spark, SF).select("key", "period").distinct().toPandas()
     step = (got.period - 0.5) / (19.5 / 4999)
-    assert len(got) == 15 and np.allclose(step, step.round(), atol=1e-3) and len({int(k) for k in step.round()} - {round(i * 4999 / 199) for i in range(200)}) > 5
+    assert len(got) == 5 and np.allclose(step, step.round(), atol=1e-3) and len({int(k) for k in step.round()} - {round(i * 4999 / 199) for i in range(200)}) > 2
 
 
 def test_fits(spark, tmp_path):
