@@ -7,22 +7,43 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..components import settled
 from ..functions import exprs as X
-from .blocks import meet
+from . import ranks
+from .blocks import block_pairs, by_pivots, meet
+
+
+#: With more pairs of blocks than these, blocks are made of near vectors, and pairs that can't hold a winner are left out.
+PAIRS = 64
 
 
 def cosine_top1(objects: DataFrame, labelled: DataFrame, key: str = "filename", vec: str = "vec", label: str = "label", digits: int | None = None, similarity=None, block: int = 2048) -> DataFrame:
     """(key, matched, matched_label, similarity): the most similar labelled vector, ties to the smaller name.
 
-    similarity: (m x d array, n x d array) -> m x n array, the cosine by default, 0 where a vector is zero or null. Every object
-    meets every labelled vector in pairs of blocks; of each pair of blocks one row an object moves on.
+    similarity: (m x d array, n x d array) -> m x n array, the cosine by default, 0 where a vector is zero or null. Objects
+    whose vectors have another length than the labelled ones (the commonest of these), or components that are no finite
+    numbers, have null matches; such labelled vectors take no part. The cosine is searched in pairs of blocks that their
+    centres and radii leave (see ``nearest_by_angle``), other measures in all pairs of blocks; of each pair of blocks one row
+    an object moves on.
     """
     measure = similarity or cosines
-    first = labelled.filter(F.col(vec).isNotNull()).select(F.size(vec)).first()
-    size = first[0] if first else 0
+    sizes = labelled.filter(F.col(vec).isNotNull()).groupBy(F.size(vec).alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "n").first()
+    size = sizes["n"] if sizes else 0
     whole = F.coalesce(F.col(vec).cast("array<double>"), F.array_repeat(F.lit(0.0), size))
-    pairs = meet(objects.select(F.col(key).alias("k"), whole.alias("v")), labelled.select(F.col(key).alias("k"), whole.alias("v"), F.col(label).alias("label")), block)
-    kinds = {n: df.schema[c].dataType.simpleString() for n, df, c in (("key", objects, key), ("matched", labelled, key), ("matched_label", labelled, label))}
+    fits = (F.size(whole) == size) & F.forall(whole, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    left, right = objects.filter(fits).select(F.col(key).alias("k"), whole.alias("v")), labelled.filter(fits).select(F.col(key).alias("k"), whole.alias("v"), F.col(label).alias("label"))
+    many = similarity is None and -(-left.count() // block) * -(-right.count() // block) > PAIRS
+    if many:
+        best = nearest_by_angle(left, right, digits, block)[0]
+    else:
+        best = _all_pairs(left, right, measure, digits, block)
+    out = best.select(F.col("key").alias(key), "matched", "matched_label", "similarity")
+    none = objects.filter(~fits).select(key, *[F.lit(None).cast(out.schema[c].dataType).alias(c) for c in out.columns[1:]])
+    return out.unionByName(none)
+
+
+def _all_pairs(left: DataFrame, right: DataFrame, measure, digits: int | None, block: int) -> DataFrame:
+    kinds = {n: df.schema[c].dataType.simpleString() for n, df, c in (("key", left, "k"), ("matched", right, "k"), ("matched_label", right, "label"))}
 
     def run(batches):
         for pdf in batches:
@@ -32,9 +53,53 @@ def cosine_top1(objects: DataFrame, labelled: DataFrame, key: str = "filename",
                 best = found.argmax(1)  # the first of equals, and names stand in order
                 yield pd.DataFrame({"key": list(ids), "matched": [names[j] for j in best], "matched_label": [labels[j] for j in best], "similarity": found[np.arange(len(best)), best]})
 
-    near = pairs.mapInPandas(run, ", ".join(f"{n} {kind}" for n, kind in kinds.items()) + ", similarity double")
+    near = meet(left, right, block).mapInPandas(run, ", ".join(f"{n} {kind}" for n, kind in kinds.items()) + ", similarity double")
     best = near.groupBy("key").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "matched", "matched_label", "similarity")).alias("b"))
-    return best.select(F.col("key").alias(key), "b.matched", "b.matched_label", "b.similarity")
+    return best.select("key", "b.matched", "b.matched_label", "b.similarity")
+
+
+def nearest_by_angle(left: DataFrame, right: DataFrame, digits: int | None = None, block: int = 2048) -> tuple[DataFrame, DataFrame]:
+    """((key, matched, matched_label, similarity), (x, y, met)) of (k, v) and (k, v, label), vectors of one length.
+
+    Vectors are scaled to length one (zero ones stay), where the cosine is 1 - d * d / 2 of the distance d, and lie in
+    blocks around pivots. Each block of objects first meets the labelled block that may be nearest; how similar its least
+    similar match is there then tells which other blocks could hold a better one. (x, y, met): the pairs of blocks, and
+    whether they met.
+    """
+    def numbered(df):
+        length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+        rows = ranks.numbered(df, [F.col("k")]).withColumn("_l", length)
+        return settled(rows.select(F.col("rn").alias("i"), "k", F.when(F.col("_l") > 0, F.transform("v", lambda x: x / F.col("_l"))).otherwise(F.col("v")).alias("vec"), *[c for c in df.columns if c == "label"]))
+
+    a, b = numbered(left), numbered(right)
+    one, two = by_pivots(a, block=block), by_pivots(b, block=block)
+    pairs = block_pairs(one, two)
+    slack = 0.5 * 10.0**-digits * 2 if digits else 0.0
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def met(chosen: DataFrame) -> DataFrame:
+        def run(batches):
+            for pdf in batches:
+                for x, ids, u, others, v in zip(pdf["x"], pdf["ids"], pdf["flat"], pdf["ids2"], pdf["flat2"]):
+                    found = cosines(np.asarray(u).reshape(len(ids), -1), np.asarray(v).reshape(len(others), -1))
+                    found = np.round(found, digits) if digits else found
+                    best = found.argmax(1)  # ids follow the names
+                    yield pd.DataFrame({"x": x, "i": ids, "j": np.asarray(others)[best], "s": found[np.arange(len(ids)), best]})
+
+        u = one.select(F.col("block").alias("x"), "ids", "flat")
+        v = two.select(F.col("block").alias("y"), F.col("ids").alias("ids2"), F.col("flat").alias("flat2"))
+        return settled(chosen.select("x", "y").join(u, "x").join(v, "y").repartition(tasks, "x", "y").mapInPandas(run, "x long, i long, j long, s double"))
+
+    first = pairs.groupBy("x").agg(F.min_by("y", F.struct("least", "y")).alias("y"))
+    start = met(first)
+    # a labelled vector at distance d has a cosine of 1 - d * d / 2 with a unit vector; zero vectors have 0 with all
+    reach = start.groupBy("x").agg(F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * (F.min("s") - slack))).alias("reach")).withColumn("reach", F.col("reach") * (1 + 1e-9) + 1e-9)
+    marked = pairs.join(first.withColumnRenamed("y", "_first"), "x").join(reach, "x").withColumn("_near", (F.col("least") <= F.col("reach")) | (F.col("reach") >= 1.0))
+    marked = settled(marked.select("x", "y", (F.col("y") == F.col("_first")).alias("_done"), (F.col("_near") | (F.col("y") == F.col("_first"))).alias("met")))
+    rest = met(marked.filter("met and not _done"))
+    best = start.unionByName(rest).groupBy("i").agg(F.min(F.struct((-F.col("s")).alias("n"), "j", "s")).alias("b")).select("i", "b.j", F.col("b.s").alias("similarity"))
+    out = best.join(a.select("i", F.col("k").alias("key")), "i").join(b.select(F.col("i").alias("j"), F.col("k").alias("matched"), F.col("label").alias("matched_label")), "j")
+    return out.select("key", "matched", "matched_label", "similarity"), marked.select("x", "y", "met")
 
 
 def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:

@@ -55,15 +55,20 @@ def ranked(df: DataFrame, score: str, tie: str, by: list[str] = ()) -> DataFrame
 
 
 def recall_curve(df: DataFrame, flag: Column, weight: str | None = None, by: list[str] = ()) -> DataFrame:
-    """(by, pct, k, recall, mean_weight) at the top 5, 10, ... 100 percent of ranked rows (rn, n)."""
-    steps = df.withColumn("flag", flag.cast("int")).withColumn("pct", F.explode(F.sequence(F.lit(5), F.lit(100), F.lit(5)))).withColumn("k", F.floor(F.col("n") * F.col("pct") / 100.0))
-    top = F.col("rn") <= F.col("k")
-    out = steps.groupBy(*by, "pct").agg(
-        F.max("k").alias("k"),
-        F.sum("flag").alias("positives"),
-        F.sum(F.when(top, F.col("flag")).otherwise(0)).alias("hits"),
-        *([F.avg(F.when(top & (F.col("flag") == 1), F.col(weight))).alias("mean_weight")] if weight else []),
-    )
+    """(by, pct, k, positives, hits, recall, mean_weight) at the top 5, 10, ... 100 percent of ranked rows (rn, n).
+
+    A row counts once, at the first step that holds it; 20 sums a group are then added up from step to step. Weights are
+    summed as decimals of 12 places, so that a mean is the same in any order of tasks.
+    """
+    by = list(by)
+    first = F.expr("(20 * rn + n - 1) div n").alias("_step")  # the smallest j with 5 * j percent of n at least rn
+    own = (F.when(flag, F.col(weight)) if weight else F.lit(None)).try_cast("decimal(38,12)")
+    sums = df.select(*by, "n", first, flag.cast("int").alias("_f"), own.alias("_w")).groupBy(*by, "_step").agg(F.max("n").alias("n"), F.sum("_f").alias("f"), F.try_sum("_w").alias("w"), F.count("_w").alias("c"))
+    held = sums.groupBy(*by).agg(F.max("n").alias("n"), F.sum("f").alias("positives"), F.collect_list(F.struct("_step", "f", "w", "c")).alias("_s"))
+    steps = held.withColumn("pct", F.explode(F.sequence(F.lit(5), F.lit(100), F.lit(5)))).withColumn("_s", F.filter("_s", lambda x: x["_step"] * 5 <= F.col("pct")))
+    total = lambda name, kind: F.aggregate("_s", F.lit(0).cast(kind), lambda s, x: (s + F.coalesce(x[name].cast(kind), F.lit(0).cast(kind))).cast(kind))
+    hits, count = total("f", "long"), total("c", "long")
+    out = steps.select(*by, "pct", F.floor(F.col("n") * F.col("pct") / 100.0).alias("k"), "positives", hits.alias("hits"), *([F.when(count > 0, total("w", "decimal(38,12)").cast("double") / count).alias("mean_weight")] if weight else []))
     return out.withColumn("recall", F.when(F.col("positives") > 0, F.col("hits") / F.col("positives")).otherwise(F.lit(0.0)))
 
 
@@ -124,7 +129,7 @@ def auc_report(results: DataFrame, tie: str = "filename", top_percent: int = 20)
 
 
 def variant_report(results: DataFrame, top_percent: float | None = None) -> DataFrame:
-    """One row a variant from (variant, score, is_flagged): counts, anomaly rate, recall; with a cut, the same above a quantile."""
+    """One row a variant (null is one too) from (variant, score, is_flagged): counts, anomaly rate, recall; with a cut, the counts above a quantile."""
     anomaly = F.col("score") > 0
     out = results.groupBy("variant").agg(
         F.count("*").alias("n_total"),
@@ -135,9 +140,10 @@ def variant_report(results: DataFrame, top_percent: float | None = None) -> Data
     out = out.withColumn("anomaly_rate", F.col("n_anomalies") / F.col("n_total")).withColumn("recall", F.when(F.col("n_positives") > 0, F.col("n_positives_found") / F.col("n_positives")).otherwise(F.lit(0.0)))
     if top_percent:
         cuts = quantiles(results, "score", [1 - top_percent / 100], ["variant"]).select("variant", "threshold")
-        above = results.join(cuts, "variant").filter(F.col("score") >= F.col("threshold"))
-        above = above.groupBy("variant").agg(F.count("*").alias("n_thresholded"), F.sum("is_flagged").alias("n_positives_thresholded"))
-        out = out.join(above, "variant")
+        above = beside(results, cuts, ["variant"]).filter(F.col("score") >= F.col("threshold"))
+        above = above.groupBy(F.col("variant").alias("_v")).agg(F.count("*").alias("n_thresholded"), F.sum("is_flagged").alias("n_positives_thresholded"))
+        out = out.join(above, F.col("variant").eqNullSafe(F.col("_v")), "left").drop("_v")  # a variant without any score has no threshold
+        out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_thresholded", "n_positives_thresholded")})
     return out
 
 
@@ -172,13 +178,38 @@ def importance(catalogue: DataFrame, factors: list[str]) -> DataFrame:
     return catalogue.dropna(subset=factors).withColumn("importance", product)
 
 
+def sky_cells(dec: Column, ra: Column, radius: float) -> tuple[Column, Column]:
+    """(zone, cell): zones of declination as high as the radius, each cut into cells of right ascension that are as wide at least."""
+    zone = F.floor((dec + 90.0) / radius).cast("long")
+    n = _cells(zone, radius)
+    return zone, F.least(F.floor(F.pmod(ra, F.lit(360.0)) / (360.0 / n)), n - 1).cast("long")
+
+
+def _cells(zone: Column, radius: float) -> Column:
+    """How many cells a zone has: one where it touches a pole."""
+    edge = F.greatest(F.abs(zone * radius - 90.0), F.abs((zone + 1) * radius - 90.0))
+    return F.when(edge >= 90.0 - radius, F.lit(1.0)).otherwise(F.greatest(F.lit(1.0), F.floor(F.cos(F.radians(edge)) * (360.0 / radius))))
+
+
 def sky_nearest(objects: DataFrame, stars: DataFrame, radius_deg: float, key: str = "id", star: str = "star") -> DataFrame:
-    """(key, star, distance) of the nearest star within the radius: declination bands make the range join an equality join."""
-    band = F.floor(F.col("dec") / radius_deg).cast("long")
-    near = stars.select(F.col(star).alias("star"), F.col("ra").alias("_ra"), F.col("dec").alias("_dec"), F.explode(F.array(band - 1, band, band + 1)).alias("_band"))
-    pairs = objects.withColumn("_band", band).join(near, "_band")
+    """(key, star, distance) of the nearest star within the radius, ties to the smaller star.
+
+    A star stands in every cell that its circle touches, in its zone and those beside it; right ascensions wrap at 360
+    degrees, and a circle about a pole touches all of a zone. An object looks into its own cell alone, so each pair meets
+    once in an equality join, whose large keys the planner splits. Rows without a position match nothing.
+    """
+    zone, cell = sky_cells(F.col("dec"), F.col("ra"), radius_deg)
+    near = stars.filter(X.finite("ra", "dec")).select(F.col(star).alias("star"), F.pmod("ra", F.lit(360.0)).alias("_ra"), F.col("dec").alias("_dec"))
+    own = F.floor((F.col("_dec") + 90.0) / radius_deg).cast("long")
+    near = near.withColumn("_zone", F.explode(F.array(own - 1, own, own + 1))).withColumn("_n", _cells(F.col("_zone"), radius_deg))
+    reach = F.when(F.abs("_dec") + radius_deg >= 90.0, F.lit(360.0)).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.radians(F.lit(radius_deg))) / F.cos(F.radians("_dec"))))) * 1.000001)
+    width = 360.0 / F.col("_n")
+    low, high = F.floor((F.col("_ra") - reach) / width).cast("long"), F.floor((F.col("_ra") + reach) / width).cast("long")
+    high = F.least(high, low + F.col("_n").cast("long") - 1)  # all cells once
+    near = near.withColumn("_cell", F.explode(F.sequence(low, high))).withColumn("_cell", F.pmod("_cell", F.col("_n").cast("long"))).drop("_n")
+    pairs = objects.filter(X.finite("ra", "dec")).withColumn("_zone", zone).withColumn("_cell", cell).join(near, ["_zone", "_cell"])
     h = F.pow(F.sin(F.radians((F.col("_dec") - F.col("dec")) / 2)), 2) + F.cos(F.radians("dec")) * F.cos(F.radians("_dec")) * F.pow(F.sin(F.radians((F.col("_ra") - F.col("ra")) / 2)), 2)
-    pairs = pairs.withColumn("distance", F.degrees(2 * F.asin(F.sqrt(h)))).filter(F.col("distance") <= radius_deg)
+    pairs = pairs.withColumn("distance", F.degrees(2 * F.asin(F.least(F.lit(1.0), F.sqrt(h))))).filter(F.col("distance") <= radius_deg)
     return pairs.groupBy(key).agg(F.min(F.struct("distance", "star")).alias("_m")).select(key, F.col("_m.star").alias("star"), F.col("_m.distance").alias("distance"))
 
 

@@ -790,6 +790,22 @@ def sky_nearest(spark, d):
     return relational.sky_nearest(o, s, 0.0014).select("id", "star", *r6("distance"))
 
 
+@query(
+    """WITH o AS (SELECT c_custkey AS id, (c_custkey * 7.3) % 360 AS ra, ((c_custkey % 181) - 90) * 0.999 AS dec FROM customer),
+s AS (SELECT s_suppkey AS star, (s_suppkey * 29.7) % 360 AS ra, ((s_suppkey % 19) * 10 - 90) * 0.998 AS dec FROM supplier),
+p AS (SELECT id, star, degrees(2 * asin(least(1, sqrt(pow(sin(radians((s.dec - o.dec) / 2)), 2) + cos(radians(o.dec)) * cos(radians(s.dec)) * pow(sin(radians((s.ra - o.ra) / 2)), 2))))) AS distance FROM
+  (SELECT id, CAST(ra AS DOUBLE) AS ra, CAST(dec AS DOUBLE) AS dec FROM o) o, (SELECT star, CAST(ra AS DOUBLE) AS ra, CAST(dec AS DOUBLE) AS dec FROM s) s)
+SELECT id, star, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, star) AS rn FROM p WHERE distance <= 6.5) WHERE rn = 1"""
+)
+def sky_nearest_all_round(spark, d):
+    """Positions over the whole sphere, poles and the seam of right ascension included."""
+    exact = lambda c, by, of: F.col(c).cast("decimal(20,1)") * F.lit(by).cast("decimal(3,1)") % F.lit(of)
+    o = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), exact("c_custkey", "7.3", 360).cast("double").alias("ra"), (((F.col("c_custkey") % 181) - 90) * F.lit(0.999)).alias("dec"))
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("star"), exact("s_suppkey", "29.7", 360).cast("double").alias("ra"), (((F.col("s_suppkey") % 19) * 10 - 90) * F.lit(0.998)).alias("dec"))
+    return relational.sky_nearest(o, s, 6.5).select("id", "star", *r6("distance"))
+
+
+
 @query("SELECT event_id, CASE WHEN abs(((t - 1.3 + 2) % 4) - 2) < 0.125 THEN 0.99 ELSE 1.0 END AS flux FROM (SELECT event_id, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 86400000000.0 AS t FROM events)")
 def synthetic_box(spark, d):
     t = table(spark, d, "events").select("event_id", F.expr(DAYS).alias("t"))
