@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..components import cut
 from ..functions import exprs as X
+from . import spectra
 from .ranks import beside, medians
 
 
@@ -194,7 +195,7 @@ def phase_fold(
     """
     rows = zscore(series, key, least=least)
     z = rows.select(key, "t", F.col("z").alias("flux"))
-    found = best_period(periodogram(z, key, regular_grid(z, key, low_period, high_period, samples)), key, threshold)
+    found = best_period(spectra.power(z, key, spectra.grids(z, key, low_period, high_period, samples)), key, threshold)
     gate = F.col("best_period").between(least_period or low_period, most_period or high_period)
     found = cut(found.filter(gate))  # one row a series, searched for once
     points = rows.join(found, key).select(key, "t", X.phase("t", F.col("best_period"), shift).alias("phase"), "z", "best_period", "peak_power")
