@@ -372,9 +372,9 @@ def nearest(
     asked = in_cells(usable(queries, key, vector), cells, True).join(F.broadcast(table), ["dim", "cell"])
     asked = cut(asked.select("id", "v", F.explode(F.sequence("at", F.col("at") + F.col("parts") - 1)).alias("shard")))
     # a shard's queries are dealt to as many tasks as their own number asks for, however they are spread over shards
-    slices = asked.groupBy("shard").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"))  # a row a shard
+    slices = F.broadcast(asked.groupBy("shard").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices")))  # two numbers a shard
     left = index.join(slices, "shard").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
-    right = asked.join(F.broadcast(slices), "shard").withColumn("slice", F.pmod(F.xxhash64("id", F.lit(1)), F.col("slices")).cast("int")).drop("slices")
+    right = asked.join(slices, "shard").withColumn("slice", F.pmod(F.xxhash64("id", F.lit(1)), F.col("slices")).cast("int")).drop("slices")
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["query_id", "vec_id", "score"]
