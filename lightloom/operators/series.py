@@ -220,3 +220,13 @@ def centroid_shift(rows: DataFrame, key: str, center: float = 0.75, half: float
     )
     m = m.withColumn("local_shift", F.greatest(F.abs("delta_x"), F.abs("delta_y"))).withColumn("effective_shift", F.col("local_shift") / F.col("depth"))
     return m.withColumn("multi_source", F.col("effective_shift") > limit / 0.01).withColumn("correlated", F.greatest(F.abs("corr_x"), F.abs("corr_y")) > corr)
+
+
+def centroid_test(curves: DataFrame, periods: DataFrame, key: str = "filename", shift: float = 0.0, **limits) -> DataFrame:
+    """centroid_shift of light curves (key, t, flux, mom_x, mom_y, pos_x, pos_y), each folded by its row of periods (key, best_period).
+
+    Points that lack any of the six numbers take no part; curves without a period, or with one that is null or not above 0, are left out.
+    """
+    whole = curves.dropna(subset=["t", "flux", "mom_x", "mom_y", "pos_x", "pos_y"])
+    rows = whole.join(periods.filter("best_period > 0").select(key, "best_period"), key)
+    return centroid_shift(rows.withColumn("phase", X.phase("t", F.col("best_period"), shift)), key, **limits)

@@ -3,24 +3,31 @@
 from __future__ import annotations
 
 import io
+import json
 import re
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..components import cut
+
 SCORES = "tic long, filename string, anomaly_score double"
 _KINDS = {"L": "b1", "B": "u1", "I": ">i2", "J": ">i4", "K": ">i8", "E": ">f4", "D": ">f8", "A": "S"}
 
 
-def fits_table(data: bytes, columns: list[str], hdu: int = 1) -> dict[str, np.ndarray]:
-    """Columns of a binary-table extension: 2880-byte blocks of 80-character cards, then big-endian rows."""
+def fits_layout(read, hdu: int = 1) -> tuple[np.dtype, int, int]:
+    """(row, rows, offset) of a binary-table extension: 2880-byte blocks of 80-character cards, then big-endian rows.
+
+    read: (offset, length) -> bytes of the file; headers alone are read.
+    """
     at = 0
     for number in range(hdu + 1):
         cards: dict[str, str] = {}
         while True:
-            block = data[at : at + 2880]
+            block = read(at, 2880)
             if len(block) < 2880:
                 raise ValueError("the file ends within a header")
             at += 2880
@@ -42,7 +49,16 @@ def fits_table(data: bytes, columns: list[str], hdu: int = 1) -> dict[str, np.nd
         count = int(count or 1)
         name = cards.get(f"TTYPE{i}", f"f{i}")
         fields.append((name, f"S{count}") if kind == "A" else (name, _KINDS[kind], (count,)) if count != 1 else (name, _KINDS[kind]))
-    rows = np.frombuffer(data, dtype=np.dtype(fields), count=axes[1], offset=at)
+    row = np.dtype(fields)
+    if row.itemsize != axes[0]:
+        raise ValueError(f"rows of {axes[0]} bytes, and columns of {row.itemsize}")
+    return row, axes[1], at
+
+
+def fits_table(data: bytes, columns: list[str], hdu: int = 1) -> dict[str, np.ndarray]:
+    """Columns of a binary-table extension that is in memory."""
+    row, count, at = fits_layout(lambda at, n: data[at : at + n], hdu)
+    rows = np.frombuffer(data, dtype=row, count=count, offset=at)
     return {c: rows[c].astype(float) for c in columns}
 
 
@@ -71,6 +87,81 @@ def light_curves(spark: SparkSession, path: str, time: str = "TIME", columns=("P
     return parsed.select("filename", *[F.when(~F.isnan(n), F.col(n)).alias(n) for n in names], "error")
 
 
+#: Columns of the centroid test, and the names that series.centroid_shift gives them.
+CENTROIDS = {"PDCSAP_FLUX": "flux", "MOM_CENTR1": "mom_x", "MOM_CENTR2": "mom_y", "POS_CORR1": "pos_x", "POS_CORR2": "pos_y"}
+
+
+def open_file(path: str):
+    """A file of a local folder or a store, opened for reads at any place; only what is asked for is read."""
+    store, name = fs.FileSystem.from_uri(path)
+    return store.open_input_file(name)
+
+
+def light_curve_ranges(
+    spark: SparkSession, path: str, time: str = "TIME", columns: dict[str, str] | None = None, pattern: str = "*.fits", joint: bool = False, task_bytes: int = 64 << 20, opened=open_file
+) -> DataFrame:
+    """(filename, t, a column for each of ``columns``, error): as light_curves, for files of any size, read by ranges of rows.
+
+    columns: names in the file to names of the result, the flux alone by default. Files are listed by Spark without their
+    content, headers are read by tasks, and each file is dealt in ranges of about ``task_bytes`` to tasks that read these
+    bytes alone, so that neither a large file nor many small ones load a task. NaN and infinities are null; ``joint``
+    leaves out points that lack any of the columns. A file whose header can't be read, lacks a column, or promises more
+    rows than there are is one row with its error; so is a range that can't be read, beside what was read of it.
+    opened: path -> file with seek and read, for stores that pyarrow does not know.
+    """
+    columns = columns or {"PDCSAP_FLUX": "flux"}
+    names = {time: "t", **columns}
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "length")
+
+    def plan(batches):
+        for pdf in batches:
+            out = []
+            for file, length in zip(pdf["path"], pdf["length"]):
+                try:
+                    with opened(file) as source:
+                        row, count, start = fits_layout(lambda at, n, source=source: (source.seek(at), source.read(n))[1])
+                    if lost := [c for c in names if c not in (row.names or ())]:
+                        raise KeyError(", ".join(lost))
+                    if start + count * row.itemsize > length:
+                        raise ValueError(f"{count} rows do not fit into {length} bytes")
+                    picked = {"names": list(names), "formats": [row.fields[c][0].str for c in names], "offsets": [row.fields[c][1] for c in names], "itemsize": row.itemsize}
+                    step = max(1, task_bytes // row.itemsize)
+                    out += [(file, start + at * row.itemsize, min(step, count - at), json.dumps(picked), None) for at in range(0, count, step)]
+                except Exception as e:  # one bad file is one marked row
+                    out.append((file, 0, 0, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(out, columns=["path", "at", "rows", "row", "error"])
+
+    ranges = cut(listed.mapInPandas(plan, "path string, at long, rows long, row string, error string"))
+    width = F.coalesce(F.get_json_object("row", "$.itemsize").cast("long"), F.lit(0))
+    count, size = ranges.agg(F.count("*"), F.coalesce(F.sum(F.col("rows") * width), F.lit(0))).first()
+    tasks = max(1, min(count, max(spark.sparkContext.defaultParallelism, -(-size // task_bytes))))
+
+    def points(batches):
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                bad = dict.fromkeys(names.values()) | {"filename": r.path.rsplit("/", 1)[-1], "error": r.error}
+                try:
+                    if r.error is None:
+                        row = np.dtype(json.loads(r.row))
+                        with opened(r.path) as source:
+                            source.seek(r.at)
+                            for at in range(0, r.rows, 65536):
+                                rows = np.frombuffer(source.read(min(65536, r.rows - at) * row.itemsize), dtype=row)
+                                if len(rows) < min(65536, r.rows - at):
+                                    raise ValueError("the file ends within its rows")
+                                yield pd.DataFrame({n: rows[c].astype(float) for c, n in names.items()} | {"filename": bad["filename"], "error": None})
+                except Exception as e:  # one range that can't be read is one marked row
+                    bad["error"] = f"{type(e).__name__}: {e}"
+                if bad["error"]:
+                    yield pd.DataFrame([bad])
+
+    schema = "filename string, " + ", ".join(f"{n} double" for n in names.values()) + ", error string"
+    found = ranges.repartition(tasks).mapInPandas(points, schema)
+    finite = lambda n: F.when(~F.isnan(n) & (F.abs(n) < float("inf")), F.col(n))
+    out = found.select("filename", *[finite(n).alias(n) for n in names.values()], "error")
+    return out.filter(F.col("error").isNotNull() | F.expr(" AND ".join(f"{n} IS NOT NULL" for n in names.values()))) if joint else out
+
+
 def read_scores(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema=SCORES, nullValue="None")
 
