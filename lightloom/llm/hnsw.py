@@ -344,7 +344,7 @@ def build(nodes: DataFrame, m: int, ef: int) -> DataFrame:
 
 
 def nearest(
-    vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", m: int = 16, ef_build: int = 96, ef: int = 128, cell_size: int | None = None
+    vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", m: int = 16, ef_build: int = 64, ef: int = 128, cell_size: int | None = None
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest of ``vectors`` but those with its own key.
 
