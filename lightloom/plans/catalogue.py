@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..components import cut
 from ..functions import exprs as X
-from ..operators import cluster, forest, kernels, match, mixture, ranks, relational, series, subsets
+from ..operators import cluster, embedding, forest, kernels, match, mixture, ranks, relational, series, subsets
 from ..streaming import incremental
 from .sqlfront import run_sql
 
@@ -600,6 +600,11 @@ def gmm_fit(spark, d):
     return labels.groupBy("label").agg(F.count("*").alias("n")).withColumn("aic", F.lit(round(info["aic"], 3))).withColumn("bic", F.lit(round(info["bic"], 3)))
 
 
+@query()
+def tsne_embed(spark, d):
+    return embedding.embed(all_points(spark, d)).select("id", *r6("x", "y"))
+
+
 @query()
 def pca_project(spark, d):
     scores_, ratio = cluster.pca(vectors(spark, d), 8, "filename")
