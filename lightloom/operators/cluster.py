@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..components import components, cut, settled
@@ -115,6 +115,16 @@ class Projection:
     axes: np.ndarray
     ratio: list[float]
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """As one row of Parquet, over what ``path`` held before."""
+        row = (self.mean.tolist(), self.axes.tolist(), [float(r) for r in self.ratio])
+        spark.createDataFrame([row], "mean array<double>, axes array<array<double>>, ratio array<double>").coalesce(1).write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Projection:
+        row = spark.read.parquet(path).first()
+        return cls(np.array(row["mean"]), np.array(row["axes"]), list(row["ratio"]))
+
     def apply(self, points: DataFrame, vec: str = "vec", out: str = "scores") -> DataFrame:
         """Adds centred scores; null for vectors that are null or of another length."""
         mean, axes = self.mean, self.axes

@@ -36,10 +36,29 @@ def shuffled_columns(real: DataFrame, key: str = "filename", vec: str = "vec", s
     return out.select(key, F.col("p.x").alias(vec))
 
 
-def score(features: DataFrame, model: RandomForestClassificationModel, key: str = "filename", vec: str = "vec") -> DataFrame:
-    """(key, anomaly_score) of every row; null where the vector is null, not finite or of another length."""
+def save(model: RandomForestClassificationModel, path: str) -> None:
+    """Over what ``path`` held before."""
+    model.write().overwrite().save(path)
+
+
+def load(path: str) -> RandomForestClassificationModel:
+    return RandomForestClassificationModel.load(path)
+
+
+def score(features: DataFrame, model: RandomForestClassificationModel, key: str = "filename", vec: str = "vec", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, columns to keep, anomaly_score) of every row; null where the vector is null, not finite or of another length."""
     ok = usable(vec) & (F.size(vec) == model.numFeatures)
     filled = F.when(ok, F.col(vec).cast("array<double>")).otherwise(F.array_repeat(F.lit(0.0), model.numFeatures))
-    rows = features.select(key, F.coalesce(ok, F.lit(False)).alias("_ok"), array_to_vector(filled).alias("features"))
+    rows = features.select(key, *keep, F.coalesce(ok, F.lit(False)).alias("_ok"), array_to_vector(filled).alias("features"))
     real = F.element_at(vector_to_array("probability"), 2)
-    return model.transform(rows).select(key, F.when(F.col("_ok"), 1 - real).alias("anomaly_score"))
+    return model.transform(rows).select(key, *keep, F.when(F.col("_ok"), 1 - real).alias("anomaly_score"))
+
+
+def score_sets(sets: DataFrame, model: RandomForestClassificationModel, positive_flag: str, key: str = "filename", vec: str = "vec") -> DataFrame:
+    """(set_id, n, positives, scored, mean_positive, mean_other) of repeated test sets (set_id, key, vec, flag), all scored in one pass."""
+    flag = F.coalesce(F.col(positive_flag).cast("boolean"), F.lit(False))
+    rows = score(sets.select("set_id", key, vec, flag.alias("_flag")), model, key, vec, ("set_id", "_flag"))
+    mean = lambda c: F.avg(F.when(c, F.col("anomaly_score")))
+    return rows.groupBy("set_id").agg(
+        F.count("*").alias("n"), F.count_if("_flag").alias("positives"), F.count("anomaly_score").alias("scored"), mean(F.col("_flag")).alias("mean_positive"), mean(~F.col("_flag")).alias("mean_other")
+    )

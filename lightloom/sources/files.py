@@ -5,10 +5,14 @@ from __future__ import annotations
 import io
 import json
 import re
+import time as clock
+import urllib.request
+import uuid
 
 import numpy as np
 import pandas as pd
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -269,6 +273,84 @@ def write_vectors(df: DataFrame, path: str, key: str = "filename", vec: str = "v
     df.select(F.col(key).alias("filename"), F.col(vec).cast("array<double>").alias("vec")).write.mode("overwrite").parquet(path)
 
 
+def write_array_parts(df: DataFrame, folder: str, key: str = "filename", vec: str = "vec", rows: int = 65536) -> DataFrame:
+    """Writes pairs of files to ``folder``, a URI or a path that all tasks reach: a .npy matrix and a .txt of as many names, a line each.
+
+    Each task writes a pair for every ``rows`` rows, so none holds more. Vectors must be of one length, without nulls, and
+    names without line breaks. A file is moved to its name when it is whole: a task that runs again leaves the same files. Returns (part, rows).
+    """
+
+    def run(batches):
+        part = TaskContext.get().partitionId()
+        store, base = fs.FileSystem.from_uri(_uri(folder))
+        store.create_dir(base, recursive=True)
+        for number, pdf in enumerate(_regrouped(batches, rows)):
+            named = pdf["filename"].notna() & ~pdf["filename"].str.contains("\n", na=False)
+            if pdf["vec"].isna().any() or pdf["vec"].map(len).nunique() > 1 or not named.all():
+                raise ValueError("vectors that are null or of several lengths, or names that are null or of several lines")
+            x = np.array(pdf["vec"].tolist(), dtype=float)
+            body = io.BytesIO()
+            np.save(body, x)
+            name = f"part-{part:05d}-{number:05d}"
+            for suffix, data in ((".txt", "\n".join(pdf["filename"]).encode()), (".npy", body.getvalue())):
+                _put(store, base, name + suffix, [data])
+            yield pd.DataFrame({"part": [name], "rows": [len(x)]})
+
+    return cut(df.select(F.col(key).cast("string").alias("filename"), F.col(vec).cast("array<double>").alias("vec")).mapInPandas(run, "part string, rows long"))
+
+
+def read_array_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """(filename, vec) of a folder that write_array_parts has filled; a matrix must have as many rows as its file has names."""
+    found = spark.read.format("binaryFile").load(folder)
+    stem = F.regexp_extract("path", r"([^/]+)\.(npy|txt)$", 1).alias("stem")
+    of = lambda suffix, name: found.filter(F.col("path").endswith(suffix)).select(stem, F.col("content").alias(name))
+
+    def run(batches):
+        for pdf in batches:
+            for data, names in zip(pdf["x"], pdf["names"]):
+                x, lines = np.load(io.BytesIO(bytes(data)), allow_pickle=False), bytes(names).decode().split("\n")
+                if len(x) != len(lines):
+                    raise ValueError(f"{len(x)} rows and {len(lines)} names")
+                yield pd.DataFrame({"filename": lines, "vec": list(x.astype(float))})
+
+    return of(".npy", "x").join(of(".txt", "names"), "stem").mapInPandas(run, "filename string, vec array<double>")
+
+
+def _uri(folder: str) -> str:
+    return folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+
+
+def _put(store, base: str, name: str, chunks) -> int:
+    """Writes chunks to a name of this attempt's own, then moves them to ``name``; how many bytes there were."""
+    attempt, size = f"{base}/.{uuid.uuid4().hex}", 0
+    try:
+        with store.open_output_stream(attempt, compression=None) as out:
+            for chunk in chunks:
+                out.write(chunk)
+                size += len(chunk)
+        store.move(attempt, f"{base}/{name}")
+    except BaseException:
+        if store.get_file_info(attempt).type != fs.FileType.NotFound:
+            store.delete_file(attempt)
+        raise
+    return size
+
+
+def _regrouped(batches, rows: int):
+    """Frames of ``rows`` rows, the last one of fewer."""
+    held, n = [], 0
+    for pdf in batches:
+        while len(pdf):
+            take = min(rows - n, len(pdf))
+            held.append(pdf.iloc[:take])
+            pdf, n = pdf.iloc[take:], n + take
+            if n == rows:
+                yield pd.concat(held)
+                held, n = [], 0
+    if held:
+        yield pd.concat(held)
+
+
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("filename", "vec")
 
@@ -306,6 +388,51 @@ def fetch(urls: DataFrame, get, done: DataFrame | None = None, start: int = 0, m
     return rows.repartition(tasks).mapInPandas(run, "url string, content binary, error string")
 
 
+def over_http(url: str, timeout: float, chunk: int = 1 << 16):
+    """The body of ``url`` in chunks; an answer that stays away for ``timeout`` seconds is an error."""
+    with urllib.request.urlopen(url, timeout=timeout) as answer:
+        while data := answer.read(chunk):
+            yield data
+
+
+def download(
+    urls: DataFrame, folder: str, get=over_http, start: int = 0, most: int | None = None, tasks: int = 8, timeout: float = 60.0, tries: int = 3, wait: float = 1.0
+) -> DataFrame:
+    """(url, filename, status, bytes, error) of urls (url) in order from ``start``, written to ``folder``, a URI or a path that all tasks reach.
+
+    A file is named after its address up to a query; of addresses with one name the smallest counts. status: "done"; "there",
+    if the folder has the file, which is then not fetched; "failed", after ``tries`` attempts with pauses that double
+    from ``wait`` seconds. get: (url, timeout) -> chunks of bytes, which go straight to the store, so that a body of any
+    size passes through; a file that breaks off is taken away again. Run once: the answer is kept in the shared folder.
+    """
+    name = F.element_at(F.split(F.substring_index("url", "?", 1), "/"), -1)
+    rows = urls.select("url").filter("url IS NOT NULL").groupBy(name.alias("filename")).agg(F.min("url").alias("url")).filter("filename <> ''")
+    rows = rows.orderBy("url").offset(start)
+    rows = rows if most is None else rows.limit(most)
+
+    def fetched(store, base: str, url: str, file: str) -> tuple:
+        if store.get_file_info(f"{base}/{file}").type != fs.FileType.NotFound:
+            return "there", None, None
+        for attempt in range(tries):
+            if attempt:
+                clock.sleep(wait * 2 ** (attempt - 1))
+            try:
+                return "done", _put(store, base, file, get(url, timeout)), None
+            except Exception as e:  # one address that fails is one marked row
+                error = f"{type(e).__name__}: {e}"
+        return "failed", None, error
+
+    def run(batches):
+        store, base = fs.FileSystem.from_uri(_uri(folder))
+        store.create_dir(base, recursive=True)
+        for pdf in batches:
+            for url, file in zip(pdf["url"], pdf["filename"]):
+                status, size, error = fetched(store, base, url, file)
+                yield pd.DataFrame({"url": [url], "filename": [file], "status": [status], "bytes": pd.array([size], dtype="Int64"), "error": [error]})
+
+    return cut(cut(rows).repartition(tasks).mapInPandas(run, "url string, filename string, status string, bytes long, error string"))
+
+
 def script_urls(lines: DataFrame, line: str = "value") -> DataFrame:
     """(url) of each curl or wget line: its last word, without quotes."""
     text = F.trim(F.col(line))
