@@ -12,6 +12,7 @@ over its whole text.
 from __future__ import annotations
 
 import itertools
+import pickle
 
 import numpy as np
 import pyarrow as pa
@@ -309,7 +310,7 @@ def excerpt(text: Column, level: Column) -> Column:
 def learn(docs: DataFrame, marks: DataFrame, key: str = "doc_id", text: str = "text", sample=SAMPLE, always: int = ALWAYS, **shape) -> Model:
     """Trains on a bounded sample of labelled documents: of each class up to so many and so many bytes, repeated rows once.
 
-    Only sizes and hashes are compared first, so no text moves that is not learned from. Where the labels have both
+    Only sizes and hashes are compared first, so no text moves that is not learned from; a task trains, not the driver. Where the labels have both
     classes and the sample has not, nothing can be learned, which is an error unless ``docs`` is empty.
     """
     rows = docs.select(key, text).filter(F.col(text).isNotNull())
@@ -322,13 +323,19 @@ def learn(docs: DataFrame, marks: DataFrame, key: str = "doc_id", text: str = "t
         chosen += [(own[i][key], own[i]["t"], y, i, level) for i in places.tolist()]
     if len({c[2] for c in chosen}) < 2 and marks.filter(F.col("y").isin(0, 1)).select("y").distinct().count() == 2 and not rows.isEmpty():
         raise ValueError(f"labels have both classes, but the learning sample has {len(chosen)} documents of one class or none")
-    picked = []
-    if chosen:
-        own = docs.sparkSession.createDataFrame(chosen, docs.select(key).schema.add("t", "long").add("y", "integer").add("at", "integer").add("level", "integer"))
-        found = hashed.join(F.broadcast(own), [key, "t"]).select("y", "at", excerpt(F.col(text), F.col("level")).alias(text)).dropDuplicates(["y", "at"])
-        picked = sorted(found.collect(), key=lambda r: (r["y"], r["at"]))
-    picked = [r for pair in itertools.zip_longest(*(picked[i::7] for i in range(7))) for r in pair if r is not None]
-    return train([r[text] for r in picked], np.array([r["y"] for r in picked], dtype=np.int64), **shape)
+    if not chosen:
+        return train([], np.zeros(0, dtype=np.int64), **shape)
+    own = docs.sparkSession.createDataFrame(chosen, docs.select(key).schema.add("t", "long").add("y", "integer").add("at", "integer").add("level", "integer"))
+    found = hashed.join(F.broadcast(own), [key, "t"]).select("y", "at", excerpt(F.col(text), F.col("level")).alias(text)).dropDuplicates(["y", "at"])
+
+    def run(batches):
+        picked = sorted((r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("y", "at", text)))), key=lambda r: r[:2])
+        picked = [r for pair in itertools.zip_longest(*(picked[i::7] for i in range(7))) for r in pair if r is not None]
+        model = train([r[2] for r in picked], np.array([r[0] for r in picked], dtype=np.int64), **shape)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    # the sample is bounded, so one task holds it; the driver, which has less room, gets the model alone
+    return pickle.loads(found.repartition(1).mapInArrow(run, "model binary").first()["model"])
 
 
 def rate(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
