@@ -1,6 +1,7 @@
 """Work and rows that must not grow with products of large tables."""
 
 import numpy as np
+import pytest
 
 from lightloom.operators import kernels
 
@@ -24,3 +25,24 @@ def test_boxes_of_many_points_are_found_by_bisection(monkeypatch):
 
     monkeypatch.setattr(kernels, "box_histogram", all_points)
     assert abs(kernels.bls(t, y, np.linspace(1.0, 2.0, 501), 0.1)[0] - 1.5) < 1e-9
+
+
+@pytest.mark.parametrize("part", [1_000_000, 150])
+def test_flat_boxes_of_series_in_parts(spark, part):
+    rng = np.random.default_rng(4)
+    rows, want = [], {}
+    for k in range(2):
+        t = np.sort(rng.uniform(5, 35, 900))
+        y = np.where((t % (1.3 + k)) < 0.2, 9.0, 10.0) + 0.01 * rng.normal(size=900)
+        rows += [(k, float(a), float(b)) for a, b in zip(t, y)]
+        z = (kernels.flatten((y - y.mean()) / y.std() + 100.0, 401) - 1.0) * 100.0
+        period, depth, power, epoch = kernels.bls(t, z, np.linspace(0.5, 20, 700), 0.1)
+        want[k] = period, depth, power, epoch, (t - epoch + period / 2) % period / period - 0.5, np.clip(z, -6.0, 3.0)
+    rows += [(None, i / 40, float(i % 5)) for i in range(300)] + [(8, float(i), 2.0) for i in range(200)] + [(9, None, 1.0), (9, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "key long, t double, flux double").repartition(4)
+    got = kernels.flat_box(df, "key", periods=700, part=part, size=300).toPandas()
+    assert set(got["key"].dropna()) == {0, 1} and got["key"].isna().sum() == 300
+    for k, (*box, phase, z) in want.items():
+        rows = got[got["key"] == k].sort_values("phase")
+        order = np.argsort(phase)
+        assert np.allclose(rows[["period", "depth", "power", "epoch"]], np.array(box)) and np.allclose(rows["phase"], phase[order]) and np.allclose(rows["z"], z[order])
