@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from lightloom.operators import kernels
+from lightloom.operators import cluster, kernels
 
 
 def test_boxes_of_many_points_are_found_by_bisection(monkeypatch):
@@ -46,3 +46,22 @@ def test_flat_boxes_of_series_in_parts(spark, part):
         rows = got[got["key"] == k].sort_values("phase")
         order = np.argsort(phase)
         assert np.allclose(rows[["period", "depth", "power", "epoch"]], np.array(box)) and np.allclose(rows["phase"], phase[order]) and np.allclose(rows["z"], z[order])
+
+
+@pytest.mark.parametrize("d", [2, 3])
+def test_dense_regions_are_no_table_of_pairs(spark, monkeypatch, d):
+    rng = np.random.default_rng(d)
+    x = np.concatenate([rng.normal(0, 0.15, (400, d)), rng.normal(2.5, 0.2, (150, d)), rng.uniform(-4, 6, (60 * d, d)), np.linspace(0.5, 2.2, 18)[:, None].repeat(d, 1) + 0.02, np.full((40, d), -3.0)])
+    x = x[rng.permutation(len(x))]
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)] + [(9000, None)]
+    df = spark.createDataFrame(rows, "id long, vec array<double>").repartition(3)
+    plain = {(e, m): {r.id: r.label for r in cluster._dense(cluster.cut(cluster.neighbours(df, e, "id", "vec")), df.select("id"), m).collect()} for e, m in ((0.25, 5),)}
+
+    def pairs(*_):
+        raise AssertionError("all pairs within eps were made")
+
+    monkeypatch.setattr(cluster, "neighbours", pairs)
+    for heads in (16, 1):  # with one head, most cells come together by all their points
+        monkeypatch.setattr(cluster, "HEADS", heads)
+        for (e, m), want in plain.items():
+            assert {r.id: r.label for r in cluster.dbscan(df, e, m).collect()} == want and len(set(want.values())) > 2
