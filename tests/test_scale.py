@@ -3,7 +3,9 @@
 import numpy as np
 import pytest
 
-from lightloom.operators import cluster, kernels
+from pyspark.sql import functions as F
+
+from lightloom.operators import cluster, kernels, subsets
 
 
 def test_boxes_of_many_points_are_found_by_bisection(monkeypatch):
@@ -65,3 +67,31 @@ def test_dense_regions_are_no_table_of_pairs(spark, monkeypatch, d):
         monkeypatch.setattr(cluster, "HEADS", heads)
         for (e, m), want in plain.items():
             assert {r.id: r.label for r in cluster.dbscan(df, e, m).collect()} == want and len(set(want.values())) > 2
+
+
+def plain_silhouette(x, labels):
+    d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(2))
+    names, out = sorted(set(labels)), []
+    labels = np.array(labels)
+    for i in range(len(x)):
+        means = {n: d[i, labels == n].sum() / ((labels == n).sum() - (n == labels[i])) if (labels == n).sum() > (n == labels[i]) else None for n in names}
+        a, b = means.pop(labels[i]), [v for v in means.values() if v is not None]
+        out.append(0.0 if a is None or not b or max(a, min(b)) == 0 else (min(b) - a) / max(a, min(b)))
+    return np.mean(out)
+
+
+@pytest.mark.parametrize("wide", [3, 20])
+def test_silhouettes_move_blocks_and_not_sums_by_label(spark, monkeypatch, wide):
+    rng = np.random.default_rng(wide)
+    labels = [f"l{i}" for i in rng.permutation([0] * 90 + [1] * 40 + list(range(2, 40)) + [50] * 7 + [51] * 5 + list(range(60, 70)) * 2)]
+    x = rng.normal(size=(len(labels), wide)) + np.array([[hash(v) % 7] for v in labels])
+    x[5] = x[6]  # a copy
+    rows = spark.createDataFrame([(i, v, [float(c) for c in r]) for i, (v, r) in enumerate(zip(labels, x))] + [(999, None, [0.0] * wide)], "id long, label string, vec array<double>").repartition(3)
+    for strip, block in ((1 << 18, 2048), (1 << 18, 17), (100, 30), (450, 7)):
+        monkeypatch.setattr(subsets, "STRIP", strip)
+        names = [f"x{i}" for i in range(wide)]
+        flat = rows.selectExpr("id", "label", *[f"vec[{i}] as {c}" for i, c in enumerate(names)])
+        got = subsets.silhouettes(flat, names, F.col("label"), least=wide, block=block).first()
+        assert abs(got.silhouette - plain_silhouette(x, labels)) < 1e-9 and got.n == len(labels)
+    one = subsets.silhouettes(flat.withColumn("label", F.lit(1)), names, F.col("label"), least=wide, block=block).first()
+    assert one.silhouette == 0 and one.n == len(labels) + 1
