@@ -1,11 +1,12 @@
 """Work and rows that must not grow with products of large tables."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from pyspark.sql import functions as F
 
-from lightloom.operators import cluster, kernels, subsets
+from lightloom.operators import cluster, kernels, match, relational, subsets
 
 
 def test_boxes_of_many_points_are_found_by_bisection(monkeypatch):
@@ -95,3 +96,49 @@ def test_silhouettes_move_blocks_and_not_sums_by_label(spark, monkeypatch, wide)
         assert abs(got.silhouette - plain_silhouette(x, labels)) < 1e-9 and got.n == len(labels)
     one = subsets.silhouettes(flat.withColumn("label", F.lit(1)), names, F.col("label"), least=wide, block=block).first()
     assert one.silhouette == 0 and one.n == len(labels) + 1
+
+
+def test_positions_meet_once(spark):
+    stars = spark.createDataFrame([(100 * c + p, 10.0 + p / 10, 5.0) for p in range(5) for c in range(30)], "star long, ra double, dec double")
+    objects = spark.createDataFrame([(100 * c + p, 10.02 + p / 10, 5.0) for p in range(4) for c in range(40)] + [(9999, None, 5.0)], "id long, ra double, dec double")
+    assert relational.sky_pairs(objects, stars, 0.05).count() == 4
+    got = {r.id: r.star for r in relational.sky_nearest(objects, stars, 0.05).collect()}
+    assert got == {100 * c + p: p for p in range(4) for c in range(40)}
+
+
+def test_stacked_vectors_are_handed_on_in_small_batches(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    t, y = np.sort(rng.uniform(0, 20, 5000)), rng.normal(size=5000)
+    f = np.logspace(-1, 0.5, 300)
+    c, s = np.cos(2 * np.pi * f[:, None] * t), np.sin(2 * np.pi * f[:, None] * t)
+    z = y - y.mean()
+    fit = [np.linalg.lstsq(np.stack([np.ones(5000), a, b], axis=1), z, rcond=None) for a, b in zip(c, s)]
+    assert np.allclose(match.gls(t, y, f), [1 - r[1][0] / (z @ z) for r in fit], atol=1e-9)
+    most = []
+    monkeypatch.setattr(match.np, "cos", lambda a, cos=np.cos: most.append(a.size) or cos(a))
+    match.gls(t, y, f)
+    assert max(most) <= 1 << 20
+    monkeypatch.undo()
+    rows = spark.createDataFrame([(k, float(i), float((i * k) % 5)) for k in range(600) for i in range(4)], "key long, t double, flux double").coalesce(1)
+    sizes = match.flux_power_stack(rows, "key", 3000, 10).mapInPandas(lambda b: (pd.DataFrame({"n": [len(p)]}) for p in b), "n long")
+    assert sizes.agg(F.sum("n")).first()[0] == 600
+
+
+def test_blocks_move_once_a_tile(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(size=(150, 12)), rng.normal(size=(400, 12))
+    b[300:] = b[:100]  # ties
+    left = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(a)], "k long, v array<double>").repartition(3)
+    right = spark.createDataFrame([(1000 + i, [float(c) for c in v], f"l{i}") for i, v in enumerate(b)], "k long, v array<double>, label string").repartition(3)
+    want = match.cosines(a, b)
+    dealt = []
+    repartition = type(left).repartition
+    for tile in (16, 3, 1):
+        monkeypatch.setattr(match, "TILE", tile)
+        moved = []
+        monkeypatch.setattr(type(left), "repartition", lambda self, *at: (moved.append(self) if "gx" in at else None) or repartition(self, *at))
+        got = {r.key: r for r in match.nearest_by_angle(left, right, 9, block=20)[0].collect()}
+        monkeypatch.setattr(type(left), "repartition", repartition)
+        assert len(got) == 150 and all(got[i].matched == 1000 + np.round(want[i], 9).argmax() and got[i].matched_label == f"l{got[i].matched - 1000}" for i in range(150))
+        dealt.append(moved[-1].count())  # blocks that move for the pairs left by the bounds
+    assert dealt[0] < dealt[1] < dealt[2] / 2
